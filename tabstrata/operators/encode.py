@@ -117,18 +117,24 @@ class TargetEncoder:
 
     def fit(self, train: DataFrame, label: str) -> "TargetEncoder":
         totals = train.agg(F.count(F.lit(1)).alias("n"), *_class_counts(self.k, label)).first()
-        self.prior_ = [totals[f"__c{c}"] / totals["n"] for c in range(self.k)]
-        lits = [F.lit(totals[f"__c{c}"]) for c in range(self.k)]
+        stats = {
+            col: train.groupBy(col).agg(F.count(F.lit(1)).alias("__n"), *_class_counts(self.k, label))
+            for col in self.columns
+        }
+        self._set_tables(stats, totals["n"], [totals[f"__c{c}"] for c in range(self.k)])
+        return self
+
+    def _set_tables(self, stats: dict[str, DataFrame], n: int, totals: list[int]) -> None:
+        self.prior_ = [t / n for t in totals]
         self.tables_ = {}
-        for col in self.columns:
-            stats = train.groupBy(col).agg(
-                F.count(F.lit(1)).alias("__n"), *_class_counts(self.k, label)
-            )
+        for col, table in stats.items():
             enc = self._encoded(
-                F.col("__n"), [F.col(f"__c{c}") for c in range(self.k)], F.lit(totals["n"]), lits
+                F.col("__n"),
+                [F.col(f"__c{c}") for c in range(self.k)],
+                F.lit(n),
+                [F.lit(t) for t in totals],
             )
-            self.tables_[col] = stats.select(col, *[e.alias(x) for e, x in zip(enc, self.names(col))])
-        return self
+            self.tables_[col] = table.select(col, *[e.alias(x) for e, x in zip(enc, self.names(col))])
 
     def transform(self, df: DataFrame) -> DataFrame:
         for col in self.columns:
@@ -138,65 +144,71 @@ class TargetEncoder:
             )
         return df
 
-    def cross_fit_tables(
-        self, train: DataFrame, label: str, fold: str, k_folds: int, by: list[str] | None = None
-    ) -> dict[str, DataFrame]:
-        """Per category column the table (by..., category, fold) -> encodings from other folds.
+    def fit_transform(self, train: DataFrame, label: str, fold: str, k_folds: int) -> DataFrame:
+        """Cross-fitted encodings of the training rows; also fits the tables for new rows.
 
-        ``by`` adds outer keys, e.g. the outer fold of a nested set, all in the same aggregation.
+        One aggregation per category column counts every (fold, class) side by side. A lookup row
+        then carries, per class, the encodings for all folds; a row picks that of its own fold.
         """
-        by = by or []
-        tables = {}
+        wide, totals = {}, None
         for col in self.columns:
-            stats = train.groupBy(*by, col, fold).agg(
-                F.count(F.lit(1)).alias("__n"), *_class_counts(self.k, label)
-            )
-            names = ["__n"] + [f"__c{c}" for c in range(self.k)]
-            # (category, every fold): a category absent from a fold still needs a row for it,
-            # and its statistics are then the full totals of the category
-            cat = stats.groupBy(*by, col).agg(*[F.sum(x).alias(f"{x}_all") for x in names])
-            every = cat.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(k_folds - 1))))
-            own = stats.select(
-                *[F.col(b).alias(f"__o_{b}") for b in by],
-                F.col(col).alias("__o_cat"),
-                F.col(fold).alias("__o_fold"),
-                *names,
-            )
-            cond = F.col(col).eqNullSafe(F.col("__o_cat")) & (F.col(fold) == F.col("__o_fold"))
-            for b in by:
-                cond = cond & (F.col(b) == F.col(f"__o_{b}"))
-            joined = every.join(own, cond, "left").select(
-                *by, col, fold, *[(F.col(f"{x}_all") - F.coalesce(x, F.lit(0))).alias(x) for x in names]
-            )
-            # the fold's own training totals: sum over categories, (by, fold) rows
-            prior = joined.groupBy(*by, fold).agg(*[F.sum(x).alias(f"{x}_t") for x in names])
-            prior = prior.select(
-                *[F.col(b).alias(f"__p_{b}") for b in by],
-                F.col(fold).alias("__p_fold"),
-                *[f"{x}_t" for x in names],
-            )
-            pc = F.col(fold) == F.col("__p_fold")
-            for b in by:
-                pc = pc & (F.col(b) == F.col(f"__p_{b}"))
-            full = joined.join(F.broadcast(prior), pc)  # one row per (outer, inner) fold
-            enc = self._encoded(
-                F.col("__n"),
-                [F.col(f"__c{c}") for c in range(self.k)],
-                F.col("__n_t"),
-                [F.col(f"__c{c}_t") for c in range(self.k)],
-            )
-            tables[col] = full.select(
-                *by, col, fold, *[e.alias(x) for e, x in zip(enc, self.names(col))]
-            )
-        return tables
+            aggs = []
+            for f in range(k_folds):
+                here = F.col(fold) == f
+                aggs.append(F.sum(F.when(here, 1).otherwise(0)).alias(f"n{f}"))
+                aggs += [
+                    F.sum(F.when(here & (F.col(label) == c), 1).otherwise(0)).alias(f"c{f}_{c}")
+                    for c in range(self.k)
+                ]
+            wide[col] = train.groupBy(col).agg(*aggs).persist()
+            if totals is None:  # k_folds x (K + 1) numbers
+                names = [x for x in wide[col].columns if x != col]
+                totals = wide[col].agg(*[F.sum(x).alias(x) for x in names]).first().asDict()
+
+        def others(column: str, f: int):
+            """Sum over all folds but ``f``; ``column`` has a place for the fold number."""
+            return [column.format(g) for g in range(k_folds) if g != f]
+
+        def add(parts) -> Column:
+            acc = F.col(parts[0])
+            for x in parts[1:]:
+                acc = acc + F.col(x)
+            return acc
 
-    def fit_transform(
-        self, train: DataFrame, label: str, fold: str, k_folds: int, by: list[str] | None = None
-    ) -> DataFrame:
-        """Cross-fitted encodings of the training rows themselves."""
         out = train
-        for col, table in self.cross_fit_tables(train, label, fold, k_folds, by).items():
-            out = lookup_join(out, table, [*(by or []), col, fold], null_safe=True)
+        for col, table in wide.items():
+            per_fold = []
+            for f in range(k_folds):
+                per_fold.append(
+                    self._encoded(
+                        add(others("n{}", f)),
+                        [add(others(f"c{{}}_{c}", f)) for c in range(self.k)],
+                        F.lit(sum(totals[x] for x in others("n{}", f))),
+                        [F.lit(sum(totals[x] for x in others(f"c{{}}_{c}", f))) for c in range(self.k)],
+                    )
+                )
+            arrays = [
+                F.array(*[per_fold[f][c] for f in range(k_folds)]).alias(f"__te{c}")
+                for c in range(self.k)
+            ]
+            out = lookup_join(out, table.select(col, *arrays), [col], null_safe=True)
+            picked = {
+                x: F.element_at(f"__te{c}", F.col(fold) + 1) for c, x in enumerate(self.names(col))
+            }
+            out = out.withColumns(picked).drop(*[f"__te{c}" for c in range(self.k)])
+        every = {
+            col: table.select(
+                col,
+                add([f"n{f}" for f in range(k_folds)]).alias("__n"),
+                *[add([f"c{f}_{c}" for f in range(k_folds)]).alias(f"__c{c}") for c in range(self.k)],
+            )
+            for col, table in wide.items()
+        }
+        self._set_tables(
+            every,
+            sum(totals[f"n{f}"] for f in range(k_folds)),
+            [sum(totals[f"c{f}_{c}"] for f in range(k_folds)) for c in range(self.k)],
+        )
         return out
 
 

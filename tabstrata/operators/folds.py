@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabstrata.functions.hashing import seeded_md5, unit_hash
-from tabstrata.runtime import BROADCAST_ROWS, lookup_join
 
 
 def hash_rank(
@@ -24,20 +23,24 @@ def hash_rank(
     ``digits`` sets 16**digits buckets per stratum; 3 keeps a bucket near a million rows at four
     billion rows per stratum, raise it beyond. ``key`` must be unique.
     """
-    strata = strata or []
-    tagged = df.withColumn("__h", seeded_md5(seed, key)).withColumn(
+    groups = {
+        f"__s{i}": F.coalesce(F.col(s).cast("string"), F.lit("\u0000")) for i, s in enumerate(strata or [])
+    }
+    tagged = df.withColumns({**groups, "__h": seeded_md5(seed, key)}).withColumn(
         "__b", F.substring("__h", 1, digits)
     )
-    counts = tagged.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *strata, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
+        *groups, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
     )
-    inside = Window.partitionBy(*strata, "__b").orderBy("__h", key)
+    inside = Window.partitionBy(*groups, "__b").orderBy("__h", key)
     ranked = tagged.withColumn("__rn", F.row_number().over(inside))
-    # bucket count is 16**digits per stratum, so the offsets stay a small lookup table
-    joined = lookup_join(ranked, offsets, [*strata, "__b"], null_safe=True, limit=BROADCAST_ROWS)
-    return joined.withColumn(out, F.col("__rn") + F.col("__off")).drop("__h", "__b", "__rn", "__off")
+    # the window has already placed the rows by the join key, so the join shuffles counts only
+    joined = ranked.join(offsets, [*groups, "__b"])
+    return joined.withColumn(out, F.col("__rn") + F.col("__off")).drop(
+        *groups, "__h", "__b", "__rn", "__off"
+    )
 
 
 def stratified_folds(
@@ -64,8 +67,7 @@ def fan_out(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
 
     The long form of the k (train, valid) pairs, for aggregates over all pairs in one pass.
     """
-    outer = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    return df.withColumn("outer_fold", outer.cast("int")).withColumn(
+    return df.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
         "role", F.when(F.col(fold) == F.col("outer_fold"), "valid").otherwise("train")
     )
 

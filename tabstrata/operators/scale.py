@@ -73,6 +73,9 @@ class ColumnComposer:
     def fit(self, train: DataFrame, label: str) -> "ColumnComposer":
         if self.categories:
             self.encoder.fit(train, label)
+        return self._fit_scalers(train)
+
+    def _fit_scalers(self, train: DataFrame) -> "ColumnComposer":
         if self.standard:
             self.std.fit(train)
         if self.robust:
@@ -88,7 +91,7 @@ class ColumnComposer:
         return self._scaled(self.encoder.transform(df) if self.categories else df)
 
     def fit_transform(self, train: DataFrame, label: str, fold: str, k_folds: int) -> DataFrame:
-        self.fit(train, label)
+        self._fit_scalers(train)
         if self.categories:
             train = self.encoder.fit_transform(train, label, fold, k_folds)
         return self._scaled(train)

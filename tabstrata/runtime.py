@@ -72,10 +72,12 @@ def lookup_join(
     on (key, salt): the big side spreads each key over ``salts`` buckets, so a key holding a third
     of the rows does not land in one task, and the table is repeated once per salt.
     """
+    table = table.persist()  # counted here, joined later
     small = at_most(table, limit)
     renamed = table.select(
         *[F.col(c).alias(f"__k_{c}") if c in on else F.col(c) for c in table.columns]
     )
+
     def match(c):
         left, right = df[c], renamed[f"__k_{c}"]
         return left.eqNullSafe(right) if null_safe else left == right
