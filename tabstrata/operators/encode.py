@@ -13,6 +13,19 @@ from tabstrata.runtime import lookup_join, small_rows
 
 MAX_CLASSES = 10_000
 INLINE_CLASSES = 32
+MAX_CATEGORIES = 1_000_000
+
+
+def _map_values(df: DataFrame, column: str, out: str, pairs: list[tuple], kind: str) -> DataFrame:
+    """A CASE expression for a few values, a lookup join for many."""
+    if len(pairs) <= INLINE_CLASSES:
+        branch = F.lit(None).cast(kind)
+        for a, b in reversed(pairs):
+            branch = F.when(F.col(column) == F.lit(a), F.lit(b).cast(kind)).otherwise(branch)
+        return df.withColumn(out, branch)
+    source = df.schema[column].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(pairs, f"`{column}` {source}, `{out}` {kind}")
+    return lookup_join(df, table, [column])
 
 
 class LabelCodes:
@@ -30,50 +43,46 @@ class LabelCodes:
     def k(self) -> int:
         return len(self.classes)
 
-    def _map(self, df: DataFrame, column: str, out: str, pairs: list[tuple], kind: str) -> DataFrame:
-        if len(pairs) <= INLINE_CLASSES:
-            branch = F.lit(None).cast(kind)
-            for a, b in reversed(pairs):
-                branch = F.when(F.col(column) == F.lit(a), F.lit(b).cast(kind)).otherwise(branch)
-            return df.withColumn(out, branch)
-        source = df.schema[column].dataType.simpleString()
-        table = df.sparkSession.createDataFrame(pairs, f"`{column}` {source}, `{out}` {kind}")
-        return lookup_join(df, table, [column])
-
     def encode(self, df: DataFrame, label: str, out: str = "class_encoded") -> DataFrame:
-        """A CASE expression for a few classes, a lookup join for many."""
-        return self._map(df, label, out, [(c, i) for i, c in enumerate(self.classes)], "int")
+        return _map_values(df, label, out, [(c, i) for i, c in enumerate(self.classes)], "int")
 
     def decode(self, df: DataFrame, code: str, out: str = "class") -> DataFrame:
         kind = "string" if all(isinstance(c, str) for c in self.classes) else "long"
-        return self._map(df, code, out, list(enumerate(self.classes)), kind)
+        return _map_values(df, code, out, list(enumerate(self.classes)), kind)
 
 
 class CategoryCodes:
-    """Codes by descending frequency then name, fitted on train; unseen values get code n."""
+    """Codes by descending frequency then name, fitted on train; all other values get code n.
+
+    ``top`` keeps only the most frequent values (found by a distributed top-n).
+    """
+
+    def __init__(self, column: str, values: list[str]):
+        self.column, self.values = column, list(values)
 
-    def __init__(self, column: str, table: DataFrame, n: int):
-        self.column, self.table, self.n = column, table, n
+    @property
+    def n(self) -> int:
+        return len(self.values)
 
     @classmethod
-    def fit(cls, df: DataFrame, column: str) -> "CategoryCodes":
+    def fit(cls, df: DataFrame, column: str, top: int | None = None) -> "CategoryCodes":
         counts = (
             df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
         )
-        rows = small_rows(counts, 1_000_000, f"categories of {column}")
-        ordered = sorted(rows, key=lambda r: (-r["__c"], r[column]))
-        table = df.sparkSession.createDataFrame(
-            [(r[column], i) for i, r in enumerate(ordered)], f"`{column}` string, `__code` int"
-        )
-        return cls(column, table, len(ordered))
+        if top is not None:
+            counts = counts.orderBy(F.desc("__c"), column).limit(top)
+        rows = small_rows(counts, MAX_CATEGORIES, f"categories of {column}")
+        return cls(column, [r[column] for r in sorted(rows, key=lambda r: (-r["__c"], r[column]))])
 
     def encode(self, df: DataFrame, out: str) -> DataFrame:
-        joined = lookup_join(df, self.table, [self.column])
-        return joined.withColumn(out, F.coalesce("__code", F.lit(self.n))).drop("__code")
+        pairs = [(v, i) for i, v in enumerate(self.values)]
+        return _map_values(df, self.column, "__code", pairs, "int").withColumn(
+            out, F.coalesce("__code", F.lit(self.n))
+        ).drop("__code")
 
 
 def _class_counts(k: int, label: str) -> list[Column]:
-    return [F.sum(F.when(F.col(label) == c, 1).otherwise(0)).alias(f"__c{c}") for c in range(k)]
+    return [F.expr(f"count_if(`{label}` = {c})").alias(f"__c{c}") for c in range(k)]
 
 
 class TargetEncoder:
@@ -81,9 +90,8 @@ class TargetEncoder:
 
     ``enc_c = (n_c + s * prior_c) / (n + s)`` with a fixed ``smooth`` s, or with ``smooth="auto"``
     s = within-category variance / global variance of the class indicator (Micci-Barreca 2001).
-    Training rows are encoded from the other inner folds only: the statistics of a fold are the
-    totals minus the fold's own, so all folds come from one aggregation. New rows use all of train;
-    an unseen category gets the class prior.
+    Training rows are encoded from the other inner folds only, all folds from one aggregation. New
+    rows use all of train; an unseen category gets the class prior.
     """
 
     def __init__(self, columns: list[str], k: int, smooth: float | str = 10.0, out: str = "{col}_te_{k}"):
@@ -94,25 +102,19 @@ class TargetEncoder:
         return [self.out.format(col=c, k=c2) for c in cols for c2 in range(self.k)]
 
     # statistics -------------------------------------------------------------------------------
-    def _encoded(self, n: Column, counts: list[Column], total: Column, totals: list[Column]):
+    def _encoded(self, n: str, counts: list[str], total: int, totals: list[int]) -> list[str]:
+        """SQL text of the K encodings; one string parses faster than a tree of column calls."""
         out = []
-        for c in range(self.k):
-            prior = totals[c] / total
+        for count, class_total in zip(counts, totals):
+            prior = class_total / total if total else 1.0 / self.k
             if self.smooth == "auto":
-                n1 = F.when(n == 0, F.lit(1)).otherwise(n)
-                p = counts[c] / n1
                 spread = prior * (1.0 - prior)
-                s = F.when(spread == 0, F.lit(0.0)).otherwise(
-                    p * (1.0 - p) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
-                )
-                e = F.when(n == 0, prior).otherwise((counts[c] + s * prior) / (n1 + s))
+                p = f"(({count}) / ({n}))"
+                s = f"({p} * (1D - {p}) / {spread!r}D)" if spread else "0D"
             else:
-                s = float(self.smooth)
-                d = n + F.lit(s)
-                e = F.when(d == 0, prior).otherwise(
-                    (counts[c] + F.lit(s) * prior) / F.when(d == 0, F.lit(1.0)).otherwise(d)
-                )
-            out.append(e.cast("double"))
+                s = f"{float(self.smooth)!r}D"
+            shrunk = f"(({count}) + {s} * {prior!r}D) / (({n}) + {s})"
+            out.append(f"case when ({n}) = 0 then {prior!r}D else {shrunk} end")
         return out
 
     def fit(self, train: DataFrame, label: str) -> "TargetEncoder":
@@ -128,13 +130,10 @@ class TargetEncoder:
         self.prior_ = [t / n for t in totals]
         self.tables_ = {}
         for col, table in stats.items():
-            enc = self._encoded(
-                F.col("__n"),
-                [F.col(f"__c{c}") for c in range(self.k)],
-                F.lit(n),
-                [F.lit(t) for t in totals],
+            enc = self._encoded("__n", [f"__c{c}" for c in range(self.k)], n, totals)
+            self.tables_[col] = table.select(
+                col, *[F.expr(e).alias(x) for e, x in zip(enc, self.names(col))]
             )
-            self.tables_[col] = table.select(col, *[e.alias(x) for e, x in zip(enc, self.names(col))])
 
     def transform(self, df: DataFrame) -> DataFrame:
         for col in self.columns:
@@ -152,62 +151,50 @@ class TargetEncoder:
         """
         wide, totals = {}, None
         for col in self.columns:
-            aggs = []
-            for f in range(k_folds):
-                here = F.col(fold) == f
-                aggs.append(F.sum(F.when(here, 1).otherwise(0)).alias(f"n{f}"))
-                aggs += [
-                    F.sum(F.when(here & (F.col(label) == c), 1).otherwise(0)).alias(f"c{f}_{c}")
-                    for c in range(self.k)
-                ]
+            aggs = [F.expr(f"count_if(`{fold}` = {f})").alias(f"n{f}") for f in range(k_folds)]
+            aggs += [
+                F.expr(f"count_if(`{fold}` = {f} and `{label}` = {c})").alias(f"c{f}_{c}")
+                for f in range(k_folds)
+                for c in range(self.k)
+            ]
             wide[col] = train.groupBy(col).agg(*aggs).persist()
             if totals is None:  # k_folds x (K + 1) numbers
                 names = [x for x in wide[col].columns if x != col]
                 totals = wide[col].agg(*[F.sum(x).alias(x) for x in names]).first().asDict()
 
-        def others(column: str, f: int):
-            """Sum over all folds but ``f``; ``column`` has a place for the fold number."""
+        def others(column: str, f: int | None = None):
+            """Names of a count over all folds but ``f``; ``column`` has a place for the fold."""
             return [column.format(g) for g in range(k_folds) if g != f]
 
-        def add(parts) -> Column:
-            acc = F.col(parts[0])
-            for x in parts[1:]:
-                acc = acc + F.col(x)
-            return acc
-
         out = train
         for col, table in wide.items():
             per_fold = []
             for f in range(k_folds):
-                per_fold.append(
-                    self._encoded(
-                        add(others("n{}", f)),
-                        [add(others(f"c{{}}_{c}", f)) for c in range(self.k)],
-                        F.lit(sum(totals[x] for x in others("n{}", f))),
-                        [F.lit(sum(totals[x] for x in others(f"c{{}}_{c}", f))) for c in range(self.k)],
-                    )
-                )
+                names = [others("n{}", f)] + [others(f"c{{}}_{c}", f) for c in range(self.k)]
+                sums = [sum(totals[x] for x in parts) for parts in names]
+                text = [" + ".join(parts) for parts in names]
+                per_fold.append(self._encoded(text[0], text[1:], sums[0], sums[1:]))
             arrays = [
-                F.array(*[per_fold[f][c] for f in range(k_folds)]).alias(f"__te{c}")
+                F.expr("array(" + ", ".join(e[c] for e in per_fold) + ")").alias(f"__te{c}")
                 for c in range(self.k)
             ]
             out = lookup_join(out, table.select(col, *arrays), [col], null_safe=True)
             picked = {
-                x: F.element_at(f"__te{c}", F.col(fold) + 1) for c, x in enumerate(self.names(col))
+                x: F.expr(f"__te{c}[`{fold}`]") for c, x in enumerate(self.names(col))
             }
             out = out.withColumns(picked).drop(*[f"__te{c}" for c in range(self.k)])
         every = {
             col: table.select(
                 col,
-                add([f"n{f}" for f in range(k_folds)]).alias("__n"),
-                *[add([f"c{f}_{c}" for f in range(k_folds)]).alias(f"__c{c}") for c in range(self.k)],
+                F.expr(" + ".join(others("n{}"))).alias("__n"),
+                *[F.expr(" + ".join(others(f"c{{}}_{c}"))).alias(f"__c{c}") for c in range(self.k)],
             )
             for col, table in wide.items()
         }
         self._set_tables(
             every,
-            sum(totals[f"n{f}"] for f in range(k_folds)),
-            [sum(totals[f"c{f}_{c}"] for f in range(k_folds)) for c in range(self.k)],
+            sum(totals[x] for x in others("n{}")),
+            [sum(totals[x] for x in others(f"c{{}}_{c}")) for c in range(self.k)],
         )
         return out
 
