@@ -123,7 +123,7 @@ def link_array(m: np.ndarray, link: str) -> np.ndarray:
     if link == "softmax":
         return softmax_array(m)
     if link == "log_loss":
-        raw = 1.0 / (1.0 + np.exp(-m))
+        raw = 1.0 / (1.0 + np.exp(-np.clip(m, -700.0, 700.0)))
     else:
         raw = (np.clip(m, -1.0, 1.0) + 1.0) / 2.0
     s = raw.sum(axis=1, keepdims=True)

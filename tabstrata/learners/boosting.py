@@ -33,6 +33,10 @@ from tabstrata.operators.encode import CategoryCodes, weights_from_counts
 from tabstrata.runtime import checkpoint, small_rows
 
 
+# doubles in the widest histogram level the driver holds at once (512 MB)
+HISTOGRAM_CELLS = 2**26
+
+
 @dataclass(frozen=True)
 class BoostSpec:
     """Everything that defines a boosted model; tuned and final fits share one spec."""
@@ -333,14 +337,31 @@ class HistogramBooster:
         return keep
 
     def _grow(self, state, b: _Booster, round_, order, only_loss=False):
-        """One tree per (model, class), level by level; also the hold-out loss of each model."""
-        spec, k, m, d, nb = self.spec, self.k, len(b.held), b.width, b.bins
-        trees = [[Tree.empty(spec.max_depth, nb) for _ in range(k)] for _ in range(m)]
+        """One tree per (model, class), level by level; also the hold-out loss of each model.
+
+        All trees share their jobs unless the histograms of a deep level would outgrow the driver;
+        then the trees are grown in groups.
+        """
+        spec, k, m = self.spec, self.k, len(b.held)
+        trees = [[Tree.empty(spec.max_depth, b.bins) for _ in range(k)] for _ in range(m)]
+        roots = [(i, c, 0) for i in range(m) for c in range(k)]
+        per_tree = 2 ** max(spec.max_depth - 1, 0) * b.width * b.bins * 3
+        size = max(1, HISTOGRAM_CELLS // per_tree)
+        loss = None
+        for at in range(0, len(roots), size):
+            found = self._grow_group(state, b, round_, order, trees, roots[at : at + size], only_loss)
+            loss = found if loss is None else loss
+            if only_loss:
+                break
+        return trees, loss
+
+    def _grow_group(self, state, b: _Booster, round_, order, trees, open_nodes, only_loss):
+        spec, m = self.spec, len(b.held)
+        grown = {(i, c) for i, c, _ in open_nodes}
         offered = self._features(round_)
         parents = None  # histograms of the previous level, keyed by (model, class, node)
         gains: dict = {}
         loss = np.full(m, np.inf)
-        open_nodes = [(i, c, 0) for i in range(m) for c in range(k)]
         for depth in range(spec.max_depth + 1):
             if depth == 0:
                 asked = open_nodes
@@ -353,7 +374,7 @@ class HistogramBooster:
             if depth == 0:
                 loss = np.where(extra[:, 1] > 0, extra[:, 0] / np.maximum(extra[:, 1], 1e-300), np.inf)
                 if only_loss:
-                    return trees, loss
+                    return loss
             level = {}
             for pos, node in enumerate(asked):
                 level[node] = hist[pos]
@@ -382,10 +403,10 @@ class HistogramBooster:
                         nxt += [(i, c, 2 * n + 1), (i, c, 2 * n + 2)]
             parents, open_nodes = level, nxt
         if spec.max_leaves and not spec.symmetric:
-            for i in range(m):
-                for c in range(k):
-                    _keep_best_leaves(trees[i][c], {n: v for (a, q, n), v in gains.items() if (a, q) == (i, c)}, spec.max_leaves)
-        return trees, loss
+            for i, c in grown:
+                own = {n: v for (a, q, n), v in gains.items() if (a, q) == (i, c)}
+                _keep_best_leaves(trees[i][c], own, spec.max_leaves)
+        return loss
 
     def _histograms(self, state, b: _Booster, round_, trees, asked, totals_only):
         """(asked, feature, bin, 3) sums of gradient, hessian and rows, plus (models, 2) hold-out loss.

@@ -64,17 +64,24 @@ def _distances(q: np.ndarray, t: np.ndarray, p: int) -> np.ndarray:
 def _nearest(q, t, q_group, t_group, t_key, k, p):
     """(query index, training index, distance) of the k nearest, by (distance, key)."""
     order = np.argsort(t_key, kind="stable")
-    t, t_group, idx = t[order], t_group[order], order
+    t, t_group, idx = t[order], t_group[order], order  # columns in key order
     rows, cols, dist = [], [], []
     for a in range(0, len(q), 256):
         d = _distances(q[a : a + 256], t, p)
         d[q_group[a : a + 256, None] == t_group[None, :]] = np.inf
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(d, take, axis=1)
-        r, c = np.nonzero(np.isfinite(best))
-        rows.append(r + a)
-        cols.append(idx[take[r, c]])
-        dist.append(best[r, c])
+        if d.shape[1] > k:
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            r, c = np.nonzero((d <= kth) & np.isfinite(d))  # at least k, with all ties
+        else:
+            r, c = np.nonzero(np.isfinite(d))
+        v = d[r, c]
+        by = np.lexsort((c, v, r))  # columns are in key order
+        r, c, v = r[by], c[by], v[by]
+        place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+        keep = place < k
+        rows.append(r[keep] + a)
+        cols.append(idx[c[keep]])
+        dist.append(v[keep])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
@@ -87,7 +94,7 @@ def knn_join(
     k: int = 5,
     p: int = 2,
     group: str | None = None,
-    cell_rows: int = 4_000,
+    cell_rows: int = 1_000,
 ) -> DataFrame:
     """(key, neighbour, distance, label, rank) of the k nearest training rows of every query."""
     g = F.col(group).cast("long") if group else F.lit(-1).cast("long")

@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,21 +70,24 @@ class ElasticNetLogistic:
 
 
 class SparkMLModel:
-    """Wraps fitted spark.ml classifiers; probabilities of several are averaged."""
+    """Wraps fitted spark.ml classifiers; probabilities of several are averaged.
 
-    def __init__(self, models, features, k, prepare=None):
-        self.models, self.features, self.k = list(models), list(features), k
-        self._prepare = prepare
+    ``cuts[i]`` holds model i's own cut points per feature (extra trees), else features are used
+    as they are.
+    """
+
+    def __init__(self, models, features, k, cuts: list[dict] | None = None):
+        self.models, self.features, self.k, self.cuts = list(models), list(features), k, cuts
 
     def score(self, df: DataFrame, prefix: str) -> DataFrame:
         out = df
         for i, m in enumerate(self.models):
-            source = self._prepare(out, i) if self._prepare else out
-            names = [f"__x{f}" for f in self.features] if self._prepare else self.features
+            source = cut_features(out, self.cuts[i]) if self.cuts else out
+            names = [f"__x{f}" for f in self.features] if self.cuts else self.features
             vec = VectorAssembler(inputCols=names, outputCol="__features").transform(source)
             m = m.copy().setFeaturesCol("__features")
             m.setProbabilityCol(f"__pr{i}").setRawPredictionCol(f"__raw{i}").setPredictionCol(f"__pd{i}")
-            out = m.transform(vec).drop("__features", f"__raw{i}", f"__pd{i}", *(names if self._prepare else []))
+            out = m.transform(vec).drop("__features", f"__raw{i}", f"__pd{i}", *(names if self.cuts else []))
             out = out.withColumn(f"__p{i}", vector_to_array(f"__pr{i}")).drop(f"__pr{i}")
         n = len(self.models)
         cols = []
@@ -97,6 +100,15 @@ class SparkMLModel:
         return out.select(*df.columns, *cols)
 
 
+def cut_features(df: DataFrame, points: dict[str, list[float]]) -> DataFrame:
+    """``__x<feature>``: how many of the feature's cut points lie at or below its value."""
+    names = list(points)
+    splits = [[float("-inf"), *sorted(set(points[c])), float("inf")] for c in names]
+    return Bucketizer(
+        splitsArray=splits, inputCols=names, outputCols=[f"__x{c}" for c in names], handleInvalid="keep"
+    ).transform(df)
+
+
 class RandomForest:
     """Bagged trees. ``log_loss`` means entropy; ``balanced_subsample`` means balanced; a minimum
     split size has no counterpart in Spark's trees."""
@@ -160,20 +172,11 @@ class ExtraTrees:
             for r in draws.collect()  # n_estimators rows
         }
 
-        def cut(frame: DataFrame, tree: int) -> DataFrame:
-            texts = {
-                f"__x{c}": F.expr(
-                    "cast(" + " + ".join(f"int(`{c}` > {v!r}D)" for v in points[tree][c]) + " as double)"
-                )
-                for c in features
-            }
-            return frame.withColumns(texts)
-
         weight = _weight(df, label, self.class_weight)
         names = [f"__x{c}" for c in features]
 
         def one(tree: int):
-            data = cut(df.withColumn("__w", weight), tree)
+            data = cut_features(df.withColumn("__w", weight), points[tree])
             return RandomForestClassifier(
                 featuresCol="__features",
                 labelCol="__label",
@@ -184,13 +187,13 @@ class ExtraTrees:
                 maxDepth=self.max_depth,
                 minInstancesPerNode=self.min_samples_leaf,
                 impurity="gini" if self.criterion == "gini" else "entropy",
-                maxBins=self.cuts + 1,
+                maxBins=self.cuts + 2,
                 seed=self.seed + tree,
             ).fit(assembled(data, names, label, F.col("__w")))
 
         with ThreadPoolExecutor(self.parallelism) as pool:
             models = list(pool.map(one, range(self.n_estimators)))
-        return SparkMLModel(models, features, self.k, prepare=cut)
+        return SparkMLModel(models, features, self.k, [points[t] for t in range(self.n_estimators)])
 
 
 class Perceptron:

@@ -1 +1,319 @@
+"""Learners (M), out-of-fold scoring (V5, V6), scoring (C1) and the score table (G3)."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from tabstrata.learners import boosting as BO
+from tabstrata.learners.base import score as score_models
+from tabstrata.learners.knn import knn_join, vote
+from tabstrata.learners.linear import AveragedSGD
+from tabstrata.learners.moments import MomentLearner, fold_moments
+from tabstrata.operators import features as FE
+from tabstrata.operators import metrics as ME
+from tabstrata.operators.folds import stratified_folds
+from tabstrata.operators.scale import StandardScaler
+from tabstrata.plans.catalog.common import R, rounded
+from tabstrata.plans.fixtures import FOLD_SQL, fold_sql, table, training_frame
+from tabstrata.plans.pipeline import Pipeline
+from tabstrata.plans.registry import LEARNERS
+from tabstrata.plans.stack import mean_scores
+from tabstrata.sources.tables import CATEGORIES, NUMERIC
+
 QUERIES, ORACLE = {}, {}
+K, LABEL = 3, "class_encoded"
+ROUNDS = 4  # the size of a boosted model is an argument; the registered queries keep it small
+
+
+def query(name, sql=None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+
+    return add
+
+
+def _probabilities(scored, prefix, *keys):
+    return rounded(scored.select("id", *keys, *[f"{prefix}_{c}" for c in range(K)]))
+
+
+# boosting: out-of-fold probabilities of every row, all folds trained in the same jobs --------------
+def _boost(spark, sf, spec, prefix):
+    df = training_frame(spark, sf)
+    learner = BO.HistogramBooster(K, replace(spec, rounds=ROUNDS, learning_rate=0.3), NUMERIC, CATEGORIES)
+    pipe = Pipeline(learner, NUMERIC, CATEGORIES)
+    return _probabilities(pipe.out_of_fold(df, LABEL, "fold", 5, prefix), prefix, "fold")
+
+
+@query("m1_xgboost_style")
+def m1(spark, sf):
+    return _boost(spark, sf, replace(BO.DEPTHWISE, max_depth=4, subsample=0.8, colsample=0.8, gamma=0.1), "xgb")
+
+
+@query("m2_lightgbm_style")
+def m2(spark, sf):
+    return _boost(spark, sf, replace(BO.LEAFWISE, max_depth=5, max_leaves=16, subsample=0.8, reg_alpha=0.1), "lgbm")
+
+
+@query("m3_catboost_style")
+def m3(spark, sf):
+    return _boost(spark, sf, replace(BO.SYMMETRIC, max_depth=4, class_weight="sqrt_ratio", early_stopping=2), "cat")
+
+
+@query("m6_hist_gradient_boosting")
+def m6(spark, sf):
+    return _boost(spark, sf, replace(BO.HISTOGRAM, max_depth=4, early_stopping=2), "hgb")
+
+
+@query("m15_baseline_boosters")
+def m15(spark, sf):
+    """Scores of the three fixed boosters on the raw features, per fold."""
+    df = training_frame(spark, sf, k=3)
+    return rounded(mean_scores(df, LABEL, {"raw": (NUMERIC, CATEGORIES)}, K, k_folds=3, cap=2))
+
+
+# learners from the registry, fitted on all rows -----------------------------------------------------
+def _registered(spark, sf, name, params, cap=None, prefix="p"):
+    df = training_frame(spark, sf)
+    pipe = LEARNERS[name].build(params, K, NUMERIC, CATEGORIES, cap)
+    return _probabilities(pipe.fit(df, LABEL).score(df, prefix), prefix)
+
+
+@query("m4_extra_trees")
+def m4(spark, sf):
+    p = dict(n_estimators=4, max_depth=6, min_samples_leaf=20, max_features=0.4, criterion="gini")
+    return _registered(spark, sf, "extra_tree", p, 4, "et")
+
+
+@query("m5_random_forest")
+def m5(spark, sf):
+    p = dict(
+        n_estimators=10, max_depth=8, min_samples_split=2, min_samples_leaf=20, max_features="sqrt",
+        criterion="log_loss", bootstrap=True, class_weight="balanced",
+    )
+    return _registered(spark, sf, "random_forest", p, 10, "rf")
+
+
+@query("m7_logistic_regression")
+def m7(spark, sf):
+    return _registered(spark, sf, "logistic_regression", dict(C=1.0, l1_ratio=0.5), 20, "lg")
+
+
+@query("m8_ridge_isotonic")
+def m8_isotonic(spark, sf):
+    return _registered(spark, sf, "ridge", dict(alpha=1.0, fit_intercept=True), None, "ridge")
+
+
+@query("m9_sgd")
+def m9(spark, sf):
+    """Standardised features, hinge loss with softmax over the margins, out of fold."""
+    df = training_frame(spark, sf)
+    ready = StandardScaler(NUMERIC).fit(df).transform(df).persist()
+    learner = AveragedSGD(K, loss="log_loss", penalty="elasticnet", average=True, max_iter=5)
+    models = learner.fit_folds(ready, NUMERIC, LABEL, "fold", 5)
+    return _probabilities(score_models(ready, models, "sgd", "fold"), "sgd", "fold")
+
+
+@query("m10_linear_svc")
+def m10(spark, sf):
+    return _registered(spark, sf, "linear_svc", dict(penalty="l2", C=0.1, tol=1e-3), 8, "svc")
+
+
+@query("m11_mlp")
+def m11(spark, sf):
+    p = dict(n_layers=1, hidden_0=16, batch_size=128, tol=1e-4)
+    return _registered(spark, sf, "mlp", p, 20, "mlp")
+
+
+@query("m14_svd_knn")
+def m14_svd(spark, sf):
+    p = dict(n_components=4, n_neighbors=10, weights="distance", p=2, metric="minkowski")
+    return _registered(spark, sf, "trunsvd_knn", p, None, "knn")
+
+
+# closed forms on two features, with SQL --------------------------------------------------------------
+_TWO = ["u", "z"]
+# moments of every outer training set j (class y), features 1 and 2
+_MOMENTS_SQL = (
+    FOLD_SQL
+    + """, j as (select cast(unnest(range(5)) as integer) as j),
+  m as (select j, y, count(*) as n, sum(u) as s1, sum(z) as s2, sum(u * u) as q11, sum(u * z) as q12, sum(z * z) as q22
+        from f, j where fold <> j group by 1, 2),
+  t as (select j, sum(n) as nn from m group by 1),
+  c as (select m.*, nn, s1 / n as a1, s2 / n as a2, q11 - s1 * s1 / n as c11, q12 - s1 * s2 / n as c12,
+        q22 - s2 * s2 / n as c22 from m join t using (j))"""
+)
+
+
+def _soft_sql(prefix):
+    """p_k from a CTE sc(id, fold, y, m): softmax over the classes of a row."""
+    cols = ", ".join(R(f"max(case when y = {c} then e end) / sum(e)", f"{prefix}_{c}") for c in range(K))
+    return (
+        "x as (select id, fold, y, exp(m - max(m) over (partition by id)) as e from sc) "
+        f"select id, fold, {cols} from x group by id, fold"
+    )
+
+
+@query(
+    "m12_class_moments",
+    f"with {FOLD_SQL} select fold, y as class_encoded, count(*) as n, {R('sum(u)', 's_u')}, {R('sum(z)', 's_z')}, "
+    f"{R('sum(u * u)', 's_uu')}, {R('sum(u * z)', 's_uz')}, {R('sum(z * z)', 's_zz')} from f group by 1, 2",
+)
+def m12_moments(spark, sf):
+    df = training_frame(spark, sf)
+    rows = []
+    for f, m in enumerate(fold_moments(df, _TWO, LABEL, K, "fold", 5)):
+        for c in range(K):
+            (uu, uz), (_, zz) = m.ss[c]
+            rows.append((f, c, int(m.n[c]), *map(float, (*m.s[c], uu, uz, zz))))
+    cols = "fold int, class_encoded int, n long, s_u double, s_z double, s_uu double, s_uz double, s_zz double"
+    return rounded(spark.createDataFrame(rows, cols))
+
+
+_LDA_SQL = f"""with {_MOMENTS_SQL},
+  w as (select j, sum(c11) / (any_value(nn) - 3) as p, sum(c12) / (any_value(nn) - 3) as q, sum(c22) / (any_value(nn) - 3) as r from c group by 1),
+  k as (select c.j, y, (r * a1 - q * a2) / (p * r - q * q) as k1, (p * a2 - q * a1) / (p * r - q * q) as k2, a1, a2, n, nn
+        from c join w using (j)),
+  sc as (select id, f.fold, k.y, ln(n * 1e0 / nn) - 0.5e0 * (k1 * a1 + k2 * a2) + k1 * u + k2 * z as m from f join k on k.j = f.fold),
+  {{soft}}"""
+
+
+def _moment_oof(spark, sf, kind, prefix, **params):
+    df = training_frame(spark, sf)
+    pipe = Pipeline(MomentLearner(kind, K, **params), _TWO)
+    return _probabilities(pipe.out_of_fold(df, LABEL, "fold", 5, prefix), prefix, "fold")
+
+
+@query("m12_lda_oof", _LDA_SQL.format(soft=_soft_sql("lda")))
+def m12(spark, sf):
+    return _moment_oof(spark, sf, "lda", "lda", solver="svd")
+
+
+@query(
+    "m12_lda_shrunk_oof",
+    f"""with {_MOMENTS_SQL},
+  g as (select j, n * 1e0 / nn as pr, c11 / n as b11, c12 / n as b12, c22 / n as b22 from c),
+  w as (select j, sum(pr * (0.7e0 * b11 + 0.3e0 * (b11 + b22) / 2)) as p, sum(pr * 0.7e0 * b12) as q,
+        sum(pr * (0.7e0 * b22 + 0.3e0 * (b11 + b22) / 2)) as r from g group by 1),
+  k as (select c.j, y, (r * a1 - q * a2) / (p * r - q * q) as k1, (p * a2 - q * a1) / (p * r - q * q) as k2, a1, a2, n, nn
+        from c join w using (j)),
+  sc as (select id, f.fold, k.y, ln(n * 1e0 / nn) - 0.5e0 * (k1 * a1 + k2 * a2) + k1 * u + k2 * z as m from f join k on k.j = f.fold),
+  {_soft_sql('lda')}""",
+)
+def m12_shrunk(spark, sf):
+    return _moment_oof(spark, sf, "lda", "lda", solver="lsqr", shrinkage=0.3)
+
+
+@query(
+    "m13_qda_oof",
+    f"""with {_MOMENTS_SQL},
+  k as (select j, y, a1, a2, ln(n * 1e0 / nn) as pr, 0.9e0 * c11 / (n - 1) + 0.1e0 as v1, 0.9e0 * c12 / (n - 1) as v12,
+        0.9e0 * c22 / (n - 1) + 0.1e0 as v2 from c),
+  sc as (select id, f.fold, k.y, pr - 0.5e0 * ln(v1 * v2 - v12 * v12) - 0.5e0 *
+        (v2 * (u - a1) * (u - a1) - 2 * v12 * (u - a1) * (z - a2) + v1 * (z - a2) * (z - a2)) / (v1 * v2 - v12 * v12) as m
+        from f join k on k.j = f.fold),
+  {_soft_sql('qda')}""",
+)
+def m13(spark, sf):
+    return _moment_oof(spark, sf, "qda", "qda", reg_param=0.1)
+
+
+_SIGN = "(case when c.y = t.y then 1 else -1 end)"
+
+
+@query(
+    "m8_ridge_margins",
+    f"""with {_MOMENTS_SQL},
+  v as (select *, nn * 1e0 / (3 * n) as wt from c),
+  g as (select j, sum(wt * n) as sw, sum(wt * s1) as x1, sum(wt * s2) as x2, sum(wt * q11) as g11, sum(wt * q12) as g12,
+        sum(wt * q22) as g22 from v group by 1),
+  ts as (select cast(unnest(range(3)) as integer) as y),
+  b as (select c.j, t.y, sum(wt * n * {_SIGN}) as sy, sum(wt * s1 * {_SIGN}) as h1, sum(wt * s2 * {_SIGN}) as h2
+        from v c, ts t group by 1, 2),
+  e as (select b.j, b.y, sw, x1, x2, sy, g11 - x1 * x1 / sw + 2 as p, g12 - x1 * x2 / sw as q, g22 - x2 * x2 / sw + 2 as r,
+        h1 - x1 * sy / sw as d1, h2 - x2 * sy / sw as d2 from b join g using (j)),
+  k as (select *, (r * d1 - q * d2) / (p * r - q * q) as k1, (p * d2 - q * d1) / (p * r - q * q) as k2 from e),
+  o as (select id, fold, k.y, (sy - k1 * x1 - k2 * x2) / sw + k1 * u + k2 * z as m from f join k on k.j = f.fold)
+  select id, fold, {', '.join(R(f'max(case when y = {c} then m end)', f'margin_{c}') for c in range(K))} from o group by 1, 2""",
+)
+def m8(spark, sf):
+    df = training_frame(spark, sf)
+    models = MomentLearner("ridge", K, alpha=2.0).fit_folds(df, _TWO, LABEL, "fold", 5)
+    cols = []
+    for c in range(K):
+        cases = " ".join(f"when {j} then {m.margin_texts()[c]}" for j, m in enumerate(models[:-1]))
+        cols.append(F.expr(f"case fold {cases} end").alias(f"margin_{c}"))
+    return rounded(df.select("id", "fold", *cols))
+
+
+_KNN_CLASSES = 10
+
+
+def _embedding_folds(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    wide = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return stratified_folds(wide, "vec_id", "label", 5)
+
+
+_KNN_SQL = f"""with e as (select vec_id as id, label as y, cast(embedding as double[]) as v from embeddings),
+  f as ({fold_sql('e')}),
+  d as (select a.id, b.y, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as rn
+        from f a join f b on a.fold <> b.fold)
+  select id as vec_id, {', '.join(R(f'avg(case when y = {c} then 1e0 else 0e0 end)', f'knn_{c}') for c in range(_KNN_CLASSES))}
+  from d where rn <= 5 group by 1"""
+
+
+@query("m14_knn_vote", _KNN_SQL)
+def m14(spark, sf):
+    """Out-of-fold 5-NN shares on the embeddings; every row is a query against the other folds."""
+    df = _embedding_folds(spark, sf).persist()
+    near = knn_join(df, df, "vec_id", [f"e{i}" for i in range(64)], "label", 5, 2, group="fold")
+    return rounded(vote(near, "vec_id", "label", _KNN_CLASSES, "uniform", "knn"))
+
+
+# V and G that need a fit -----------------------------------------------------------------------------
+@query("v5_cv_mean_score")
+def v5(spark, sf):
+    """Mean negated log loss per (model, feature set): raw and engineered features, three boosters."""
+    df = training_frame(spark, sf, k=3)
+    spec = FE.FeatureSpec()
+    wide = FE.engineer(df, spec).persist()
+    extra = [c for c in wide.columns if c not in df.columns]
+    sets = {"raw": (NUMERIC, CATEGORIES), "engineered": (NUMERIC + extra, CATEGORIES)}
+    return rounded(ME.negated_mean(mean_scores(wide, LABEL, sets, K, k_folds=3, cap=1), ["model", "feature_set"]))
+
+
+@query("v6_oof_probabilities", _LDA_SQL.format(soft=_soft_sql("oof")))
+def v6(spark, sf):
+    return _moment_oof(spark, sf, "lda", "oof", solver="svd")
+
+
+@query("c1_score_table")
+def c1(spark, sf):
+    """Probabilities of three fitted models as columns of one table."""
+    df = training_frame(spark, sf)
+    out = df
+    for name, params in (("lda", dict(solver="svd")), ("qda", dict(reg_param=0.1)), ("ridge", dict(alpha=1.0))):
+        out = MomentLearner(name, K, **params).fit(df, NUMERIC, LABEL).score(out, name)
+    return rounded(out.select("id", *[f"{n}_{c}" for n in ("lda", "qda", "ridge") for c in range(K)]))
+
+
+
+@query("g3_negated_log_loss")
+def g3(spark, sf):
+    df = training_frame(spark, sf)
+    parts = []
+    for kind in ("lda", "qda"):
+        for name, cols in (("two", _TWO), ("all", NUMERIC)):
+            pipe = Pipeline(MomentLearner(kind, K), cols)
+            scored = pipe.out_of_fold(df, LABEL, "fold", 5, "p")
+            losses = ME.log_loss(scored, LABEL, [f"p_{c}" for c in range(K)], ["fold"])
+            parts.append(losses.select(F.lit(kind).alias("model"), F.lit(name).alias("feature_set"), "fold", "log_loss"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(ME.negated_mean(out, ["model", "feature_set"]))
