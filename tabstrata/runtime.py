@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable by the Python workers of the session's executors.
+
+    Not needed when it is installed on the cluster or passed with ``--py-files``.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="tabstrata-pkg-"), "tabstrata")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "tabstrata"))
+    _SHIPPED.add(app)
+
+
 # A lookup table is broadcast only below this many rows; beyond it the join is salted.
 BROADCAST_ROWS = 500_000
 SALTS = 32
@@ -89,9 +108,8 @@ def lookup_join(
             cond = cond & match(c)
         return df.join(F.broadcast(renamed), cond, "left").drop(*keys)
     df = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    renamed = renamed.withColumn(
-        "__ksalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")
-    )
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    renamed = renamed.withColumn("__ksalt", F.explode(every))
     cond = df["__salt"] == renamed["__ksalt"]
     for c in on:
         cond = cond & match(c)
