@@ -13,7 +13,7 @@ Category columns come in as codes, one bin per code (rare codes past the bin lim
 one); their bins are ordered by mean gradient inside a node, or by a fixed target mean, and split
 along that order. Bins are quantiles of all rows without labels, shared by the folds.
 
-Deviations from the libraries this stands in for: approximate quantile bins, the diagonal softmax
+Deviations from the libraries this stands in for: quantile bins shared by all folds, the diagonal softmax
 hessian 2p(1-p) for every preset, no split-score noise and no ordered boosting.
 """
 
@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 from tabstrata.functions.hashing import unit_hash
 from tabstrata.learners.base import Model, partial_sums, softmax_array, training_rows
 from tabstrata.operators.encode import CategoryCodes, weights_from_counts
-from tabstrata.runtime import checkpoint, small_rows
+from tabstrata.runtime import at_most, checkpoint, small_rows
 
 
+EXACT_BIN_ROWS = 500_000
 # doubles in the widest histogram level the driver holds at once (512 MB)
 HISTOGRAM_CELLS = 2**26
 
@@ -123,11 +124,14 @@ class Binner:
     codes: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "Binner":
+        """Exact quantiles up to EXACT_BIN_ROWS rows, a mergeable sketch of all rows beyond."""
         probs = [i / self.max_bins for i in range(1, self.max_bins)]
         if self.numeric:
-            aggs = [
-                F.percentile_approx(c, probs, 10 * self.max_bins).alias(c) for c in self.numeric
-            ]
+            if at_most(df, EXACT_BIN_ROWS):
+                points = F.array(*[F.lit(p) for p in probs])
+                aggs = [F.percentile(c, points).alias(c) for c in self.numeric]
+            else:
+                aggs = [F.percentile_approx(c, probs, 10 * self.max_bins).alias(c) for c in self.numeric]
             row = df.agg(*aggs).first()
             self.cuts = {c: np.unique(np.array(row[c], dtype=float)) for c in self.numeric}
         self.codes = {c: CategoryCodes.fit(df, c, self.max_bins - 1) for c in self.categories}
