@@ -16,12 +16,12 @@ from tabstrata.functions.hashing import seeded_md5, unit_hash
 
 
 def hash_rank(
-    df: DataFrame, key: str, seed, strata: list[str] | None = None, out: str = "rank", digits: int = 3
+    df: DataFrame, key: str, seed, strata: list[str] | None = None, out: str = "rank", digits: int = 4
 ) -> DataFrame:
     """1-based rank of every row by (md5(seed|key), key) within its stratum.
 
-    ``digits`` sets 16**digits buckets per stratum; 3 keeps a bucket near a million rows at four
-    billion rows per stratum, raise it beyond. ``key`` must be unique.
+    ``digits`` sets 16**digits buckets per stratum: with 4 a stratum of 10**12 rows has buckets of
+    15 million rows, and the table of bucket counts has 65,536 rows. ``key`` must be unique.
     """
     groups = {
         f"__s{i}": F.coalesce(F.col(s).cast("string"), F.lit("\u0000")) for i, s in enumerate(strata or [])

@@ -69,8 +69,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded(spark: SparkSession, sf_dir: str, k: int = 5, seed=42) -> DataFrame:
     """Labelled rows with a stratified fold."""
-    # ranking reads its input twice (counts, rows), so the joined table is cached
-    return stratified_folds(labelled(spark, sf_dir).persist(), "id", "class_encoded", k, seed)
+    # ranking reads its input twice, for counts and for rows; both share the exchanges below the
+    # joins, and only the columns a caller selects are carried along
+    return stratified_folds(labelled(spark, sf_dir), "id", "class_encoded", k, seed)
 
 
 def training_frame(spark: SparkSession, sf_dir: str, k: int = 5, seed=42, extra=()) -> DataFrame:

@@ -84,6 +84,8 @@ class Study:
         rows = sample(spark, self.space, self.name, n_trials, start, self.seed).orderBy("trial").collect()
 
         def one(row):
+            if parallelism > 1:  # with FAIR scheduling every trial gets its own pool
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{row['trial']}")
             entry = {"params": as_params(row, self.space), "scores": [], "state": "RUNNING"}
             self.trials[row["trial"]] = entry
             try:
@@ -99,7 +101,7 @@ class Study:
         if parallelism == 1:
             for r in rows:
                 one(r)
-        else:  # jobs of different trials share the cluster; set spark.scheduler.mode=FAIR for even shares
+        else:  # jobs of different trials share the cluster; spark.scheduler.mode=FAIR evens it out
             with ThreadPoolExecutor(parallelism) as pool:
                 list(pool.map(one, rows))
         return self

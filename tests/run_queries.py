@@ -40,6 +40,9 @@ def main():
             if n in sql:
                 res = con.execute(sql[n]).fetchdf()
                 diff = oracle.differences(pdf, res)
+                width = [f"{c}:{pdf[c].dtype}/{res[c].dtype}" for c in res.columns if str(pdf[c].dtype) != str(res[c].dtype) and pdf[c].dtype.kind in "iuf"]
+                if width:
+                    print("   types", width)
                 state = "ok" if not diff else "DIFF " + "; ".join(diff)[:1500]
                 bad += bool(diff)
                 print(f"{n}: {state} rows={len(pdf)} spark={t1-t0:.1f}s sql={time.time()-t1:.1f}s", flush=True)
