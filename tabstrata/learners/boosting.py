@@ -34,8 +34,9 @@ from tabstrata.runtime import at_most, checkpoint, small_rows
 
 
 EXACT_BIN_ROWS = 500_000
-# doubles in the widest histogram level the driver holds at once (512 MB)
-HISTOGRAM_CELLS = 2**26
+# doubles in the widest histogram level the driver holds at once (1 GB), and in one task (128 MB)
+HISTOGRAM_CELLS = 2**27
+TASK_CELLS = 2**24
 
 
 @dataclass(frozen=True)
@@ -112,6 +113,43 @@ class Tree:
         n = 2 * int(used.max()) + 3 if len(used) else 1
         return Tree(self.feature[:n], self.left[:n], self.value[:n])
 
+    def compact(self) -> "CompactTree":
+        """Only reachable nodes, level by level, with the bin masks as bits."""
+        order, at = [0], 0
+        while at < len(order):
+            n = order[at]
+            if self.feature[n] >= 0:
+                order += [2 * n + 1, 2 * n + 2]
+            at += 1
+        place = {n: i for i, n in enumerate(order)}
+        child = np.array([place.get(2 * n + 1, 0) if self.feature[n] >= 0 else 0 for n in order], dtype=np.int32)
+        bits = np.packbits(self.left[order], axis=1)
+        return CompactTree(self.feature[order], child, bits, self.value[order])
+
+
+@dataclass
+class CompactTree:
+    """A finished tree: the children of node i are child[i] (left) and child[i] + 1."""
+
+    feature: np.ndarray
+    child: np.ndarray
+    bits: np.ndarray  # (nodes, bins / 8) packed: goes left
+    value: np.ndarray
+
+    def goes_left(self, at, b) -> np.ndarray:
+        return (self.bits[at, b >> 3] >> (7 - (b & 7))) & 1 == 1
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(bins), dtype=np.int64)
+        rows = np.arange(len(bins))
+        while True:
+            f = self.feature[at]
+            go = f >= 0
+            if not go.any():
+                return self.value[at]
+            left = self.goes_left(at, bins[rows, np.maximum(f, 0)])
+            at = np.where(go, self.child[at] + ~left, at)
+
 
 @dataclass
 class Binner:
@@ -177,7 +215,7 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 class BoostedModel(Model):
-    def __init__(self, binner: Binner, k: int, base: np.ndarray, trees: list[list[Tree]]):
+    def __init__(self, binner: Binner, k: int, base: np.ndarray, trees: list[list[CompactTree]]):
         self.binner, self.k, self.base, self.trees = binner, k, base, trees
         self.features = binner.inputs
 
@@ -189,7 +227,7 @@ class BoostedModel(Model):
         m = np.tile(self.base, (len(x), 1))
         for per_class in self.trees:
             for c, tree in enumerate(per_class):
-                m[:, c] += tree.value[tree.nodes(bins)]
+                m[:, c] += tree.predict(bins)
         return softmax_array(m)
 
 
@@ -261,7 +299,7 @@ class HistogramBooster:
         ).persist()
         order = self._fixed_order(state, booster) if spec.category_order == "target_mean" else None
 
-        trees: list[list[list[Tree]]] = [[] for _ in held]
+        trees: list[list[list[CompactTree]]] = [[] for _ in held]
         best, best_round, stopped = np.full(m, np.inf), np.zeros(m, dtype=int), np.zeros(m, dtype=bool)
         older = []
         for r in range(spec.rounds + (1 if spec.early_stopping else 0)):
@@ -273,6 +311,7 @@ class HistogramBooster:
                 stopped |= r - best_round >= spec.early_stopping
                 if stopped.all() or r == spec.rounds:
                     break
+            grown = [[t.compact() for t in per_class] for per_class in grown]
             for i in range(m):
                 trees[i].append(grown[i])
             nxt = _advance(state, booster, grown)
@@ -286,8 +325,7 @@ class HistogramBooster:
         if spec.early_stopping:
             trees = [t[: max(int(b), 1)] for t, b in zip(trees, best_round)]
         return [
-            BoostedModel(binner, k, base[i], [[t.trimmed() for t in pc] for pc in trees[i]])
-            for i in range(m)
+            BoostedModel(binner, k, base[i], trees[i]) for i in range(m)
         ]
 
     # pieces -----------------------------------------------------------------------------------
@@ -374,7 +412,15 @@ class HistogramBooster:
             if not asked:
                 break
             last = depth == spec.max_depth
-            hist, extra = self._histograms(state, b, round_, trees, asked, totals_only=last and depth > 0)
+            # nodes of one job: as many as a task can sum side by side
+            totals_only = last and depth > 0
+            width = len(asked) if totals_only else max(1, TASK_CELLS // (b.width * b.bins * 3))
+            hist = []
+            for at in range(0, len(asked), width):
+                part = asked[at : at + width]
+                sums, found = self._histograms(state, b, round_, trees, part, totals_only)
+                hist += list(sums)
+                extra = found if at == 0 else extra
             if depth == 0:
                 loss = np.where(extra[:, 1] > 0, extra[:, 0] / np.maximum(extra[:, 1], 1e-300), np.inf)
                 if only_loss:
@@ -559,15 +605,13 @@ def _keep_best_leaves(tree: Tree, gains: dict[int, float], max_leaves: int) -> N
 
 def _advance(state: DataFrame, b: _Booster, grown) -> DataFrame:
     """Margins after this round's trees; the other columns pass through on the JVM side."""
-    trees = [[t.trimmed() for t in per] for per in grown]
-
     @F.pandas_udf(T.BinaryType())
     def moved(bins_col: pd.Series, margin_col: pd.Series) -> pd.Series:
         bins = _unpack(bins_col, b.width, np.uint8)
         m = _unpack(margin_col, len(b.held) * b.k, np.float64).reshape(len(bins), len(b.held), b.k).copy()
-        for i, per in enumerate(trees):
+        for i, per in enumerate(grown):
             for c, tree in enumerate(per):
-                m[:, i, c] += tree.value[tree.nodes(bins)]
+                m[:, i, c] += tree.predict(bins)
         return pd.Series([r.tobytes() for r in m.reshape(len(bins), -1)])
 
     return state.withColumn("__m", moved("__bins", "__m"))

@@ -37,8 +37,8 @@ def _weight(df: DataFrame, label: str, mode: str | None):
     return weight_column(class_weight_table(df, label, mode), label)
 
 
-class ElasticNetLogistic:
-    """Multinomial logistic regression with the penalty (1/C) * elastic net on the summed loss.
+class SparkLogistic:
+    """Spark's multinomial logistic regression, penalty (1/C) * elastic net on the summed loss.
 
     Spark minimises the weighted mean loss, hence regParam = 1 / (C * sum of weights).
     """

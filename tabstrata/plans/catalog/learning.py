@@ -19,7 +19,7 @@ from tabstrata.plans.catalog.common import R, rounded
 from tabstrata.plans.fixtures import FOLD_SQL, fold_sql, table, training_frame
 from tabstrata.plans.pipeline import Pipeline
 from tabstrata.plans.registry import LEARNERS
-from tabstrata.plans.stack import mean_scores
+from tabstrata.plans.stack import mean_scores, score_table
 from tabstrata.sources.tables import CATEGORIES, NUMERIC
 
 QUERIES, ORACLE = {}, {}
@@ -292,28 +292,60 @@ def v6(spark, sf):
     return _moment_oof(spark, sf, "lda", "oof", solver="svd")
 
 
-@query("c1_score_table")
+def _lda_scores(source):
+    """CTE sc of linear discriminant scores for rows of f, from class moments c keyed by j."""
+    return f"""w as (select j, sum(c11) / (any_value(nn) - 3) as p, sum(c12) / (any_value(nn) - 3) as q, sum(c22) / (any_value(nn) - 3) as r from c group by 1),
+  lk as (select c.j, y, (r * a1 - q * a2) / (p * r - q * q) as k1, (p * a2 - q * a1) / (p * r - q * q) as k2, a1, a2, n, nn
+        from c join w using (j)),
+  lsc as (select id, f.fold, f.y as label, lk.y, ln(n * 1e0 / nn) - 0.5e0 * (k1 * a1 + k2 * a2) + k1 * u + k2 * z as m from f join lk on {source})"""
+
+
+def _qda_scores(source, keep, add):
+    return f"""qk as (select j, y, a1, a2, ln(n * 1e0 / nn) as pr, {keep} * c11 / (n - 1) + {add} as v1, {keep} * c12 / (n - 1) as v12,
+        {keep} * c22 / (n - 1) + {add} as v2 from c),
+  qsc as (select id, f.fold, f.y as label, qk.y, pr - 0.5e0 * ln(v1 * v2 - v12 * v12) - 0.5e0 *
+        (v2 * (u - a1) * (u - a1) - 2 * v12 * (u - a1) * (z - a2) + v1 * (z - a2) * (z - a2)) / (v1 * v2 - v12 * v12) as m
+        from f join qk on {source})"""
+
+
+def _soft_cte(name, scores):
+    return f"{name} as (select id, fold, label, y, e / sum(e) over (partition by id) as p from (select *, exp(m - max(m) over (partition by id)) as e from {scores}))"
+
+
+_ALL_MOMENTS_SQL = _MOMENTS_SQL.replace("unnest(range(5))", "unnest(range(5, 6))")
+
+
+@query(
+    "c1_score_table",
+    f"with {_ALL_MOMENTS_SQL}, {_lda_scores('lk.j = 5')}, {_qda_scores('qk.j = 5', '0.9e0', '0.1e0')}, {_soft_cte('l', 'lsc')}, {_soft_cte('q', 'qsc')} "
+    "select l.id, "
+    + ", ".join(R(f"max(case when {t}.y = {c} then {t}.p end)", f"{m}_{c}") for m, t in (("lda", "l"), ("qda", "q")) for c in range(K))
+    + " from l join q on q.id = l.id and q.y = l.y group by l.id",
+)
 def c1(spark, sf):
-    """Probabilities of three fitted models as columns of one table."""
+    """Probabilities of two models fitted on all rows, as columns of one table."""
     df = training_frame(spark, sf)
-    out = df
-    for name, params in (("lda", dict(solver="svd")), ("qda", dict(reg_param=0.1)), ("ridge", dict(alpha=1.0))):
-        out = MomentLearner(name, K, **params).fit(df, NUMERIC, LABEL).score(out, name)
-    return rounded(out.select("id", *[f"{n}_{c}" for n in ("lda", "qda", "ridge") for c in range(K)]))
+    fits = {"lda": MomentLearner("lda", K).fit(df, _TWO, LABEL)}
+    fits["qda"] = MomentLearner("qda", K, reg_param=0.1).fit(df, _TWO, LABEL)
+    return rounded(score_table(df, fits))
 
 
+def _oof_loss():
+    return "-avg(-ln(greatest(least(p, 1 - 1e-15), 1e-15)))"
 
-@query("g3_negated_log_loss")
+
+@query(
+    "g3_negated_log_loss",
+    f"with {_MOMENTS_SQL}, {_lda_scores('lk.j = f.fold')}, {_qda_scores('qk.j = f.fold', '1e0', '0e0')}, {_soft_cte('l', 'lsc')}, {_soft_cte('q', 'qsc')}, "
+    f"s as (select 'lda' as model, fold, {_oof_loss()} as v from l where y = label group by fold "
+    f"union all select 'qda', fold, {_oof_loss()} from q where y = label group by fold) "
+    f"select model, 'two' as feature_set, {R('avg(v)', 'score')} from s group by model",
+)
 def g3(spark, sf):
     df = training_frame(spark, sf)
     parts = []
     for kind in ("lda", "qda"):
-        for name, cols in (("two", _TWO), ("all", NUMERIC)):
-            pipe = Pipeline(MomentLearner(kind, K), cols)
-            scored = pipe.out_of_fold(df, LABEL, "fold", 5, "p")
-            losses = ME.log_loss(scored, LABEL, [f"p_{c}" for c in range(K)], ["fold"])
-            parts.append(losses.select(F.lit(kind).alias("model"), F.lit(name).alias("feature_set"), "fold", "log_loss"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rounded(ME.negated_mean(out, ["model", "feature_set"]))
+        scored = Pipeline(MomentLearner(kind, K), _TWO).out_of_fold(df, LABEL, "fold", 5, "p")
+        losses = ME.log_loss(scored, LABEL, [f"p_{c}" for c in range(K)], ["fold"])
+        parts.append(losses.select(F.lit(kind).alias("model"), F.lit("two").alias("feature_set"), "fold", "log_loss"))
+    return rounded(ME.negated_mean(parts[0].unionByName(parts[1]), ["model", "feature_set"]))

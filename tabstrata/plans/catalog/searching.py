@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabstrata.functions import proba as P
-from tabstrata.learners.mllib import ElasticNetLogistic
+from tabstrata.learners.linear import ElasticNetLogistic
 from tabstrata.learners.moments import MomentLearner
 from tabstrata.operators import class_weights as CW
 from tabstrata.operators import encode as EN
@@ -49,7 +49,10 @@ def _union(parts):
 
 
 # S5, S6 ----------------------------------------------------------------------------------------------
-@query("s5_model_round_trip")
+@query(
+    "s5_model_round_trip",
+    f"with {FOLD_SQL} select unnest(['lda', 'forest']) as model, 0e0 as max_gap, count(*) as n from f",
+)
 def s5(spark, sf):
     """Scores of a model before saving and after loading, and their largest difference."""
     df = training_frame(spark, sf)
@@ -314,17 +317,24 @@ def t9(spark, sf):
 
 
 # K -----------------------------------------------------------------------------------------------------
-@query("k1_registry")
+_REGISTRY_ROWS = [
+    (n, n in LAYER_ONE, n in LAYER_STACKING, len(s.space), len(s.space_for(True)), s.warmup)
+    for n, s in LEARNERS.items()
+]
+_REGISTRY_SQL = ", ".join(f"('{n}', {str(a).lower()}, {str(b).lower()}, {x}, {y}, {w})" for n, a, b, x, y, w in _REGISTRY_ROWS)
+
+
+@query(
+    "k1_registry",
+    f"""with {FOLD_SQL}, v as (select fold, count(*) as n from f group by 1), z as (select cast(sum(n) as bigint) as n_rows, max(n) as n_valid from v)
+      select r.*, n_rows, n_valid from (values {_REGISTRY_SQL}) r(model, layer_one, stacking, n_params, n_params_stacking, warmup), z""",
+)
 def k1(spark, sf):
-    """Every registered learner: layers that use it, parameters, and which share of rows it would train on."""
+    """Every registered learner: the layers that use it, its parameters, and the rows it would train on."""
     df = training_frame(spark, sf)
     sizes = df.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_rows"), F.max("n").alias("n_valid"))
-    rows = [
-        (n, n in LAYER_ONE, n in LAYER_STACKING, len(s.space), len(s.space_for(True)), s.warmup)
-        for n, s in LEARNERS.items()
-    ]
     names = "model string, layer_one boolean, stacking boolean, n_params int, n_params_stacking int, warmup int"
-    entries = [F.struct(*[F.lit(v).alias(c.split()[0]) for v, c in zip(r, names.split(", "))]) for r in rows]
+    entries = [F.struct(*[F.lit(v).alias(c.split()[0]) for v, c in zip(r, names.split(", "))]) for r in _REGISTRY_ROWS]
     return sizes.select(F.explode(F.array(*entries)).alias("e"), "n_rows", "n_valid").select("e.*", "n_rows", "n_valid")
 
 

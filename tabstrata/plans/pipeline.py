@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ class Pipeline:
     """``prep``: None, "compose" (target-encode, standardise, robust-scale) or "mean" (mean target
     encoding of the categories). Without ``prep`` a learner that can train all folds at once does."""
 
-    def __init__(self, learner, numeric, categories=(), prep=None, standard=("alpha", "delta"), key="id"):
+    def __init__(self, learner, numeric, categories=(), prep=None, standard=("alpha", "delta"), key="id", parallel_fits=4):
+        self.parallel_fits = parallel_fits
         self.learner, self.numeric, self.categories = learner, list(numeric), list(categories)
         self.prep, self.standard, self.key = prep, [c for c in standard if c in numeric], key
         self.k = learner.k
@@ -76,7 +78,9 @@ class Pipeline:
             models = self.fold_models(df, label, fold, k_folds)
             names = [f"{prefix}_{c}" for c in range(self.k)]
             return score_models(df, models, prefix, fold).select(*df.columns, *names)
-        parts = [self.fold_scored(df, label, fold, j, prefix) for j in range(k_folds)]
+        # independent fits: their jobs run side by side, as many as parallel_fits
+        with ThreadPoolExecutor(min(k_folds, self.parallel_fits)) as pool:
+            parts = list(pool.map(lambda j: self.fold_scored(df, label, fold, j, prefix), range(k_folds)))
         return reduce(DataFrame.unionByName, parts)
 
     def fold_scored(self, df: DataFrame, label: str, fold: str, j: int, prefix: str) -> DataFrame:

@@ -12,8 +12,8 @@ from dataclasses import dataclass, replace
 from tabstrata.learners import boosting as BO
 from tabstrata.learners.calibrated import Calibrated
 from tabstrata.learners.knn import SvdKnn
-from tabstrata.learners.linear import AveragedSGD, SquaredHingeSVC
-from tabstrata.learners.mllib import ElasticNetLogistic, ExtraTrees, Perceptron, RandomForest
+from tabstrata.learners.linear import AveragedSGD, ElasticNetLogistic, SquaredHingeSVC
+from tabstrata.learners.mllib import ExtraTrees, Perceptron, RandomForest
 from tabstrata.learners.moments import MomentLearner
 from tabstrata.plans.pipeline import Pipeline
 from tabstrata.plans.space import Param, choice, integer, log_uniform, uniform

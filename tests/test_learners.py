@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tabstrata.learners import boosting as BO
 from tabstrata.learners.base import score
 from tabstrata.learners.calibrated import Calibrated
-from tabstrata.learners.linear import AveragedSGD, SquaredHingeSVC
-from tabstrata.learners.mllib import ElasticNetLogistic, ExtraTrees, RandomForest
+from tabstrata.learners.linear import AveragedSGD, ElasticNetLogistic, SquaredHingeSVC
+from tabstrata.learners.mllib import ExtraTrees, RandomForest, SparkLogistic
 from tabstrata.learners.moments import MomentLearner
 from tabstrata.operators import encode as EN
 from tabstrata.operators import metrics as ME
@@ -132,12 +132,30 @@ def test_sgd_learns(train, loss, rate):
     assert hit > (0.45 if loss == "hinge" else 0.55)  # hinge cannot single out the middle class
 
 
-def test_elastic_net_optimality(train):
-    model = ElasticNetLogistic(3, C=0.1, l1_ratio=0.0, tol=1e-9, max_iter=200).fit(train, NUMERIC, "class_encoded")
+@pytest.mark.parametrize("l1_ratio", [0.0, 0.6])
+def test_elastic_net_optimality(train, l1_ratio):
+    model = ElasticNetLogistic(3, C=0.1, l1_ratio=l1_ratio, tol=1e-10, max_iter=40).fit(train, NUMERIC, "class_encoded")
     _, _, y, x = arrays(train)
-    p = model.predict_array(x)
-    grad = (p - np.eye(3)[y]).T @ x + model.coef / 0.1
-    assert np.abs(grad).max() < 0.05
+    grad = (model.predict_array(x) - np.eye(3)[y]).T @ x + (1 - l1_ratio) * model.coef / 0.1
+    zero = np.abs(model.coef) < 1e-9
+    bound = l1_ratio / 0.1
+    assert np.abs(grad + bound * np.sign(model.coef))[~zero].max() < 1e-3
+    assert (np.abs(grad)[zero] <= bound + 1e-3).all()
+
+
+def test_elastic_net_folds_equal_spark(train):
+    kw = dict(C=0.5, l1_ratio=0.3, class_weight="balanced", tol=1e-9, max_iter=200)
+    ours = ElasticNetLogistic(3, **kw).fit_folds(train, NUMERIC, "class_encoded", "fold", 5)
+    part = train.where("fold <> 2")
+    theirs = SparkLogistic(3, **kw).fit(part, NUMERIC, "class_encoded")
+    _, _, _, x = arrays(part)
+    assert ours[2].predict_array(x) == pytest.approx(theirs.predict_array(x), abs=2e-3)
+
+
+def test_wide_logistic_falls_back(train, monkeypatch):
+    monkeypatch.setattr(ElasticNetLogistic, "WIDE", 5)
+    models = ElasticNetLogistic(3, max_iter=5).fit_folds(train, ["u", "z"], "class_encoded", "fold", 2)
+    assert len(models) == 3 and models[0].coef.shape == (3, 2)
 
 
 # boosting -------------------------------------------------------------------------------------------
@@ -193,7 +211,7 @@ def test_boosting_first_split_equals_brute_force(train):
         f, left = best[1]
         tree = model.trees[0][c]
         assert tree.feature[0] == f
-        assert (tree.left[0, bins[:, f]] == left).all()
+        assert (tree.goes_left(np.zeros(len(bins), dtype=int), bins[:, f]) == left).all()
         want = -0.4 * g[left].sum() / (h[left].sum() + 0.5)
         assert tree.value[1] == pytest.approx(want, rel=1e-9)
 
@@ -203,6 +221,7 @@ def test_boosting_same_after_repartition_and_in_groups(train, monkeypatch):
     keep = train.select("id", *NUMERIC, *CATEGORIES, "class_encoded", "fold")
     a = score(keep, learner.fit_folds(keep, "class_encoded", "fold", 5), "p", "fold")
     monkeypatch.setattr(BO, "HISTOGRAM_CELLS", 30_000)  # a few trees at a time
+    monkeypatch.setattr(BO, "TASK_CELLS", 5_000)  # a few nodes per job
     other = keep.repartition(5, "u")
     b = score(other, learner.fit_folds(other, "class_encoded", "fold", 5), "q", "fold")
     gap = a.join(b.select("id", "q_0", "q_1", "q_2"), "id")
