@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 
 from tabstrata.functions import proba as P
 
-_WIDTH = 32
-
 
 def partial_sums(
     df: DataFrame, columns: list[str], add: Callable[[pd.DataFrame, np.ndarray], None], length: int
@@ -26,14 +24,15 @@ def partial_sums(
     """Sum of a fixed-length vector over all rows of ``df``.
 
     ``add(batch, acc)`` adds the contribution of a batch in place. Each partition emits its own sum
-    once, in strips of 32 numbers, which Spark adds up by position; the driver receives the vector
-    (coefficients or histograms), never rows.
+    once, in strips of a few numbers, which Spark adds up by position; the driver receives the
+    vector (coefficients or histograms), never rows.
     """
-    names = [f"c{i}" for i in range(_WIDTH)]
+    wide = 8 if length <= 50_000 else 32
+    names = [f"c{i}" for i in range(wide)]
     schema = T.StructType(
         [T.StructField("strip", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in names]
     )
-    padded = -(-length // _WIDTH) * _WIDTH
+    padded = -(-length // wide) * wide
 
     def task(batches):
         acc = np.zeros(padded)
@@ -43,18 +42,18 @@ def partial_sums(
                 seen = True
                 add(pdf, acc[:length])
         if seen:
-            table = acc.reshape(-1, _WIDTH)
+            table = acc.reshape(-1, wide)
             used = np.flatnonzero(table.any(axis=1))
             out = pd.DataFrame(table[used], columns=names)
             out.insert(0, "strip", used.astype(np.int32))
             yield out
 
     parts = df.select(*columns).mapInPandas(task, schema)
-    sums = parts.groupBy("strip").agg(*[F.expr(f"sum({c}) as {c}") for c in names]).toArrow()
-    out = np.zeros((padded // _WIDTH, _WIDTH))
+    sums = parts.groupBy("strip").sum(*names).toArrow()
+    out = np.zeros((padded // wide, wide))
     if sums.num_rows:
         at = sums.column("strip").to_numpy()
-        out[at] = np.column_stack([sums.column(c).to_numpy() for c in names])
+        out[at] = np.column_stack([sums.column(f"sum({c})").to_numpy() for c in names])
     return out.ravel()[:length]
 
 
