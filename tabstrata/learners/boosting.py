@@ -397,6 +397,18 @@ class HistogramBooster:
                 break
         return trees, loss
 
+    def _leaf(self, sums: np.ndarray) -> float:
+        """Shrunken leaf value from (gradient, hessian, rows)."""
+        g, h = sums[0], sums[1] + self.spec.reg_lambda
+        soft = np.sign(g) * max(abs(g) - self.spec.reg_alpha, 0.0)
+        return -self.spec.learning_rate * soft / h if h > 0 else 0.0
+
+    def _split(self, tree: Tree, n: int, h: np.ndarray, f: int, left: np.ndarray) -> None:
+        """Records a split; the children's sums are already in the parent's histogram."""
+        tree.feature[n], tree.left[n] = f, left
+        tree.value[2 * n + 1] = self._leaf(h[f][left].sum(axis=0))
+        tree.value[2 * n + 2] = self._leaf(h[f][~left].sum(axis=0))
+
     def _grow_group(self, state, b: _Booster, round_, order, trees, open_nodes, only_loss):
         spec, m = self.spec, len(b.held)
         grown = {(i, c) for i, c, _ in open_nodes}
@@ -404,52 +416,37 @@ class HistogramBooster:
         parents = None  # histograms of the previous level, keyed by (model, class, node)
         gains: dict = {}
         loss = np.full(m, np.inf)
-        for depth in range(spec.max_depth + 1):
-            if depth == 0:
-                asked = open_nodes
-            else:
-                asked = [n for n in open_nodes if n[2] % 2 == 1]
+        for depth in range(spec.max_depth):
+            asked = open_nodes if depth == 0 else [n for n in open_nodes if n[2] % 2 == 1]
             if not asked:
                 break
-            last = depth == spec.max_depth
             # nodes of one job: as many as a task can sum side by side
-            totals_only = last and depth > 0
-            width = len(asked) if totals_only else max(1, TASK_CELLS // (b.width * b.bins * 3))
+            width = max(1, TASK_CELLS // (b.width * b.bins * 3))
             hist = []
             for at in range(0, len(asked), width):
-                part = asked[at : at + width]
-                sums, found = self._histograms(state, b, round_, trees, part, totals_only)
+                sums, found = self._histograms(state, b, round_, trees, asked[at : at + width])
                 hist += list(sums)
                 extra = found if at == 0 else extra
             if depth == 0:
                 loss = np.where(extra[:, 1] > 0, extra[:, 0] / np.maximum(extra[:, 1], 1e-300), np.inf)
                 if only_loss:
                     return loss
-            level = {}
-            for pos, node in enumerate(asked):
-                level[node] = hist[pos]
-            if depth:
+            level = dict(zip(asked, hist))
+            if depth == 0:
+                for (i, c, n), h in level.items():
+                    trees[i][c].value[n] = self._leaf(h[0].sum(axis=0))
+            else:
                 for i, c, n in [x for x in open_nodes if x[2] % 2 == 0]:
-                    left = level[(i, c, n - 1)]
-                    parent = parents[(i, c, (n - 1) // 2)]
-                    level[(i, c, n)] = (parent.sum(axis=1)[:1] if last else parent) - left
-            nxt = []
-            for (i, c, n), h in level.items():
-                g, hs, w = h[0].sum(axis=0)
-                soft = np.sign(g) * max(abs(g) - spec.reg_alpha, 0.0)
-                denominator = hs + spec.reg_lambda
-                trees[i][c].value[n] = -spec.learning_rate * soft / denominator if denominator > 0 else 0.0
-            if last:
-                break
+                    level[(i, c, n)] = parents[(i, c, (n - 1) // 2)] - level[(i, c, n - 1)]
             if spec.symmetric:
                 nxt = self._split_symmetric(level, trees, offered, order)
             else:
+                nxt = []
                 for (i, c, n), h in sorted(level.items(), key=lambda e: e[0]):
                     found = self._best_split(h[None], offered, None if order is None else order[i])
                     if found is not None:
-                        gain, f, left = found
-                        gains[(i, c, n)] = gain
-                        trees[i][c].feature[n], trees[i][c].left[n] = f, left
+                        gains[(i, c, n)] = found[0]
+                        self._split(trees[i][c], n, h, *found[1:])
                         nxt += [(i, c, 2 * n + 1), (i, c, 2 * n + 2)]
             parents, open_nodes = level, nxt
         if spec.max_leaves and not spec.symmetric:
@@ -458,17 +455,14 @@ class HistogramBooster:
                 _keep_best_leaves(trees[i][c], own, spec.max_leaves)
         return loss
 
-    def _histograms(self, state, b: _Booster, round_, trees, asked, totals_only):
-        """(asked, feature, bin, 3) sums of gradient, hessian and rows, plus (models, 2) hold-out loss.
-
-        With ``totals_only`` the last level needs no bins, only one sum per node.
-        """
+    def _histograms(self, state, b: _Booster, round_, trees, asked):
+        """(asked, feature, bin, 3) sums of gradient, hessian and rows, plus (models, 2) hold-out loss."""
         k, m, d, nb = b.k, len(b.held), b.width, b.bins
         slot = {node: pos for pos, node in enumerate(asked)}
         per_tree = {}
         for (i, c, n), pos in slot.items():
             per_tree.setdefault((i, c), {})[n] = pos
-        shape = (len(asked), 1, 1, 3) if totals_only else (len(asked), d, nb, 3)
+        shape = (len(asked), d, nb, 3)
         size = int(np.prod(shape))
         root = asked[0][2] == 0
         grown = {key: trees[key[0]][key[1]].trimmed() for key in per_tree}
@@ -511,10 +505,6 @@ class HistogramBooster:
                     pc = pi[use, c]
                     g = (pc - (y[rows][use] == c)) * wc
                     h = np.maximum(2.0 * pc * (1.0 - pc), 1e-16) * wc
-                    if totals_only:
-                        for s, v in enumerate((g, h, None)):
-                            view[first : first + size_here, 0, 0, s] += np.bincount(local, v, minlength=size_here)
-                        continue
                     b_use = bi[use].astype(np.int64)
                     for f in range(d):
                         cell = local * nb + b_use[:, f]
@@ -585,8 +575,8 @@ class HistogramBooster:
                 continue
             left = np.zeros(h.shape[2], dtype=bool)
             left[o[0, f, : cut + 1]] = True
-            for n, _ in nodes:
-                trees[i][c].feature[n], trees[i][c].left[n] = f, left
+            for n, own in nodes:
+                self._split(trees[i][c], n, own, int(f), left)
                 nxt += [(i, c, 2 * n + 1), (i, c, 2 * n + 2)]
         return nxt
 

@@ -242,6 +242,8 @@ def vote(neighbours: DataFrame, key: str, label: str, k_classes: int, weights: s
 class SvdKnn:
     """The chain as one learner: project, standardise, vote of the nearest training rows."""
 
+    keeps_rows = True  # the training rows are the model
+
     def __init__(self, k, n_components=5, n_neighbors=5, weights="uniform", p=2, metric="minkowski", key="id"):
         self.k, self.n_components, self.n_neighbors, self.weights, self.key = (
             k, n_components, n_neighbors, weights, key,

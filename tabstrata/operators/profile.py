@@ -121,6 +121,8 @@ def kernel_density(
         h = r["sd"] * r["n"] ** -0.2
         lo, hi = r["lo"] - cut * h, r["hi"] + cut * h
         params.append((*[r[k] for k in keys], r["n"], h, lo, (hi - lo) / (grid - 1)))
+    if not params:
+        raise ValueError(f"{column!r} has no group with two different values")
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [T.StructField("n", T.LongType())]

@@ -50,12 +50,21 @@ class Pipeline:
             enc = MeanTargetEncoder(self.categories).fit(df, label)
             ready = enc.transform(df)
             features = self.numeric + [enc.out.format(col=c) for c in self.categories]
-            return Fitted(enc, self._fit_learner(ready.persist(), features, label))
+            return Fitted(enc, self._fit_cached(ready, features, label))
         rest = [c for c in self.numeric if c not in self.standard]
         comp = ColumnComposer(self.categories, self.standard, rest, self.k)
         inner = hashed_folds(df, self.key, INNER_FOLDS, "inner", "__inner")
-        ready = comp.fit_transform(inner, label, "__inner", INNER_FOLDS).persist()
-        return Fitted(comp, self._fit_learner(ready, comp.features, label))
+        ready = comp.fit_transform(inner, label, "__inner", INNER_FOLDS)
+        return Fitted(comp, self._fit_cached(ready, comp.features, label))
+
+    def _fit_cached(self, ready: DataFrame, features, label):
+        """Preprocessed rows are cached for the passes of the fit only."""
+        ready = ready.persist()
+        try:
+            return self._fit_learner(ready, features, label)
+        finally:
+            if not getattr(self.learner, "keeps_rows", False):
+                ready.unpersist()
 
     def _fit_learner(self, df, features, label):
         if hasattr(self.learner, "numeric"):  # the boosting core names its own columns
