@@ -110,7 +110,7 @@ def m8_isotonic(spark, sf):
 
 @query("m9_sgd")
 def m9(spark, sf):
-    """Standardised features, hinge loss with softmax over the margins, out of fold."""
+    """Standardised features, log loss with an elastic net and averaging, out of fold."""
     df = training_frame(spark, sf)
     ready = StandardScaler(NUMERIC).fit(df).transform(df).persist()
     learner = AveragedSGD(K, loss="log_loss", penalty="elasticnet", average=True, max_iter=5)
