@@ -47,7 +47,7 @@ def main():
                 bad += bool(diff)
                 print(f"{n}: {state} rows={len(pdf)} spark={t1-t0:.1f}s sql={time.time()-t1:.1f}s", flush=True)
             else:
-                print(f"{n}: rows={len(pdf)} spark={t1-t0:.1f}s\n{pdf.head(3).to_string()}", flush=True)
+                print(f"{n}: rows={len(pdf)} spark={t1-t0:.1f}s\n{pdf.head(3).to_string(max_colwidth=60)}", flush=True)
         except Exception:
             bad += 1
             print(f"{n}: ERROR\n{traceback.format_exc()[-1800:]}", flush=True)
