@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabstrata.llm import decontaminate, jaccard_join
+from tabstrata.llm import decontaminate, jaccard_join, language_id, mixing, sharding
 from tabstrata.runtime import materialize, ship_package
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language go: those without letters, and those whose codeword is undecided."""
+    ship_package(spark)
+    model = language_id.fit(docs, F.lit(True))
+    return language_id.identified(docs, model)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     ship_package(spark)
@@ -21,9 +29,24 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(docs, benchmark, max_coverage=0.0)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document stands there as often as it is taken."""
+    ship_package(spark)
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row gets one of 24 shards and a slot in it."""
+    ship_package(spark)
+    return sharding.shards(docs)
+
+
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", shard),
 ]
 
 #: Language identification is a trained model, which SQL cannot express.
