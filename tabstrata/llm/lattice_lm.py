@@ -1,8 +1,9 @@
 """Language-model scores by subword lattices: all segmentations of a text count.
 
-An existing subword vocabulary gives the pieces and, by its scores, their prior weights. Piece
-probabilities are re-estimated on the words of the training texts by expectation maximisation: each
-round sums the expected uses of every piece over all segmentations. The probability of a word is
+An existing subword vocabulary gives the pieces and, by its scores, their prior weights; the frequent
+words of the training texts are pieces too. Piece probabilities are estimated on the words of the training
+texts by expectation maximisation: each round sums the expected uses of every piece over all
+segmentations. The probability of a word is
 the forward sum, in log space, over the lattice of its segmentations; a text is its words and one
 end. Beside it stands an add-one unigram model of whole words (``base``).
 
@@ -45,7 +46,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words with at least 1 / HEAD of all training tokens are looked up in a broadcast table.
 HEAD = 200_000
 BLOCK = 1 << 20
-_LENGTH = np.uint64(0xA24BAED4963EE407)
+#: Words longer than this go one by one, and leave the estimation of pieces to the others.
+LONG = 64
+_LENGTHS = mix(np.arange(LONG + 2, dtype=np.uint64) + np.uint64(0xA24BAED4963EE407))
 _MARK = 32  # stands for the word start in front of a word; no word contains it
 
 
@@ -78,52 +81,48 @@ def vocabulary(path: str = VOCABULARY) -> list[tuple[bytes, float]]:
     return sorted(weights.items())
 
 
+def piece_keys(pieces: list[bytes]) -> np.ndarray:
+    """A 64-bit key per piece, the same as that of a stretch of a word in ``Pieces.arcs``."""
+    keys = np.zeros(len(pieces), np.uint64)
+    length = np.array([len(p) for p in pieces])
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        b = np.frombuffer(b"".join(pieces[i] for i in rows), np.uint8).reshape(len(rows), n)
+        raw = ((b.astype(np.uint64) + np.uint64(1)) * powers(_P, n)).sum(axis=1, dtype=np.uint64)
+        keys[rows] = mix(raw + _LENGTHS[min(n, LONG + 1)])
+    return keys
+
+
 class Pieces:
-    """A hash table of pieces with their natural log probabilities."""
+    """A hash table of pieces with their natural log probabilities.
+
+    Pieces are sorted by their keys; ``whole`` of them are words of the corpus that stand for
+    themselves, so they may be longer than ``longest``, but only from the start of a word.
+    """
 
-    def __init__(self, pieces: list[bytes], weights: np.ndarray, end: float):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces))
+    def __init__(self, pieces: list[bytes], keys: np.ndarray, weights: np.ndarray, end: float, longest: int):
+        self.pieces, self.keys, self.longest = pieces, keys, longest
         total = weights.sum() + end
         with np.errstate(divide="ignore"):
             self.logp = np.log(weights / total)
         self.log_end = float(np.log(end / total))
-        self.keys = np.array([self._key(np.frombuffer(p, np.uint8)) for p in pieces], np.uint64)
-        self.bits = 17
-        while not self._place():
-            self.bits += 1
-        self.by_piece = {p: float(x) for p, x in zip(pieces, self.logp)}
-
-    @staticmethod
-    def _key(b: np.ndarray) -> np.uint64:
-        raw = ((b.astype(np.uint64) + np.uint64(1)) * powers(_P, len(b))).sum(dtype=np.uint64)
-        return mix(np.array([raw + np.uint64(len(b)) * _LENGTH]))[0]
-
-    def _place(self) -> bool:
-        """Every piece in a slot of one of two tables, or False if both its slots are taken."""
-        self.tables = np.full((2, 1 << self.bits), -1, np.int32)
-        for i, key in enumerate(self.keys):
-            spots = self._spots(key)
-            free = [t for t in (0, 1) if self.tables[t, spots[t]] < 0]
-            if not free:
-                return False
-            self.tables[free[0], spots[free[0]]] = i
-        return True
-
-    def _spots(self, key):
-        n = np.uint64(64 - self.bits)
-        return key >> n, (key << np.uint64(24)) >> n
+        bits = max(len(pieces) * 4, 2).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of the piece of each key, or -1."""
-        a, b = self._spots(keys)
-        first = self.tables[0][a]
-        first[self.keys[first] != keys] = -1
-        rest = np.flatnonzero(first < 0)
-        second = self.tables[1][b[rest]]
-        second[self.keys[second] != keys[rest]] = -1
-        first[rest] = second
-        return first
+        bucket = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(keys), -1, np.int64)
+        rows = np.flatnonzero(at < end)
+        while len(rows):
+            hit = self.keys[at[rows]] == keys[rows]
+            out[rows[hit]] = at[rows[hit]]
+            rows = rows[~hit]
+            at[rows] += 1
+            rows = rows[at[rows] < end[rows]]
+        return out
 
     def arcs(self, words: np.ndarray):
         """(start, end, rows, pieces) of the lattice arcs of equally long words."""
@@ -132,9 +131,10 @@ class Pieces:
         np.cumsum((words.T.astype(np.uint64) + np.uint64(1)) * powers(_P, length)[:, None], axis=0, out=sums[1:])
         back = powers(_P_INV, length)
         for j in range(1, length + 1):
-            for i in range(max(0, j - self.longest), j):
-                keys = mix((sums[j] - sums[i]) * back[i] + np.uint64(j - i) * _LENGTH)
-                found = self.find(keys)
+            for i in range(j):
+                if i and j - i > self.longest:
+                    continue
+                found = self.find(mix((sums[j] - sums[i]) * back[i] + _LENGTHS[j - i]))
                 rows = np.flatnonzero(found >= 0)
                 if len(rows):
                     yield i, j, rows, found[rows]
@@ -159,25 +159,25 @@ class Pieces:
             alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.logp[found])
         for i, j, rows, found in sorted(arcs, key=lambda a: -a[0]):
             beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + self.logp[found])
-        for i, j, rows, found in arcs:
-            use = np.exp(alpha[i, rows] + self.logp[found] + beta[j, rows] - alpha[length, rows]) * counts[rows]
-            sums += np.bincount(found, use, len(sums))
+        used = [np.exp(alpha[i, r] + self.logp[f] + beta[j, r] - alpha[length, r]) * counts[r] for i, j, r, f in arcs]
+        sums += np.bincount(np.concatenate([a[3] for a in arcs]), np.concatenate(used), len(sums))
 
     def forward_one(self, word: bytes) -> float:
-        """The same for one word of any length, piece by piece."""
+        """The same for one word of any length, by pieces of up to ``longest`` bytes."""
+        known = self.by_piece()
         word = bytes([_MARK]) + word
         alpha = [0.0] + [-np.inf] * len(word)
         for j in range(1, len(word) + 1):
-            parts = [
-                alpha[i] + self.by_piece[word[i:j]] for i in range(max(0, j - self.longest), j) if word[i:j] in self.by_piece
-            ]
-            top = max(parts)
-            alpha[j] = top + float(np.log(np.exp(np.array(parts) - top).sum()))
+            starts = range(max(0, j - self.longest), j)
+            parts = np.array([alpha[i] + known[word[i:j]] for i in starts if word[i:j] in known])
+            top = parts.max()
+            alpha[j] = top + float(np.log(np.exp(parts - top).sum()))
         return alpha[-1]
 
-
-#: Words longer than this go one by one, and leave the estimation of pieces to the others.
-LONG = 64
+    def by_piece(self) -> dict[bytes, float]:
+        if not hasattr(self, "_by_piece"):
+            self._by_piece = {p: float(x) for p, x in zip(self.pieces, self.logp)}
+        return self._by_piece
 
 
 def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 20_000):
@@ -229,12 +229,27 @@ def _joined(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets[:-1], offsets[1:]
 
 
-def estimate(words: DataFrame, ends: int, path: str = VOCABULARY, rounds: int = 2) -> Pieces:
-    """Piece probabilities from word counts: the prior, then ``rounds`` of expectation maximisation."""
-    listed = vocabulary(path)
-    names, prior = [p for p, _ in listed], np.array([w for _, w in listed])
-    prior /= prior.sum()
-    pieces = Pieces(names, prior, 0.01)
+def estimate(words: DataFrame, ends: int, path: str = VOCABULARY, whole: DataFrame | None = None, rounds: int = 2) -> Pieces:
+    """Piece probabilities from word counts: the prior, then ``rounds`` of expectation maximisation.
+
+    ``whole`` (word, c), of a checked size, adds words as pieces of their own.
+    """
+    weights = dict(vocabulary(path))
+    longest, given = max(map(len, weights)), sum(weights.values())
+    prior = {p: w / given for p, w in weights.items()}
+    start = dict(prior)
+    if whole is not None:
+        table = whole.toArrow()
+        counts = table.column("c").to_numpy() / max(one(words.agg(F.sum("c").alias("n")))["n"], 1)
+        for word, share in zip(table.column("word").to_pylist(), counts):
+            if len(word) <= LONG:
+                start[bytes([_MARK]) + word] = start.get(bytes([_MARK]) + word, 0.0) + share
+    names = list(start)
+    keys = piece_keys(names)
+    order = np.argsort(keys)
+    names, keys = [names[i] for i in order], keys[order]
+    fixed = 100.0 * np.array([prior.get(p, 0.0) for p in names])
+    pieces = Pieces(names, keys, np.array([start[p] for p in names]), 0.01, longest)
     spark, n = words.sparkSession, len(names)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(pieces)
@@ -251,9 +266,9 @@ def estimate(words: DataFrame, ends: int, path: str = VOCABULARY, rounds: int =
 
         found = words.select("word", "c").mapInArrow(task, "piece bigint, n double")
         found = found.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # at most one row a piece
-        weights = prior * 100.0
-        weights[found.column("piece").to_numpy()] += found.column("n").to_numpy()
-        pieces = Pieces(names, weights, ends + 1.0)
+        sums = fixed.copy()
+        sums[found.column("piece").to_numpy()] += found.column("n").to_numpy()
+        pieces = Pieces(names, keys, sums, ends + 1.0, longest)
     return pieces
 
 
@@ -268,9 +283,10 @@ def scores(docs: DataFrame, learn: Column, path: str = VOCABULARY, rounds: int =
     words = materialize(count_words(docs.where("learn")), "words")
     size = one(words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")))
     tokens, distinct = size["n"] + ends, size["v"] + (1 if ends else 0)
-    pieces = estimate(words, ends, path, rounds)
-    least = max(tokens // HEAD, 1) + 1
-    head = words.where(F.col("c") >= least).toArrow()  # at most HEAD rows
+    # at most HEAD words can have more than 1 / HEAD of all tokens
+    frequent = materialize(words.where(F.col("c") > max(tokens // HEAD, 1)), "frequent")
+    pieces = estimate(words, ends, path, frequent, rounds)
+    head = frequent.toArrow()
     head = _hash_column(head.column("word")), np.log10(head.column("c").to_numpy() + 1.0)
     order = np.argsort(head[0])
     shared = spark.sparkContext.broadcast((pieces, head[0][order], head[1][order]))

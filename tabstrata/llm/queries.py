@@ -92,7 +92,7 @@ with cut as (
   select row_number() over () as id, page_id, lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)) as site,
          list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
            '{line_dedup.HIDDEN}', '', 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), chr(10)),
-           x -> trim(x)), x -> x != '') as lines
+           lambda x: trim(x)), lambda x: x != '') as lines
   from pages
 ), sites as (select site, count(*) as site_pages from cut group by site
 ), boilerplate as (
@@ -104,7 +104,7 @@ with cut as (
   where site_pages >= 5 and n > site_pages * 0.1 group by site
 ), kept as (
   select page_id, site, site_pages, lines,
-         list_filter(lines, x -> not list_contains(coalesce(dropped, []), x)) as kept
+         list_filter(lines, lambda x: not list_contains(coalesce(dropped, []), x)) as kept
   from cut join sites using (site) left join boilerplate using (site)
 )
 select page_id, site, site_pages, len(lines)::bigint as n_lines, (len(lines) - len(kept))::bigint as n_dropped,

@@ -178,8 +178,9 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
     train = vectors.transform(train).withColumn("toxic", F.col("toxic").cast("double"))
     trees = GBTClassifier(
         labelCol="toxic", featuresCol="__features", maxIter=20, maxDepth=3, stepSize=0.2, seed=5,
-        minInstancesPerNode=5, rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__y",
-    ).fit(train.where("part = 1"))
+        minInstancesPerNode=5, predictionCol="__y",
+    )
+    trees = trees.setRawPredictionCol("__raw").setProbabilityCol("__p").fit(train.where("part = 1"))
     margin = vector_to_array("__raw")[1]
     held = trees.transform(train.where("part = 2")).select(margin.alias("__margin"), "toxic")
     curve = IsotonicRegression(featuresCol="__margin", labelCol="toxic", predictionCol="toxicity").fit(held)
