@@ -1,11 +1,12 @@
-"""Language-model scores by subword lattices: all segmentations of a text count.
+"""Language-model scores by subword lattices: all segmentations of a word count.
 
-An existing subword vocabulary gives the pieces and, by its scores, their prior weights; the frequent
-words of the training texts are pieces too. Piece probabilities are estimated on the words of the training
-texts by expectation maximisation: each round sums the expected uses of every piece over all
-segmentations. The probability of a word is
-the forward sum, in log space, over the lattice of its segmentations; a text is its words and one
-end. Beside it stands an add-one unigram model of whole words (``base``).
+An existing subword vocabulary gives the pieces and, by its scores, their prior weights. Their
+probabilities are estimated on the distinct words of the training texts by expectation maximisation: each
+round sums the expected uses of every piece over all segmentations. The lattice probability of a word is
+the forward sum, in log space, over its segmentations. A word of the training texts is one more arc of its
+own lattice: its count c less a discount d stands for itself, and the discounts of all V words are what
+the pieces share, p(word) = ((c - d)+ + d * V * lattice(word)) / N. A text is its words and one end.
+Beside it stands an add-one unigram model of whole words (``base``).
 
 Scale: training words are counted in a table on the shared folder, which grows with the corpus;
 rounds sum one number per piece. Words frequent enough that at most ``HEAD`` can be so are broadcast
@@ -96,16 +97,14 @@ def piece_keys(pieces: list[bytes]) -> np.ndarray:
 class Pieces:
     """A hash table of pieces with their natural log probabilities.
 
-    Pieces are sorted by their keys; ``whole`` of them are words of the corpus that stand for
-    themselves, so they may be longer than ``longest``, but only from the start of a word.
+    Pieces are sorted by their keys. Their probabilities sum to one, and so do the lattice
+    probabilities of all words: one piece with the word start, then any number of others.
     """
 
-    def __init__(self, pieces: list[bytes], keys: np.ndarray, weights: np.ndarray, end: float, longest: int):
-        self.pieces, self.keys, self.longest = pieces, keys, longest
-        total = weights.sum() + end
+    def __init__(self, pieces: list[bytes], keys: np.ndarray, weights: np.ndarray):
+        self.pieces, self.keys, self.longest = pieces, keys, max(map(len, pieces))
         with np.errstate(divide="ignore"):
-            self.logp = np.log(weights / total)
-        self.log_end = float(np.log(end / total))
+            self.logp = np.log(weights / weights.sum())
         bits = max(len(pieces) * 4, 2).bit_length()
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
@@ -131,9 +130,7 @@ class Pieces:
         np.cumsum((words.T.astype(np.uint64) + np.uint64(1)) * powers(_P, length)[:, None], axis=0, out=sums[1:])
         back = powers(_P_INV, length)
         for j in range(1, length + 1):
-            for i in range(j):
-                if i and j - i > self.longest:
-                    continue
+            for i in range(max(0, j - self.longest), j):
                 found = self.find(mix((sums[j] - sums[i]) * back[i] + _LENGTHS[j - i]))
                 rows = np.flatnonzero(found >= 0)
                 if len(rows):
@@ -163,7 +160,7 @@ class Pieces:
         sums += np.bincount(np.concatenate([a[3] for a in arcs]), np.concatenate(used), len(sums))
 
     def forward_one(self, word: bytes) -> float:
-        """The same for one word of any length, by pieces of up to ``longest`` bytes."""
+        """The same for one word of any length."""
         known = self.by_piece()
         word = bytes([_MARK]) + word
         alpha = [0.0] + [-np.inf] * len(word)
@@ -229,27 +226,16 @@ def _joined(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets[:-1], offsets[1:]
 
 
-def estimate(words: DataFrame, ends: int, path: str = VOCABULARY, whole: DataFrame | None = None, rounds: int = 2) -> Pieces:
-    """Piece probabilities from word counts: the prior, then ``rounds`` of expectation maximisation.
-
-    ``whole`` (word, c), of a checked size, adds words as pieces of their own.
-    """
+def estimate(words: DataFrame, path: str = VOCABULARY, rounds: int = 2) -> Pieces:
+    """Piece probabilities from distinct words: the prior, then ``rounds`` of expectation maximisation."""
     weights = dict(vocabulary(path))
-    longest, given = max(map(len, weights)), sum(weights.values())
-    prior = {p: w / given for p, w in weights.items()}
-    start = dict(prior)
-    if whole is not None:
-        table = whole.toArrow()
-        counts = table.column("c").to_numpy() / max(one(words.agg(F.sum("c").alias("n")))["n"], 1)
-        for word, share in zip(table.column("word").to_pylist(), counts):
-            if len(word) <= LONG:
-                start[bytes([_MARK]) + word] = start.get(bytes([_MARK]) + word, 0.0) + share
-    names = list(start)
+    names = list(weights)
     keys = piece_keys(names)
     order = np.argsort(keys)
     names, keys = [names[i] for i in order], keys[order]
-    fixed = 100.0 * np.array([prior.get(p, 0.0) for p in names])
-    pieces = Pieces(names, keys, np.array([start[p] for p in names]), 0.01, longest)
+    prior = np.array([weights[p] for p in names])
+    prior *= 1000.0 / prior.sum()
+    pieces = Pieces(names, keys, prior)
     spark, n = words.sparkSession, len(names)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(pieces)
@@ -258,20 +244,35 @@ def estimate(words: DataFrame, ends: int, path: str = VOCABULARY, whole: DataFra
             pieces, sums = shared.value, np.zeros(n)
             for batch in batches:
                 data, start, end = _joined(batch.column(0))
-                counts = batch.column(1).to_numpy().astype(float)
-                for rows, matrix in by_length(data, start, end):
-                    pieces.expected(matrix, counts[rows], sums)
+                for _, matrix in by_length(data, start, end):
+                    pieces.expected(matrix, np.ones(len(matrix)), sums)
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["piece", "n"])
 
-        found = words.select("word", "c").mapInArrow(task, "piece bigint, n double")
+        found = words.select("word").mapInArrow(task, "piece bigint, n double")
         found = found.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # at most one row a piece
-        sums = fixed.copy()
+        sums = prior.copy()
         sums[found.column("piece").to_numpy()] += found.column("n").to_numpy()
-        pieces = Pieces(names, keys, sums, ends + 1.0, longest)
+        pieces = Pieces(names, keys, sums)
     return pieces
 
 
+class WordModel:
+    """Natural log probability of words with counts ``c`` and lattice log probabilities."""
+
+    def __init__(self, tokens: int, distinct: int, once: int, twice: int):
+        self.tokens, self.distinct = tokens, distinct
+        self.discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+
+    def log_p(self, c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        if not self.tokens:
+            return lattice
+        shared = lattice + np.log(self.discount * self.distinct)
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(c - self.discount, 0.0))
+        return np.logaddexp(own, shared) - np.log(self.tokens)
+
+
 def scores(docs: DataFrame, learn: Column, path: str = VOCABULARY, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, held_out (not ``learn``), n_tokens, n_known, train_tokens, base_score, score.
 
@@ -281,26 +282,32 @@ def scores(docs: DataFrame, learn: Column, path: str = VOCABULARY, rounds: int =
     docs = docs.select("doc_id", "text", learn.alias("learn"))
     ends = docs.where("learn").count()
     words = materialize(count_words(docs.where("learn")), "words")
-    size = one(words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")))
+    size = one(
+        words.agg(
+            F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"),
+            F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
+        )
+    )
     tokens, distinct = size["n"] + ends, size["v"] + (1 if ends else 0)
+    pieces, model = estimate(words, path, rounds), WordModel(size["n"], size["v"], size["once"], size["twice"])
     # at most HEAD words can have more than 1 / HEAD of all tokens
-    frequent = materialize(words.where(F.col("c") > max(tokens // HEAD, 1)), "frequent")
-    pieces = estimate(words, ends, path, frequent, rounds)
-    head = frequent.toArrow()
-    head = _hash_column(head.column("word")), np.log10(head.column("c").to_numpy() + 1.0)
+    head = words.where(F.col("c") > max(tokens // HEAD, 1)).toArrow()
+    head = _hash_column(head.column("word")), head.column("c").to_numpy()
     order = np.argsort(head[0])
-    shared = spark.sparkContext.broadcast((pieces, head[0][order], head[1][order]))
+    shared = spark.sparkContext.broadcast((pieces, model, head[0][order], head[1][order]))
     blocks = power_of_two(tokens / 3 / BLOCK, 8)
 
     read = materialize(docs.mapInArrow(_reader(shared, blocks.bit_length() - 1), _READ), "read")
-    sums = read.where("block >= 0").select("block", "hashes", "keys", "counts", "trains")
-    sums = sums.groupBy("block").applyInArrow(_meet, "g bigint, keys binary, known binary, base binary")
-    sums = sums.groupBy("g").applyInArrow(_add, "key bigint, tail_known bigint, tail_base double")
+    sums = read.where("block >= 0").select("block", "hashes", "keys", "counts", "trains", "lattice")
+    sums = sums.groupBy("block").applyInArrow(_meet(model), "g bigint, keys binary, known binary, base binary, score binary")
+    sums = sums.groupBy("g").applyInArrow(_add, "key bigint, tail_known bigint, tail_base double, tail_score double")
     out = read.where("block < 0").select("doc_id", "key", "learn", "n_tokens", "known", "base", "score")
     out = out.join(sums, "key", "left")
-    floor = float(np.log10(tokens + distinct + 1.0))
+    floor, end = float(np.log10(tokens + distinct + 1.0)), (ends + 1.0) / (tokens + 2.0)
     known = F.col("known") + F.coalesce("tail_known", F.lit(0)) + (1 if ends else 0)
     base = F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + float(np.log10(ends + 1.0)) - F.col("n_tokens") * floor
+    words_score = (F.col("score") + F.coalesce("tail_score", F.lit(0.0))) / float(np.log(10.0))
+    score = words_score + (F.col("n_tokens") - 1) * float(np.log10(1.0 - end)) + float(np.log10(end))
     return out.select(
         "doc_id",
         (~F.col("learn")).alias("held_out"),
@@ -308,7 +315,7 @@ def scores(docs: DataFrame, learn: Column, path: str = VOCABULARY, rounds: int =
         known.cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 
@@ -322,28 +329,27 @@ def _hash_column(column) -> np.ndarray:
 
 _READ = (
     "block int, doc_id bigint, key bigint, learn boolean, n_tokens bigint, known bigint, base double, score double, "
-    "hashes binary, keys binary, counts binary, trains binary"
+    "hashes binary, keys binary, counts binary, trains binary, lattice binary"
 )
 
 
 def _reader(shared, bits: int):
     """Documents with what the task knows of them (block -1), and packets of their rarer words."""
-    ln10 = float(np.log(10.0))
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    kinds += [pa.binary()] * 4
+    kinds += [pa.binary()] * 5
     names = [c.split()[0] for c in _READ.split(", ")]
 
     def rows(n: int, **given):
         return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds)], names=names)
 
     def task(batches):
-        pieces, head, log_c = shared.value
+        pieces, model, head, head_c = shared.value
         next_key = TaskContext.get().partitionId() << 40
         kept: list[tuple] = []
         total = 0
 
         def flush():
-            h, key, count, train = (np.concatenate(x) for x in zip(*kept))
+            h, key, count, train, lattice = (np.concatenate(x) for x in zip(*kept))
             block = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
             order = np.lexsort((key, block))
             cuts = runs_of(block[order])
@@ -351,7 +357,7 @@ def _reader(shared, bits: int):
             binary = lambda a: pa.array([packed(a[p]) for p in parts], pa.binary())
             return rows(
                 len(parts), block=pa.array([block[p[0]] for p in parts], pa.int32()), hashes=binary(h), keys=binary(key),
-                counts=binary(count), trains=binary(train),
+                counts=binary(count), trains=binary(train), lattice=binary(lattice),
             )
 
         for batch in batches:
@@ -365,7 +371,9 @@ def _reader(shared, bits: int):
                 doc = np.repeat(np.arange(n), np.diff(words.at))
                 place = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 common = head[place] == h if len(head) else np.zeros(len(h), bool)
-                value = np.where(common, log_c[place], 0.0) if len(head) else np.zeros(len(h))
+                c = np.where(common, head_c[place], 0) if len(head) else np.zeros(len(h))
+                base = np.where(common, np.log10(c + 1.0), 0.0)
+                own = np.where(common, model.log_p(c, log_p), 0.0)
                 keys = next_key + np.arange(n)
                 next_key += n
                 yield rows(
@@ -376,15 +384,15 @@ def _reader(shared, bits: int):
                     learn=pa.array(learn[a:b], pa.bool_()),
                     n_tokens=pa.array(np.diff(words.at) + 1),
                     known=pa.array(np.bincount(doc[common[inverse]], minlength=n)),
-                    base=pa.array(np.bincount(doc, value[inverse], n)),
-                    score=pa.array((np.bincount(doc, log_p[inverse], n) + pieces.log_end) / ln10),
+                    base=pa.array(np.bincount(doc, base[inverse], n)),
+                    score=pa.array(np.bincount(doc, own[inverse], n)),
                 )
                 rare = ~common[inverse]
                 pairs, count = np.unique(doc[rare] * len(h) + inverse[rare], return_counts=True)
                 if len(pairs):
-                    owner = pairs // len(h)
+                    owner, word = pairs // len(h), pairs % len(h)
                     train = learn[a:b].astype(bool)[owner]
-                    kept.append((h[pairs % len(h)], keys[owner], count.astype(np.uint32), train))
+                    kept.append((h[word], keys[owner], count.astype(np.uint32), train, log_p[word].astype(np.float32)))
                     total += len(pairs)
                 if total >= BLOCK:
                     yield flush()
@@ -395,37 +403,43 @@ def _reader(shared, bits: int):
     return task
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(model: WordModel):
     """One block of words: counts over the training rows, summed by document."""
-    h, key = unpacked(table.column("hashes"), np.uint64), unpacked(table.column("keys"), np.int64)
-    count, train = unpacked(table.column("counts"), np.uint32), unpacked(table.column("trains"), bool)
-    order = np.argsort(h, kind="stable")
-    starts = runs_of(h[order])
-    c = np.add.reduceat(np.where(train, count, 0)[order].astype(np.int64), starts[:-1])
-    c = np.repeat(c, np.diff(starts))
-    key, count = key[order], count[order].astype(np.float64)
-    ids, at = np.unique(key, return_inverse=True)
-    base = np.bincount(at, count * np.log10(c + 1.0), len(ids))
-    known = np.bincount(at, np.where(c > 0, count, 0), len(ids)).astype(np.int64)
-    group = (ids >> 40) * 64 + (ids >> 12) % 64  # documents that were read together
-    order = np.argsort(group, kind="stable")
-    cuts = runs_of(group[order])
-    parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-    binary = lambda a: pa.array([packed(a[p]) for p in parts], pa.binary())
-    return pa.table(
-        {"g": pa.array([int(group[p[0]]) for p in parts]), "keys": binary(ids), "known": binary(known), "base": binary(base)}
-    )
+
+    def task(table: pa.Table) -> pa.Table:
+        h, key = unpacked(table.column("hashes"), np.uint64), unpacked(table.column("keys"), np.int64)
+        count, train = unpacked(table.column("counts"), np.uint32), unpacked(table.column("trains"), bool)
+        lattice = unpacked(table.column("lattice"), np.float32).astype(np.float64)
+        order = np.argsort(h, kind="stable")
+        starts = runs_of(h[order])
+        c = np.add.reduceat(np.where(train, count, 0)[order].astype(np.int64), starts[:-1])
+        c = np.repeat(c, np.diff(starts))
+        key, count, lattice = key[order], count[order].astype(np.float64), lattice[order]
+        ids, at = np.unique(key, return_inverse=True)
+        known = np.bincount(at, np.where(c > 0, count, 0), len(ids)).astype(np.int64)
+        base = np.bincount(at, count * np.log10(c + 1.0), len(ids))
+        score = np.bincount(at, count * model.log_p(c, lattice), len(ids))
+        group = (ids >> 40) * 64 + (ids >> 12) % 64  # documents that were read together
+        order = np.argsort(group, kind="stable")
+        cuts = runs_of(group[order])
+        parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+        binary = lambda a: pa.array([packed(a[p]) for p in parts], pa.binary())
+        sums = {"keys": binary(ids), "known": binary(known), "base": binary(base), "score": binary(score)}
+        return pa.table({"g": pa.array([int(group[p[0]]) for p in parts], pa.int64())} | sums)
+
+    return task
 
 
 def _add(table: pa.Table) -> pa.Table:
     """Sums of all blocks for the documents of a group."""
     key, known = unpacked(table.column("keys"), np.int64), unpacked(table.column("known"), np.int64)
-    base = unpacked(table.column("base"), np.float64)
     ids, at = np.unique(key, return_inverse=True)
+    total = lambda c: np.bincount(at, unpacked(table.column(c), np.float64), len(ids))
     return pa.table(
         {
             "key": ids,
             "tail_known": np.bincount(at, known, len(ids)).astype(np.int64),
-            "tail_base": np.bincount(at, base, len(ids)),
+            "tail_base": total("base"),
+            "tail_score": total("score"),
         }
     )

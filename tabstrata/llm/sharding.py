@@ -71,7 +71,7 @@ class Cuts:
         width = max(-(-(b - a) // bins) for a, b in gaps)
         if len(gaps) == 1:
             low = F.lit(gaps[0][0])
-            inside = F.col("upto") > gaps[0][0]
+            inside = (F.col("upto") > gaps[0][0]) & (F.col("upto") <= gaps[0][1])
         else:  # gaps are disjoint: find a row's gap among their starts
             coarse = max(-(-self.total // BINS), 1)
             cells = sorted({c for a, b in gaps for c in range(a // coarse, b // coarse + 1)})

@@ -90,16 +90,15 @@ def all_segmentations(word, logp):
 
 
 def test_forward_sums_all_segmentations():
-    names = [b" a", b" ", b"a", b"b", b"ab", b"ba", b"bab", b" ab", b" babba"]
+    names = [b" a", b" ", b"a", b"b", b"ab", b"ba", b"bab", b" ab"]
     keys = LM.piece_keys(names)
     order = np.argsort(keys)
     names = [names[i] for i in order]
-    pieces = LM.Pieces(names, keys[order], np.arange(1.0, 10.0), 1.0, 3)
+    pieces = LM.Pieces(names, keys[order], np.arange(1.0, 9.0))
     for word in (b"a", b"b", b"abab", b"babba"):
         want = math.log(all_segmentations(b" " + word, pieces.by_piece()))
         assert pieces.forward(np.frombuffer(b" " + word, np.uint8)[None, :])[0] == pytest.approx(want)
-        if word != b"babba":  # longer pieces are for words that are no longer than LONG
-            assert pieces.forward_one(word) == pytest.approx(want)
+        assert pieces.forward_one(word) == pytest.approx(want)
     sums = np.zeros(len(names))
     pieces.expected(np.frombuffer(b" ab", np.uint8)[None, :], np.ones(1), sums)
     assert sum(s * len(p) for s, p in zip(sums, names)) == pytest.approx(3)  # a segmentation covers the word
