@@ -87,22 +87,21 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], shares: np.ndarray):
         self.languages = languages
-        n = len(languages)
-        self.code = codewords(n) if n else np.zeros((0, 1))
+        if not languages:
+            return
+        self.code = codewords(len(languages))
         floor = 0.05 / BUCKETS
-        shares = (shares + floor) / (shares + floor).sum(axis=1, keepdims=True) if n else shares
+        shares = (shares + floor) / (shares + floor).sum(axis=1, keepdims=True)
         weights, reach = [], []
         for bit in self.code.T:
             one = shares[bit > 0].mean(axis=0) if (bit > 0).any() else np.full(BUCKETS, 1 / BUCKETS)
             none = shares[bit < 0].mean(axis=0) if (bit < 0).any() else np.full(BUCKETS, 1 / BUCKETS)
             w = np.log(one) - np.log(none)
-            expected = shares @ w * bit
             weights.append(w)
-            reach.append(max(float(expected.min()), 1e-3))
+            reach.append(max(float((shares @ w * bit).min()), 1e-3))
         # a typical text of a language is expected at margin 4 on its weakest side of a bit
-        self.weights = (np.array(weights).T * (4.0 / np.array(reach))).astype(np.float32) if n else None
-        separation = np.sqrt(np.array(reach)) if n else np.zeros(1)
-        self.bit_weight = separation / separation.sum() if n else separation
+        self.weights = (np.array(weights).T * (4.0 / np.array(reach))).astype(np.float32)
+        self.bit_weight = np.sqrt(reach) / np.sqrt(reach).sum()
 
     def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the best language, its score, and the gap to the next."""

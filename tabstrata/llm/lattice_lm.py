@@ -6,7 +6,9 @@ round sums the expected uses of every piece over all segmentations. The lattice
 the forward sum, in log space, over its segmentations. A word of the training texts is one more arc of its
 own lattice: its count c less a discount d stands for itself, and the discounts of all V words are what
 the pieces share, p(word) = ((c - d)+ + d * V * lattice(word)) / N. A text is its words and one end.
-Beside it stands an add-one unigram model of whole words (``base``).
+Training texts may be of several classes (languages): each has its own counts, a path through the lattice of a
+text begins with the choice of a class, and the marginal sums over the classes, too. Beside it stands
+an add-one unigram model of whole words (``base``).
 
 Scale: training words are counted in a table on the shared folder, which grows with the corpus;
 rounds sum one number per piece. Words frequent enough that at most ``HEAD`` can be so are broadcast
@@ -15,7 +17,7 @@ with their counts; all other words of the documents meet their counts in blocks
 crosses the driver.
 
 Cases: a null text is empty and scores as the end alone; without training rows the pieces keep their
-prior and all counts are 0; rows with equal ids are scored one by one; bytes outside the vocabulary
+prior and all counts are 0; a null class is a class; rows with equal ids are scored one by one; bytes outside the vocabulary
 have pieces of their own; words of any length are handled.
 """
 
@@ -41,11 +43,12 @@ from tabstrata.llm.common import (
     text_buffer,
     unpacked,
 )
-from tabstrata.runtime import materialize
+from tabstrata.runtime import materialize, small_rows
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words with at least 1 / HEAD of all training tokens are looked up in a broadcast table.
 HEAD = 200_000
+MAX_KINDS = 64
 BLOCK = 1 << 20
 #: Words longer than this go one by one, and leave the estimation of pieces to the others.
 LONG = 64
@@ -202,21 +205,31 @@ def log_probabilities(pieces: Pieces, data: np.ndarray, start: np.ndarray, end:
     return out
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c): the words of all texts and how often they stand there."""
+def count_words(docs: DataFrame, classes: int = 1) -> DataFrame:
+    """(word, c0, c1, ...): how often each word stands in the texts of each class.
+
+    ``docs`` has text and, if there are several classes, their number in ``kind``.
+    """
 
     def task(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
+            kinds = batch.column(1).to_numpy()
             for a, b in slices(offsets, 4 << 20):
                 words = Words(data, offsets[a : b + 1])
-                _, first, count = np.unique(words.hashes(), return_index=True, return_counts=True)
+                _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                kind = np.repeat(kinds[a:b], np.diff(words.at))
+                pairs, count = np.unique(inverse * classes + kind, return_counts=True)
+                at = first[pairs // classes]
                 raw = words.bytes.tobytes()
-                found = [raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(count)], names=["word", "n"])
+                found = [raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist())]
+                columns = [pa.array(found, pa.binary()), pa.array(pairs % classes, pa.int32()), pa.array(count)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "kind", "n"])
 
-    counted = docs.select("text").mapInArrow(task, "word binary, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("c"))
+    kind = F.col("kind") if "kind" in docs.columns else F.lit(0)
+    counted = docs.select("text", kind.cast("int").alias("kind")).mapInArrow(task, "word binary, kind int, n bigint")
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
+    return counted.groupBy("word").agg(*sums)
 
 
 def _joined(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,64 +271,86 @@ def estimate(words: DataFrame, path: str = VOCABULARY, rounds: int = 2) -> Piece
 
 
 class WordModel:
-    """Natural log probability of words with counts ``c`` and lattice log probabilities."""
+    """Natural log probabilities of words, by class, from their counts and lattice log probabilities."""
 
-    def __init__(self, tokens: int, distinct: int, once: int, twice: int):
+    def __init__(self, tokens: list[int], distinct: list[int], once: int, twice: int):
         self.tokens, self.distinct = tokens, distinct
         self.discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
 
     def log_p(self, c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        if not self.tokens:
-            return lattice
-        shared = lattice + np.log(self.discount * self.distinct)
-        with np.errstate(divide="ignore"):
-            own = np.log(np.maximum(c - self.discount, 0.0))
-        return np.logaddexp(own, shared) - np.log(self.tokens)
+        """words x classes, from counts of that shape."""
+        out = np.repeat(lattice[:, None], len(self.tokens), axis=1)
+        for k, (tokens, distinct) in enumerate(zip(self.tokens, self.distinct)):
+            if tokens:
+                with np.errstate(divide="ignore"):
+                    own = np.log(np.maximum(c[:, k] - self.discount, 0.0))
+                out[:, k] = np.logaddexp(own, lattice + np.log(self.discount * distinct)) - np.log(tokens)
+        return out
 
 
-def scores(docs: DataFrame, learn: Column, path: str = VOCABULARY, rounds: int = 2) -> DataFrame:
+def scores(
+    docs: DataFrame, learn: Column, kind: str | None = None, path: str = VOCABULARY, rounds: int = 2
+) -> DataFrame:
     """Per document: doc_id, held_out (not ``learn``), n_tokens, n_known, train_tokens, base_score, score.
 
-    Scores are log10 probabilities of the whole text, end included.
+    Scores are log10 probabilities of the whole text, end included. ``kind`` names the column of the
+    classes; it is read in training rows only, and its values, at most ``MAX_KINDS``, are model parameters.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", learn.alias("learn"))
-    ends = docs.where("learn").count()
-    words = materialize(count_words(docs.where("learn")), "words")
+    value = F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind else F.lit("")
+    found = docs.where(learn).groupBy(value.alias("kind")).agg(F.count("*").alias("n"))
+    ends_of = {r["kind"]: r["n"] for r in sorted(small_rows(found, MAX_KINDS, "classes"), key=lambda r: r["kind"])}
+    kinds, ends_k = list(ends_of) or [""], list(ends_of.values()) or [0]
+    number = F.array_position(F.array(*[F.lit(k) for k in kinds]), value) - 1
+    docs = docs.select("doc_id", "text", F.when(learn, number).otherwise(-1).cast("int").alias("kind"))
+    words = materialize(count_words(docs.where("kind >= 0"), len(kinds)), "words")
+    counts = [F.col(f"c{k}") for k in range(len(kinds))]
+    total = sum(counts[1:], counts[0])
     size = one(
         words.agg(
-            F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"),
-            F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
+            F.count("*").alias("v"), F.count_if(total == 1).alias("once"), F.count_if(total == 2).alias("twice"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n{k}") for k, c in enumerate(counts)],
+            *[F.count_if(c > 0).alias(f"v{k}") for k, c in enumerate(counts)],
         )
     )
-    tokens, distinct = size["n"] + ends, size["v"] + (1 if ends else 0)
-    pieces, model = estimate(words, path, rounds), WordModel(size["n"], size["v"], size["once"], size["twice"])
+    tokens_k, ends = [size[f"n{k}"] for k in range(len(kinds))], sum(ends_k)
+    tokens, distinct = sum(tokens_k) + ends, size["v"] + (1 if ends else 0)
+    pieces = estimate(words, path, rounds)
+    model = WordModel(tokens_k, [size[f"v{k}"] for k in range(len(kinds))], size["once"], size["twice"])
     # at most HEAD words can have more than 1 / HEAD of all tokens
-    head = words.where(F.col("c") > max(tokens // HEAD, 1)).toArrow()
-    head = _hash_column(head.column("word")), head.column("c").to_numpy()
-    order = np.argsort(head[0])
-    shared = spark.sparkContext.broadcast((pieces, model, head[0][order], head[1][order]))
+    head = words.where(total > max(tokens // HEAD, 1)).toArrow()
+    hashes = _hash_column(head.column("word"))
+    order = np.argsort(hashes)
+    table = np.stack([head.column(f"c{k}").to_numpy() for k in range(len(kinds))], axis=1)[order]
+    shared = spark.sparkContext.broadcast((pieces, model, hashes[order], table))
     blocks = power_of_two(tokens / 3 / BLOCK, 8)
 
     read = materialize(docs.mapInArrow(_reader(shared, blocks.bit_length() - 1), _READ), "read")
-    sums = read.where("block >= 0").select("block", "hashes", "keys", "counts", "trains", "lattice")
+    sums = read.where("block >= 0").select("block", "hashes", "keys", "counts", "kinds", "lattice")
     sums = sums.groupBy("block").applyInArrow(_meet(model), "g bigint, keys binary, known binary, base binary, score binary")
-    sums = sums.groupBy("g").applyInArrow(_add, "key bigint, tail_known bigint, tail_base double, tail_score double")
-    out = read.where("block < 0").select("doc_id", "key", "learn", "n_tokens", "known", "base", "score")
+    sums = sums.groupBy("g").applyInArrow(_add(len(kinds)), "key bigint, tail_known bigint, tail_base double, tail array<double>")
+    out = read.where("block < 0").select("doc_id", "key", "kind", "n_tokens", "known", "base", "score")
     out = out.join(sums, "key", "left")
-    floor, end = float(np.log10(tokens + distinct + 1.0)), (ends + 1.0) / (tokens + 2.0)
+    floor = float(np.log10(tokens + distinct + 1.0))
     known = F.col("known") + F.coalesce("tail_known", F.lit(0)) + (1 if ends else 0)
     base = F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + float(np.log10(ends + 1.0)) - F.col("n_tokens") * floor
-    words_score = (F.col("score") + F.coalesce("tail_score", F.lit(0.0))) / float(np.log(10.0))
-    score = words_score + (F.col("n_tokens") - 1) * float(np.log10(1.0 - end)) + float(np.log10(end))
+    # for each class: its share of the documents, its words, its end
+    by_class = []
+    for k, (n, e) in enumerate(zip(tokens_k, ends_k)):
+        end = (e + 1.0) / (n + e + 2.0)
+        fixed = float(np.log((e + 0.5) / (ends + 0.5 * len(kinds))) + np.log(end))
+        words_k = F.get("score", F.lit(k)) + F.coalesce(F.get("tail", F.lit(k)), F.lit(0.0))
+        by_class.append(words_k + (F.col("n_tokens") - 1) * float(np.log1p(-end)) + fixed)
+    out = out.withColumn("paths", F.array(*by_class)).withColumn("top", F.array_max("paths"))
+    rest = F.aggregate("paths", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     return out.select(
         "doc_id",
-        (~F.col("learn")).alias("held_out"),
+        (F.col("kind") < 0).alias("held_out"),
         "n_tokens",
         known.cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        score.alias("score"),
+        ((F.col("top") + F.log(rest)) / float(np.log(10.0))).alias("score"),
     )
 
 
@@ -328,19 +363,19 @@ def _hash_column(column) -> np.ndarray:
 
 
 _READ = (
-    "block int, doc_id bigint, key bigint, learn boolean, n_tokens bigint, known bigint, base double, score double, "
-    "hashes binary, keys binary, counts binary, trains binary, lattice binary"
+    "block int, doc_id bigint, key bigint, kind int, n_tokens bigint, known bigint, base double, score array<double>, "
+    "hashes binary, keys binary, counts binary, kinds binary, lattice binary"
 )
 
 
 def _reader(shared, bits: int):
     """Documents with what the task knows of them (block -1), and packets of their rarer words."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    kinds += [pa.binary()] * 5
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+    types += [pa.binary()] * 5
     names = [c.split()[0] for c in _READ.split(", ")]
 
     def rows(n: int, **given):
-        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, k)) for c, k in zip(names, types)], names=names)
 
     def task(batches):
         pieces, model, head, head_c = shared.value
@@ -349,7 +384,7 @@ def _reader(shared, bits: int):
         total = 0
 
         def flush():
-            h, key, count, train, lattice = (np.concatenate(x) for x in zip(*kept))
+            h, key, count, kind, lattice = (np.concatenate(x) for x in zip(*kept))
             block = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
             order = np.lexsort((key, block))
             cuts = runs_of(block[order])
@@ -357,12 +392,12 @@ def _reader(shared, bits: int):
             binary = lambda a: pa.array([packed(a[p]) for p in parts], pa.binary())
             return rows(
                 len(parts), block=pa.array([block[p[0]] for p in parts], pa.int32()), hashes=binary(h), keys=binary(key),
-                counts=binary(count), trains=binary(train), lattice=binary(lattice),
+                counts=binary(count), kinds=binary(kind), lattice=binary(lattice),
             )
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            learn = batch.column(2).to_numpy(zero_copy_only=False)
+            kinds = batch.column(2).to_numpy()
             for a, b in slices(offsets, 4 << 20):
                 n = b - a
                 words = Words(data, offsets[a : b + 1])
@@ -371,9 +406,12 @@ def _reader(shared, bits: int):
                 doc = np.repeat(np.arange(n), np.diff(words.at))
                 place = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
                 common = head[place] == h if len(head) else np.zeros(len(h), bool)
-                c = np.where(common, head_c[place], 0) if len(head) else np.zeros(len(h))
-                base = np.where(common, np.log10(c + 1.0), 0.0)
-                own = np.where(common, model.log_p(c, log_p), 0.0)
+                c = np.zeros((len(h), head_c.shape[1]))
+                c[common] = head_c[place[common]]
+                base = np.log10(c.sum(axis=1) + 1.0)
+                own = np.zeros_like(c)
+                own[common] = model.log_p(c[common], log_p[common])
+                score = np.stack([np.bincount(doc, own[inverse, k], n) for k in range(c.shape[1])], axis=1)
                 keys = next_key + np.arange(n)
                 next_key += n
                 yield rows(
@@ -381,18 +419,18 @@ def _reader(shared, bits: int):
                     block=pa.array(np.full(n, -1, np.int32)),
                     doc_id=batch.column(0).slice(a, n),
                     key=pa.array(keys),
-                    learn=pa.array(learn[a:b], pa.bool_()),
+                    kind=pa.array(kinds[a:b], pa.int32()),
                     n_tokens=pa.array(np.diff(words.at) + 1),
                     known=pa.array(np.bincount(doc[common[inverse]], minlength=n)),
                     base=pa.array(np.bincount(doc, base[inverse], n)),
-                    score=pa.array(np.bincount(doc, own[inverse], n)),
+                    score=_lists(score),
                 )
                 rare = ~common[inverse]
                 pairs, count = np.unique(doc[rare] * len(h) + inverse[rare], return_counts=True)
                 if len(pairs):
                     owner, word = pairs // len(h), pairs % len(h)
-                    train = learn[a:b].astype(bool)[owner]
-                    kept.append((h[word], keys[owner], count.astype(np.uint32), train, log_p[word].astype(np.float32)))
+                    kind = kinds[a:b][owner].astype(np.int8)
+                    kept.append((h[word], keys[owner], count.astype(np.uint32), kind, log_p[word].astype(np.float32)))
                     total += len(pairs)
                 if total >= BLOCK:
                     yield flush()
@@ -408,17 +446,21 @@ def _meet(model: WordModel):
 
     def task(table: pa.Table) -> pa.Table:
         h, key = unpacked(table.column("hashes"), np.uint64), unpacked(table.column("keys"), np.int64)
-        count, train = unpacked(table.column("counts"), np.uint32), unpacked(table.column("trains"), bool)
+        count, kind = unpacked(table.column("counts"), np.uint32), unpacked(table.column("kinds"), np.int8)
         lattice = unpacked(table.column("lattice"), np.float32).astype(np.float64)
         order = np.argsort(h, kind="stable")
         starts = runs_of(h[order])
-        c = np.add.reduceat(np.where(train, count, 0)[order].astype(np.int64), starts[:-1])
-        c = np.repeat(c, np.diff(starts))
-        key, count, lattice = key[order], count[order].astype(np.float64), lattice[order]
+        count, kind = count[order].astype(np.int64), kind[order]
+        classes = len(model.tokens)
+        c = np.stack([np.add.reduceat(np.where(kind == k, count, 0), starts[:-1]) for k in range(classes)], axis=1)
+        lattice = lattice[order][starts[:-1]]
+        log_p, all_c = model.log_p(c, lattice), c.sum(axis=1)
+        word = np.repeat(np.arange(len(c)), np.diff(starts))
+        key = key[order]
         ids, at = np.unique(key, return_inverse=True)
-        known = np.bincount(at, np.where(c > 0, count, 0), len(ids)).astype(np.int64)
-        base = np.bincount(at, count * np.log10(c + 1.0), len(ids))
-        score = np.bincount(at, count * model.log_p(c, lattice), len(ids))
+        known = np.bincount(at, np.where(all_c[word] > 0, count, 0), len(ids)).astype(np.int64)
+        base = np.bincount(at, count * np.log10(all_c + 1.0)[word], len(ids))
+        score = np.stack([np.bincount(at, count * log_p[word, k], len(ids)) for k in range(classes)], axis=1)
         group = (ids >> 40) * 64 + (ids >> 12) % 64  # documents that were read together
         order = np.argsort(group, kind="stable")
         cuts = runs_of(group[order])
@@ -430,16 +472,27 @@ def _meet(model: WordModel):
     return task
 
 
-def _add(table: pa.Table) -> pa.Table:
+def _lists(values: np.ndarray) -> pa.Array:
+    """A list column of the rows of a matrix."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+
+
+def _add(classes: int):
     """Sums of all blocks for the documents of a group."""
-    key, known = unpacked(table.column("keys"), np.int64), unpacked(table.column("known"), np.int64)
-    ids, at = np.unique(key, return_inverse=True)
-    total = lambda c: np.bincount(at, unpacked(table.column(c), np.float64), len(ids))
-    return pa.table(
-        {
-            "key": ids,
-            "tail_known": np.bincount(at, known, len(ids)).astype(np.int64),
-            "tail_base": total("base"),
-            "tail_score": total("score"),
-        }
-    )
+
+    def task(table: pa.Table) -> pa.Table:
+        key, known = unpacked(table.column("keys"), np.int64), unpacked(table.column("known"), np.int64)
+        base, score = unpacked(table.column("base"), np.float64), unpacked(table.column("score"), np.float64)
+        ids, at = np.unique(key, return_inverse=True)
+        score = score.reshape(len(key), classes)
+        return pa.table(
+            {
+                "key": ids,
+                "tail_known": np.bincount(at, known, len(ids)).astype(np.int64),
+                "tail_base": np.bincount(at, base, len(ids)),
+                "tail": _lists(np.stack([np.bincount(at, score[:, k], len(ids)) for k in range(classes)], axis=1)),
+            }
+        )
+
+    return task

@@ -220,7 +220,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+    return lattice_lm.scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2, kind="lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
