@@ -52,16 +52,18 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
     want = k + 1  # a query may meet its own id
     ids = first_rows(codes.where("code is not null").distinct(), ["code"], ["id"], want).select("code", "id")
     ids = materialize(ids, "ids")
-    sizes = ids.groupBy("code").agg(F.count("*").alias("n"))
-    index = materialize(sizes.select("code", "n", F.posexplode("code").alias("segment", "value")), "index")
+    # of codes at one distance those with the least ids come first
+    sizes = ids.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("lead"))
+    index = materialize(sizes.select("code", "n", "lead", F.posexplode("code").alias("segment", "value")), "index")
     asked = materialize(queries.where("code is not null").select("id", "code").distinct(), "queries")
 
     waiting = asked.select("code").distinct()  # the search runs on distinct query codes
-    best = waiting.select("code", F.lit(0).alias("d"), F.col("code").alias("met"), F.lit(0).cast("long").alias("n")).where("false")
+    best = None
     done = []
     for radius in range(SEGMENT + 1):
-        near = _probe(waiting, index, radius, bits).unionByName(best)
-        near = first_rows(near, ["code"], ["d", "met"], want).drop("rank")
+        near = _probe(waiting, index, radius, bits)
+        near = near if best is None else near.unionByName(best)
+        near = first_rows(near, ["code"], ["d", "lead"], want).drop("rank")
         near = materialize(near, "best")
         within = F.coalesce(F.sum(F.when(F.col("d") < segments * (radius + 1), F.col("n"))), F.lit(0))
         covered = near.groupBy("code").agg(within.alias("sure")).where(F.col("sure") >= want).select("code")
@@ -100,5 +102,5 @@ def _probe(waiting: DataFrame, index: DataFrame, radius: int, bits: int) -> Data
     )
     once = (F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("segment") + 1)
     return pairs.where(once).select(
-        "code", F.aggregate("apart", F.lit(0), lambda s, x: s + x).alias("d"), "met", "n"
+        "code", F.aggregate("apart", F.lit(0), lambda s, x: s + x).alias("d"), "met", "n", "lead"
     )
