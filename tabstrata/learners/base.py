@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,28 @@ from pyspark.sql import types as T
 from tabstrata.functions import proba as P
 
 
+def require_complete(df: DataFrame, features: list[str], label: str | None = None, k: int | None = None) -> np.ndarray:
+    """Means of the features, from one scan of these columns.
+
+    Learners train on complete rows: a null or NaN among the features, a null label, or a label that
+    is no class 0 .. k - 1 raises ValueError, whatever the learner, the width and the partitioning.
+    """
+    x = [F.col(f"`{c}`").cast("double") for c in features]
+    aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]
+    aggs += [F.count_if(c.isNull() | F.isnan(c)).alias(f"n{i}") for i, c in enumerate(x)]
+    if label is not None:
+        y = F.col(f"`{label}`")
+        outside = (y < 0) | (y >= k) if k else F.lit(False)
+        aggs += [F.count_if(y.isNull() | outside).alias("labels")]
+    row = df.agg(*aggs).first()
+    missing = {c: row[f"n{i}"] for i, c in enumerate(features) if row[f"n{i}"]}
+    if missing:
+        raise ValueError(f"null or NaN features (rows): {missing}")
+    if label is not None and row["labels"]:
+        raise ValueError(f"{row['labels']} rows whose {label} is null or no class")
+    return np.array([row[f"m{i}"] or 0.0 for i in range(len(features))])
+
+
 def partial_sums(
     df: DataFrame, columns: list[str], add: Callable[[pd.DataFrame, np.ndarray], None], length: int
 ) -> np.ndarray:
@@ -25,7 +48,7 @@ def partial_sums(
 
     ``add(batch, acc)`` adds the contribution of a batch in place. Each partition emits its own sum
     once, in strips of a few numbers, which Spark adds up by position; the driver receives the
-    vector (coefficients or histograms), never rows.
+    vector (coefficients or histograms), never rows. A NaN makes the sum NaN.
     """
     wide = 8 if length <= 50_000 else 32
     names = [f"c{i}" for i in range(wide)]
@@ -37,18 +60,18 @@ def partial_sums(
     def task(batches):
         acc = np.zeros(padded)
         seen = False
-        for pdf in batches:
-            if len(pdf):
+        for batch in batches:
+            if batch.num_rows:
                 seen = True
-                add(pdf, acc[:length])
+                add(batch.to_pandas(), acc[:length])
         if seen:
             table = acc.reshape(-1, wide)
             used = np.flatnonzero(table.any(axis=1))
-            out = pd.DataFrame(table[used], columns=names)
-            out.insert(0, "strip", used.astype(np.int32))
-            yield out
+            # Arrow arrays keep NaN apart from null, which a sum would skip
+            values = [pa.array(v) for v in table[used].T.copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *values], names=["strip", *names])
 
-    parts = df.select(*columns).mapInPandas(task, schema)
+    parts = df.select(*columns).mapInArrow(task, schema)
     sums = parts.groupBy("strip").sum(*names).toArrow()
     out = np.zeros((padded // wide, wide))
     if sums.num_rows:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabstrata.functions.hashing import unit_hash
-from tabstrata.learners.base import Model, partial_sums, softmax_array, training_rows
+from tabstrata.learners.base import Model, partial_sums, require_complete, softmax_array, training_rows
 from tabstrata.operators.encode import CategoryCodes, weights_from_counts
 from tabstrata.runtime import at_most, checkpoint, small_rows
 
@@ -274,6 +274,7 @@ class HistogramBooster:
 
     def fit_folds(self, df: DataFrame, label: str, fold: str | None, k_folds: int) -> list[BoostedModel]:
         spec, k = self.spec, self.k
+        require_complete(df, self.numeric, label, k)  # a missing category is a category
         bins = min(spec.max_bins, 256)
         binner = Binner(self.numeric, self.categories, bins).fit(df)
         held = tuple(([*range(k_folds)] if fold else []) + [-1])

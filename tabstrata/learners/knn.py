@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tabstrata.functions import proba as P
 from tabstrata.functions.hashing import seeded_md5
-from tabstrata.learners.base import as_matrix
+from tabstrata.learners.base import as_matrix, require_complete
 from tabstrata.operators.scale import StandardScaler, TruncatedSVD
 from tabstrata.runtime import small_rows
 
@@ -251,6 +251,7 @@ class SvdKnn:
         self.p = {"euclidean": 2, "manhattan": 1}.get(metric, p)
 
     def fit(self, df: DataFrame, features, label) -> "SvdKnn":
+        require_complete(df, features, label, self.k)
         self.label = label
         self.svd = TruncatedSVD(features, self.n_components).fit(df)
         projected = self.svd.transform(df)

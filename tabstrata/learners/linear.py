@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabstrata.learners.base import LinearModel, partial_sums, training_rows
+from tabstrata.learners.base import LinearModel, partial_sums, require_complete, training_rows
 from tabstrata.learners.mllib import SparkLogistic
 from tabstrata.learners.moments import fold_moments, training_moments
 from tabstrata.operators.encode import weights_from_counts
@@ -168,7 +169,8 @@ class AveragedSGD:
             def run(batches):
                 w, total, steps, loss = coef.copy(), 0, 0, np.zeros(n_models)
                 mean, count = np.zeros_like(w), 0
-                for pdf in batches:
+                for batch in batches:
+                    pdf = batch.to_pandas()
                     x_all = np.column_stack(
                         [pdf[features].to_numpy(dtype=np.float64), np.ones(len(pdf))]
                     )
@@ -199,9 +201,9 @@ class AveragedSGD:
                     total += len(y_all)
                 if total:
                     flat = np.concatenate([w.ravel() * total, mean.ravel() * total, loss, [total, steps]])
-                    yield pd.DataFrame({"pos": np.arange(len(flat)), "v": flat})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["pos", "v"])
 
-            parts = df.select(*columns).mapInPandas(run, "pos long, v double")
+            parts = df.select(*columns).mapInArrow(run, "pos long, v double")
             sums = parts.groupBy("pos").agg(F.sum("v").alias("v")).toArrow()
             out = np.zeros(2 * size + n_models + 2)
             out[sums.column("pos").to_numpy()] = sums.column("v").to_numpy()
@@ -262,6 +264,7 @@ class ElasticNetLogistic:
 
     def fit_folds(self, df: DataFrame, features, label, fold, k_folds) -> list[LinearModel]:
         k, d = self.k, len(features) + 1
+        require_complete(df, features, label, k)
         held = _held_out(fold, k_folds)
         if k * d > self.WIDE:
             spark_fit = SparkLogistic(

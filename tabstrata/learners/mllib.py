@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabstrata.functions.hashing import unit_hash
-from tabstrata.learners.base import LinearModel
+from tabstrata.learners.base import LinearModel, require_complete
 from tabstrata.operators.encode import class_weight_table, weight_column
 
 
@@ -48,6 +48,7 @@ class SparkLogistic:
         self.fit_intercept, self.tol, self.max_iter = fit_intercept, tol, max_iter
 
     def fit(self, df: DataFrame, features, label) -> LinearModel:
+        require_complete(df, features, label, self.k)
         weight = _weight(df, label, self.class_weight)
         total = df.agg(F.sum(weight)).first()[0]
         model = LogisticRegression(
@@ -120,6 +121,7 @@ class RandomForest:
         self.__dict__.update({n: v for n, v in locals().items() if n != "self"})
 
     def fit(self, df: DataFrame, features, label) -> SparkMLModel:
+        require_complete(df, features, label, self.k)
         data = assembled(df, features, label, _weight(df, label, self.class_weight))
         model = RandomForestClassifier(
             featuresCol="__features",
@@ -151,6 +153,7 @@ class ExtraTrees:
         self.__dict__.update({n: v for n, v in locals().items() if n != "self"})
 
     def fit(self, df: DataFrame, features, label) -> SparkMLModel:
+        require_complete(df, features, label, self.k)
         stats = [F.min(c).alias(f"lo_{c}") for c in features] + [F.max(c).alias(f"hi_{c}") for c in features]
         row = df.agg(*stats).first()
         draws = df.sparkSession.range(self.n_estimators).select(
@@ -204,6 +207,7 @@ class Perceptron:
         self.tol, self.max_iter, self.seed = tol, max_iter, seed
 
     def fit(self, df: DataFrame, features, label) -> SparkMLModel:
+        require_complete(df, features, label, self.k)
         model = MultilayerPerceptronClassifier(
             featuresCol="__features",
             labelCol="__label",

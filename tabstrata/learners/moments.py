@@ -11,48 +11,73 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabstrata.learners.base import LinearModel, Model, partial_sums, softmax_array, softmax_texts
+from tabstrata.learners.base import (
+    LinearModel,
+    Model,
+    partial_sums,
+    require_complete,
+    softmax_array,
+    softmax_texts,
+)
 from tabstrata.operators.encode import weights_from_counts
 
 _EXPRESSION_LIMIT = 8
 
 
 class ClassMoments:
-    """n (K), s (K, d), ss (K, d, d) of one training set."""
+    """Counts n (K) and the sums of one training set about a common ``origin`` (d): ds (K, d), dss (K, d, d).
 
-    def __init__(self, n, s, ss):
-        self.n, self.s, self.ss = n, s, ss
+    Sums about a point near the mean keep their digits where raw sums of squares would cancel.
+    """
+
+    def __init__(self, n, ds, dss, origin):
+        self.n, self.ds, self.dss, self.origin = n, ds, dss, origin
 
     @property
     def k(self):
         return len(self.n)
 
     def __sub__(self, o):
-        return ClassMoments(self.n - o.n, self.s - o.s, self.ss - o.ss)
+        return ClassMoments(self.n - o.n, self.ds - o.ds, self.dss - o.dss, self.origin)
 
     def __add__(self, o):
-        return ClassMoments(self.n + o.n, self.s + o.s, self.ss + o.ss)
+        return ClassMoments(self.n + o.n, self.ds + o.ds, self.dss + o.dss, self.origin)
+
+    @property
+    def s(self):
+        """Sums of x."""
+        return self.ds + self.n[:, None] * self.origin
+
+    @property
+    def ss(self):
+        """Sums of x x'."""
+        cross = self.ds[:, :, None] * self.origin
+        square = np.multiply.outer(self.n, np.outer(self.origin, self.origin))
+        return self.dss + cross + np.swapaxes(cross, 1, 2) + square
 
     def means(self):
-        return self.s / np.maximum(self.n, 1.0)[:, None]
+        return self.origin + self.ds / np.maximum(self.n, 1.0)[:, None]
 
     def scatter(self):
         """Centred sums of squares per class."""
-        mu = self.means()
-        return self.ss - self.n[:, None, None] * mu[:, :, None] * mu[:, None, :]
+        d = self.ds / np.maximum(self.n, 1.0)[:, None]
+        return self.dss - self.n[:, None, None] * d[:, :, None] * d[:, None, :]
 
 
 def fold_moments(
     df: DataFrame, features: list[str], label: str, k: int, fold: str | None = None, k_folds: int = 1
 ) -> list[ClassMoments]:
-    """Moments of every fold's own rows, in one pass."""
+    """Moments of every fold's own rows about the mean of all rows: a scan for the mean, which also
+    refuses missing values (:func:`require_complete`), and one pass for the sums."""
     d = len(features)
+    origin = require_complete(df, features, label, k)
     n, s, ss = np.zeros((k_folds, k)), np.zeros((k_folds, k, d)), np.zeros((k_folds, k, d, d))
     if d <= _EXPRESSION_LIMIT:
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
         aggs = [F.expr("count(1) as n")]
-        aggs += [F.expr(f"sum(`{c}`) as s{i}") for i, c in enumerate(features)]
-        aggs += [F.expr(f"sum(`{features[i]}` * `{features[j]}`) as q{i}_{j}") for i, j in pairs]
+        x = [f"(`{c}` - {float(o)!r}D)" for c, o in zip(features, origin)]
+        aggs += [F.expr(f"sum({x[i]}) as s{i}") for i in range(d)]
+        aggs += [F.expr(f"sum({x[i]} * {x[j]}) as q{i}_{j}") for i, j in pairs]
         keys = [F.col(fold).alias("__f") if fold else F.lit(0).alias("__f"), F.col(label).alias("__y")]
         for r in df.groupBy(*keys).agg(*aggs).collect():  # k_folds x K rows
             f, c = r["__f"], r["__y"]
@@ -64,7 +89,7 @@ def fold_moments(
         size = 1 + d + d * d
 
         def add(pdf, acc):
-            x = pdf[features].to_numpy(dtype=np.float64)
+            x = pdf[features].to_numpy(dtype=np.float64) - origin
             y = pdf[label].to_numpy()
             f = pdf[fold].to_numpy() if fold else np.zeros(len(y), dtype=int)
             view = acc.reshape(k_folds, k, size)
@@ -79,7 +104,7 @@ def fold_moments(
         flat = partial_sums(df, cols, add, k_folds * k * size).reshape(k_folds, k, size)
         n, s = flat[:, :, 0], flat[:, :, 1 : 1 + d]
         ss = flat[:, :, 1 + d :].reshape(k_folds, k, d, d)
-    return [ClassMoments(n[f], s[f], ss[f]) for f in range(k_folds)]
+    return [ClassMoments(n[f], s[f], ss[f], origin) for f in range(k_folds)]
 
 
 def training_moments(parts: list[ClassMoments]) -> list[ClassMoments]:
@@ -165,17 +190,19 @@ def ridge(m: ClassMoments, features, alpha: float = 1.0, fit_intercept=True, cla
     """One-vs-rest least squares on +-1 targets with an L2 penalty, solved for all classes at once."""
     w = weights_from_counts({c: v for c, v in enumerate(m.n) if v > 0}, class_weight)
     wk = np.array([w.get(c, 0.0) for c in range(m.k)])
-    gram = np.tensordot(wk, m.ss, axes=1)
-    sx, sw = wk @ m.s, float(wk @ m.n)
+    # an intercept absorbs the origin, without one the sums must be raw
+    s, ss = (m.ds, m.dss) if fit_intercept else (m.s, m.ss)
+    gram = np.tensordot(wk, ss, axes=1)
+    sx, sw = wk @ s, float(wk @ m.n)
     target = 2.0 * np.eye(m.k) - 1.0  # target[c, k]: +1 for the own class, -1 otherwise
-    xy = (wk[:, None] * m.s).T @ target  # (d, K)
+    xy = (wk[:, None] * s).T @ target  # (d, K)
     sy = (wk * m.n) @ target
     d = len(features)
     if fit_intercept:
         gram = gram - np.outer(sx, sx) / sw
         xy = xy - np.outer(sx, sy) / sw
     coef = np.linalg.solve(gram + alpha * np.eye(d), xy).T
-    intercept = (sy - coef @ sx) / sw if fit_intercept else np.zeros(m.k)
+    intercept = (sy - coef @ sx) / sw - coef @ m.origin if fit_intercept else np.zeros(m.k)
     return LinearModel(features, coef, intercept)
 
 

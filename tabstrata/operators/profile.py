@@ -65,6 +65,8 @@ def histogram(
     row = df.agg(
         F.count(column).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")
     ).first()
+    if not row["n"]:  # nothing but nulls: no bins
+        return spark.createDataFrame([], "bin int, lo double, hi double, n bigint")
     n, lo, hi = row["n"], float(row["lo"]), float(row["hi"])
     if bins == "auto":
         q1, q3 = quantiles(df, [column], [0.25, 0.75], exact_limit=exact_limit)[()][column]
@@ -174,8 +176,10 @@ def box_stats(
     data = df.select(*keys, x.alias("x")).where(F.col("x").isNotNull())
     if by:
         data = data.join(F.broadcast(fences), by)  # one row per class, at most MAX_GROUPS
-    else:
+    elif rows:
         data = data.select("x", *[F.lit(v).alias(f.name) for f, v in zip(schema.fields, rows[0])])
+    else:  # nothing but nulls: no row
+        data = data.join(fences, F.lit(False))
     inside = F.col("x").between(F.col("__low"), F.col("__high"))
     stats = ["q1", "median", "q3"]
     return data.groupBy(*keys, *stats).agg(

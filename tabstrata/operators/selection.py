@@ -27,8 +27,12 @@ class ColumnSelector:
     ):
         if (features is None) == (mask is None):
             raise ValueError("give exactly one of features and mask")
-        self.features = None if features is None else list(features)
-        self.mask = None if mask is None else list(mask)
+        # numpy scalars count as the Python values they stand for
+        plain = lambda v: v.item() if hasattr(v, "item") else v
+        self.features = None if features is None else [plain(f) for f in features]
+        self.mask = None if mask is None else [plain(m) for m in mask]
+        if self.features and any(isinstance(f, bool) for f in self.features):
+            raise TypeError("features are names or positions; give booleans as mask")
         self.check_missing = check_missing
         self.strict_mask = strict_mask
         self.synthetic_names = synthetic_names

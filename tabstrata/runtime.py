@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session without that
     setting (unit tests) falls back to a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -107,7 +107,9 @@ def lookup_join(
         for c in on[1:]:
             cond = cond & match(c)
         return df.join(F.broadcast(renamed), cond, "left").drop(*keys)
-    df = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    # the row's number in its partition: equal rows of a hot key get different salts, and as the table
+    # stands at every salt it doesn't matter which one a row gets when a task is run again
+    df = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
     renamed = renamed.withColumn("__ksalt", F.explode(every))
     cond = df["__salt"] == renamed["__ksalt"]
