@@ -97,7 +97,8 @@ def _probe(waiting: DataFrame, index: DataFrame, radius: int, bits: int) -> Data
     probes = probes.select("code", "segment", "value", F.explode(every).alias("flip")).where(F.col("flip") < width)
     probes = probes.select("code", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     met = index.withColumnRenamed("code", "met")
-    pairs = probes.join(met, ["segment", "value"]).withColumn(
+    # the planner does not foresee how many rows the flips make, so it must not broadcast them
+    pairs = probes.join(met.hint("merge"), ["segment", "value"]).withColumn(
         "apart", F.zip_with("code", "met", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     )
     once = (F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("segment") + 1)
