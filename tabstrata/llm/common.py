@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabstrata.runtime import materialize
+from tabstrata.runtime import Steps
 
 #: Bytes of text that a task turns into numpy arrays at a time; a longer text is a slice of its own.
 SLICE = 2 << 20
@@ -153,21 +153,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b): the smallest node reachable.
 
     Alternating stars: each round hangs neighbours onto the smallest one, by joins on aggregated
-    minima, so no adjacency list is ever gathered. Each round is written to the shared folder.
+    minima, so no adjacency list is ever gathered. Each round is written to the shared folder and
+    replaces the one before.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = materialize(edges, "edges"), None
+    steps, before = Steps(edges.sparkSession, "edges"), None
+    edges = steps.write(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u != v"), "edges")
+        large = steps.write(large.where("u != v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        edges = materialize(small.distinct(), "edges")
+        edges = steps.write(small.distinct())
         now = one(edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
