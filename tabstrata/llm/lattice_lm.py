@@ -390,8 +390,11 @@ def _reader(shared, bits: int):
             cuts = runs_of(block[order])
             parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
             binary = lambda a: pa.array([packed(a[p]) for p in parts], pa.binary())
+            # the block holds the upper bits of a hash
+            low = h.view(np.uint8).reshape(-1, 8)[:, :6]
             return rows(
-                len(parts), block=pa.array([block[p[0]] for p in parts], pa.int32()), hashes=binary(h), keys=binary(key),
+                len(parts), block=pa.array([block[p[0]] for p in parts], pa.int32()), hashes=binary(low),
+                keys=pa.array([_pack_keys(key[p]) for p in parts], pa.binary()),
                 counts=binary(count), kinds=binary(kind), lattice=binary(lattice),
             )
 
@@ -441,11 +444,27 @@ def _reader(shared, bits: int):
     return task
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one and steps, which compress to little."""
+    return packed(keys[:1]) + packed(np.diff(keys).astype(np.uint32))
+
+
+def _unpack_keys(column) -> np.ndarray:
+    out = []
+    for value in column.to_pylist():
+        steps = np.frombuffer(value, np.uint32, offset=8).astype(np.int64)
+        out.append(np.concatenate([[0], np.cumsum(steps)]) + np.frombuffer(value, np.int64, 1))
+    return np.concatenate(out)
+
+
 def _meet(model: WordModel):
     """One block of words: counts over the training rows, summed by document."""
 
     def task(table: pa.Table) -> pa.Table:
-        h, key = unpacked(table.column("hashes"), np.uint64), unpacked(table.column("keys"), np.int64)
+        raw = unpacked(table.column("hashes"), np.uint8).reshape(-1, 6)
+        h = np.zeros((len(raw), 8), np.uint8)
+        h[:, :6] = raw
+        h, key = h.view(np.uint64).ravel(), _unpack_keys(table.column("keys"))
         count, kind = unpacked(table.column("counts"), np.uint32), unpacked(table.column("kinds"), np.int8)
         lattice = unpacked(table.column("lattice"), np.float32).astype(np.float64)
         order = np.argsort(h, kind="stable")
