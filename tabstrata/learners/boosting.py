@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tabstrata.functions.hashing import unit_hash
 from tabstrata.learners.base import Model, partial_sums, require_complete, softmax_array, training_rows
 from tabstrata.operators.encode import CategoryCodes, weights_from_counts
-from tabstrata.runtime import at_most, checkpoint, small_rows
+from tabstrata.runtime import Steps, at_most, small_rows
 
 
 EXACT_BIN_ROWS = 500_000
@@ -302,7 +302,7 @@ class HistogramBooster:
 
         trees: list[list[list[CompactTree]]] = [[] for _ in held]
         best, best_round, stopped = np.full(m, np.inf), np.zeros(m, dtype=int), np.zeros(m, dtype=bool)
-        older = []
+        older, steps = [], Steps(df.sparkSession, "boosting")
         for r in range(spec.rounds + (1 if spec.early_stopping else 0)):
             grown, loss = self._grow(state, booster, r, order, only_loss=r == spec.rounds)
             if spec.early_stopping:
@@ -316,13 +316,14 @@ class HistogramBooster:
             for i in range(m):
                 trees[i].append(grown[i])
             nxt = _advance(state, booster, grown)
-            nxt = checkpoint(nxt) if (r + 1) % spec.checkpoint_every == 0 else nxt.persist()
+            nxt = steps.write(nxt) if (r + 1) % spec.checkpoint_every == 0 else nxt.persist()
             older.append(state)
             state = nxt
             while len(older) > 2:  # the newest cache is filled by the next job, from the one before
                 older.pop(0).unpersist()
         for s in [*older, state]:
             s.unpersist()
+        steps.close()
         if spec.early_stopping:
             trees = [t[: max(int(b), 1)] for t, b in zip(trees, best_round)]
         return [
