@@ -5,16 +5,18 @@ columns are word n-grams. With threshold t, linked sets x and y overlap in at le
 
 1. ``sets``: one pass hashes the texts: (doc_id, node, n_shingles), node being a 64-bit digest of the
    whole set.
-2. Half of the columns, chosen by hash, are sent to column blocks (packed arrays, one row per task
-   and block). A block multiplies its columns: those met once are only counted, for the others it
-   returns (node, column, column size).
+2. The cells are sent to blocks of columns (packed arrays, one row per task and block). A block
+   multiplies its columns: those met once are only counted, for the others it returns
+   (node, column, column size).
 3. A row with more unmatched columns than |x| - t|x| can reach no partner and is discarded. The
-   others keep their rarest |x| - t|x| + 1 columns: by the prefix argument two linked rows share one.
-   Should a row have too few of the chosen columns, its least other columns fill up.
-4. Overlaps are accumulated for pairs of rows within the size bound that share a kept column. First
-   each row is compared with one central row of each column; after that only pairs that are not yet
-   in one component are. So a group of n near copies costs about n pairs, not n * n, and no link
-   between different components is lost.
+   others keep their rarest |x| - t|x| + 1 columns, of which the matched ones are of use: by the
+   prefix argument two linked rows share one.
+4. Overlaps are accumulated for pairs of rows that share a kept column and pass the bound
+   min(|x| - r(x), |y| - r(y)) >= t * max(|x| + r(y), |y| + r(x)), r being how many columns of the row are
+   rarer than the shared one: were it the first they share, those would limit the overlap and widen
+   the union; and two linked rows pass the bound at the first column they share. First each row is compared with the most central row of
+   each column; after that only pairs that are not yet in one component are. So near copies of one
+   text cost about one pair each, and no link between different components is lost.
 5. Overlaps of these pairs are counted over the whole sets.
 
 Exact up to collisions of 64-bit hashes. Corpus-wide data stays in Spark; block sizes are constant
@@ -50,9 +52,8 @@ from tabstrata.llm.common import (
 )
 from tabstrata.runtime import materialize
 
-#: Chosen columns per block, and rows per group of rows: a few dozen MB in a task.
+#: Cells per block, and rows per group of rows: a few dozen MB in a task.
 BLOCK, GROUP = 1 << 20, 1 << 13
-_LOW40 = np.uint64((1 << 40) - 1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -89,36 +90,34 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, node bigint, n_shingles bigint")
 
 
-def _block_packets(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """Chosen columns of each distinct set, packed by block: hash, node, size, filler or not."""
+def prefix_length(size, percent: int):
+    """|x| - ceil(t|x|) + 1."""
+    return size + (-percent * size) // 100 + 1
+
+
+def _packets(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """The cells of each distinct set, packed by block of columns: 32 bits of the column's hash beside
+    those of the block, and the node. Should two columns of a block coincide, they count as one,
+    which only makes the bounds weaker."""
 
     def task(batches):
         seen: set[int] = set()
-        kept: list[tuple[np.ndarray, int, int, int]] = []
+        kept: list[tuple[np.ndarray, int]] = []
         total = 0
 
         def flush():
-            counts = [len(h) for h, *_ in kept]
-            h = np.concatenate([h for h, *_ in kept])
+            counts = [len(h) for h, _ in kept]
+            spread = mix(np.concatenate([h for h, _ in kept]) ^ _SALT)
             node = np.repeat(np.array([k[1] for k in kept], np.int64), counts)
-            size = np.repeat(np.array([k[2] for k in kept], np.uint32), counts)
-            chosen = np.array([k[3] for k in kept])
-            fill = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts) >= np.repeat(chosen, counts)
-            spread = mix(h ^ _SALT)
-            block = (spread >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+            block = (spread >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             cuts = runs_of(block[order])
             rows = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-            low = (spread & _LOW40).view(np.uint8).reshape(-1, 8)[:, :5] if len(h) else np.zeros((0, 5), np.uint8)
+            low = spread.astype(np.uint32)
+            binary = lambda values: pa.array([packed(values[r]) for r in rows], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block[r[0]] for r in rows], pa.int32()),
-                    pa.array([packed(low[r]) for r in rows], pa.binary()),
-                    pa.array([packed(node[r]) for r in rows], pa.binary()),
-                    pa.array([packed(size[r]) for r in rows], pa.binary()),
-                    pa.array([packed(fill[r]) for r in rows], pa.binary()),
-                ],
-                names=["block", "low", "node", "size", "fill"],
+                [pa.array([block[r[0]] for r in rows], pa.int32()), binary(low), binary(node)],
+                names=["block", "low", "node"],
             )
 
         for batch in batches:
@@ -126,24 +125,15 @@ def _block_packets(docs: DataFrame, n: int, percent: int, bits: int) -> DataFram
                 if not len(part) or (node := node_of(part)) in seen:
                     continue
                 seen.add(node)
-                odd = (part & np.uint64(1)).astype(bool)
-                chosen = part[odd]
-                need = prefix_length(len(part), percent) - len(chosen)
-                h = np.concatenate([chosen, part[~odd][:need]]) if need > 0 else chosen
-                kept.append((h, node, len(part), len(chosen)))
-                total += len(h)
+                kept.append((part, node))
+                total += len(part)
                 if total >= BLOCK:
                     yield flush()
                     kept, total = [], 0
         if total:
             yield flush()
 
-    return docs.select("text").mapInArrow(task, "block int, low binary, node binary, size binary, fill binary")
-
-
-def prefix_length(size, percent: int):
-    """|x| - ceil(t|x|) + 1."""
-    return size + (-percent * size) // 100 + 1
+    return docs.select("text").mapInArrow(task, "block int, low binary, node binary")
 
 
 def _multiply(groups: int):
@@ -151,86 +141,68 @@ def _multiply(groups: int):
 
     def task(table: pa.Table) -> pa.Table:
         block = np.uint64(table.column("block")[0].as_py())
-        raw = unpacked(table.column("low"), np.uint8).reshape(-1, 5)
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, :5] = raw
-        h = h.view(np.uint64).ravel()
-        node, size = unpacked(table.column("node"), np.int64), unpacked(table.column("size"), np.uint32)
-        fill = unpacked(table.column("fill"), bool)
-        order = np.lexsort((node, fill, h))
-        h, node, size, fill = h[order], node[order], size[order], fill[order]
-        new_column = np.concatenate([[True], (h[1:] != h[:-1]) | (fill[1:] != fill[:-1])])
-        keep = new_column | np.concatenate([[True], node[1:] != node[:-1]])
-        h, node, size, fill, new_column = h[keep], node[keep], size[keep], fill[keep], new_column[keep]
-        starts = np.concatenate([np.flatnonzero(new_column), [len(h)]])
-        df = np.repeat(np.diff(starts), np.diff(starts)).astype(np.uint32)
-        alone = df == 1
-        column = (block << np.uint64(40)) | h
-        use = ~(alone & fill)
-        node, size, df, column, fill = node[use], size[use], df[use], column[use], fill[use]
+        h, node = unpacked(table.column("low"), np.uint32), unpacked(table.column("node"), np.int64)
+        order = np.lexsort((node, h))
+        h, node = h[order], node[order]
+        starts = np.concatenate([[True], h[1:] != h[:-1]])
+        keep = starts | np.concatenate([[True], node[1:] != node[:-1]])  # a set sent by two tasks counts once
+        h, node = h[keep], node[keep]
+        length = np.diff(np.concatenate([np.flatnonzero(starts[keep]), [len(h)]]))
+        df = np.repeat(length, length).astype(np.uint32)
+        column = (block << np.uint64(32)) | h
         group = node.view(np.uint64) % np.uint64(groups)
         order = np.argsort(group, kind="stable")
         cuts = runs_of(group[order])
         rows = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-        single, shared = [], []
-        for r in rows:
-            lone = df[r] == 1
-            nodes, first, count = np.unique(node[r[lone]], return_index=True, return_counts=True)
-            single.append((nodes, size[r[lone]][first], count.astype(np.uint32)))
-            shared.append(r[~lone])
+        single = [np.unique(node[r[df[r] == 1]], return_counts=True) for r in rows]
+        shared = [r[df[r] > 1] for r in rows]
         binary = lambda arrays: pa.array([packed(x) for x in arrays], pa.binary())
         return pa.table(
             {
                 "g": pa.array([int(group[r[0]]) for r in rows], pa.int64()),
                 "lone_node": binary(s[0] for s in single),
-                "lone_size": binary(s[1] for s in single),
-                "lone_count": binary(s[2] for s in single),
+                "lone_count": binary(s[1].astype(np.uint32) for s in single),
                 "node": binary(node[r] for r in shared),
-                "size": binary(size[r] for r in shared),
                 "col": binary(column[r] for r in shared),
                 "df": binary(df[r] for r in shared),
-                "fill": binary(fill[r] for r in shared),
             }
         )
 
     return task
 
 
-_MULTIPLIED = (
-    "g bigint, lone_node binary, lone_size binary, lone_count binary, "
-    "node binary, size binary, col binary, df binary, fill binary"
-)
+_MULTIPLIED = "g bigint, lone_node binary, lone_count binary, node binary, col binary, df binary"
+_KEPT = "col bigint, node bigint, n bigint, r bigint, u bigint, spread double"
 
 
 def _prefixes(percent: int):
     """The kept columns of the rows of one group, for rows that can have partners."""
 
     def task(table: pa.Table) -> pa.Table:
-        node, size = unpacked(table.column("node"), np.int64), unpacked(table.column("size"), np.uint32)
+        node = unpacked(table.column("node"), np.int64)
         col, df = unpacked(table.column("col"), np.uint64), unpacked(table.column("df"), np.uint32)
-        fill = unpacked(table.column("fill"), bool)
-        lone = unpacked(table.column("lone_node"), np.int64)
-        count = unpacked(table.column("lone_count"), np.uint32)
+        lone, count = unpacked(table.column("lone_node"), np.int64), unpacked(table.column("lone_count"), np.uint32)
         ids, at = np.unique(node, return_inverse=True)
-        unmatched = np.zeros(len(ids), np.int64)
-        where = np.searchsorted(ids, lone)
-        known = where < len(ids)
-        known[known] = ids[where[known]] == lone[known]
-        np.add.at(unmatched, where[known], count[known])
-        order = np.lexsort((col, df, fill, at))
+        where = np.minimum(np.searchsorted(ids, lone), max(len(ids) - 1, 0))
+        known = ids[where] == lone if len(ids) else np.zeros(len(lone), bool)
+        unmatched = np.bincount(where[known], count[known], len(ids)).astype(np.int64)
+        order = np.lexsort((col, df, at))
         cuts = runs_of(at[order])
         rank = np.arange(len(order)) - np.repeat(cuts[:-1], np.diff(cuts))
         row = at[order]
-        total = np.bincount(at, weights=df) if len(at) else np.zeros(0)
-        score = (total + unmatched) / np.maximum(np.bincount(at, minlength=len(ids)) + unmatched, 1)
-        use = rank < prefix_length(size[order].astype(np.int64), percent) - unmatched[row]
-        r = order[use]
+        matched = np.bincount(at, minlength=len(ids))
+        size = matched + unmatched
+        use = rank < prefix_length(size[row], percent) - unmatched[row]
+        r, row = order[use], row[use]
+        spread = np.bincount(at, df, len(ids)) / np.maximum(matched, 1)
         return pa.table(
             {
                 "col": col[r].view(np.int64),
                 "node": node[r],
-                "n": size[r].astype(np.int64),
-                "score": score[row[use]],
+                "n": size[row],
+                "r": unmatched[row] + rank[use],
+                "u": unmatched[row],
+                "spread": spread[row],
             }
         )
 
@@ -277,7 +249,8 @@ def _incidence(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _within(percent: int):
-    return F.expr(f"{percent} * greatest(n, m) <= 100 * least(n, m)")
+    """The bound on rows of n and m cells that have r and q cells before their first shared column."""
+    return F.expr(f"100 * least(n - r, m - q) >= {percent} * greatest(n + q, m + r)")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -302,17 +275,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """Enough verified links (a, b) between nodes to connect what all links connect."""
     sizes = one(nodes.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("cells")))
-    blocks = power_of_two((sizes["cells"] or 0) / 2 / BLOCK, 8)
+    blocks = power_of_two((sizes["cells"] or 0) / BLOCK, 8)
     groups = power_of_two(sizes["rows"] / GROUP, 8)
-    packets = _block_packets(docs, n, percent, blocks.bit_length() - 1)
+    packets = _packets(docs, n, blocks.bit_length() - 1)
     shared = packets.groupBy("block").applyInArrow(_multiply(groups), _MULTIPLIED)
-    kept = shared.groupBy("g").applyInArrow(_prefixes(percent), "col bigint, node bigint, n bigint, score double")
+    kept = shared.groupBy("g").applyInArrow(_prefixes(percent), _KEPT)
     kept = materialize(kept, "columns")
 
+    # the most central row of a column: fewest unmatched columns, then the most shared others
     centre = kept.groupBy("col").agg(
-        F.max(F.struct("score", "node", F.col("n").alias("m"))).alias("c"), F.count("*").alias("rows")
+        F.min(F.struct("u", (-F.col("spread")).alias("s"), "node", "n", "r")).alias("c"), F.count("*").alias("rows")
+    )
+    centre = centre.where("rows > 1").select(
+        "col", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.r").alias("q")
     )
-    centre = centre.where("rows > 1").select("col", "c.node", "c.m").withColumnRenamed("node", "other")
     first = kept.join(centre, "col").where("node != other").where(_within(percent))
     first = materialize(first.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     incidence = materialize(_incidence(docs, _wanted(first, nodes), n), "incidence")
@@ -321,10 +297,17 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame
     # what the first comparisons have not connected
     reached = components(links)
     placed = kept.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = placed.join(mixed.where("low != high").select("col"), "col")
-    other = placed.select("col", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    second = placed.withColumnRenamed("node", "a").join(other, "col").where("a < b and component != other")
+    # a column's largest component is compared with the others only, never with itself
+    parts = placed.groupBy("col", "component").agg(F.count("*").alias("rows"))
+    major = parts.groupBy("col").agg(F.max(F.struct("rows", "component")).alias("x"), F.count("*").alias("parts"))
+    major = major.where("parts > 1").select("col", F.col("x.component").alias("major"))
+    placed = placed.join(major, "col")
+    other = placed.select(
+        "col", F.col("node").alias("b"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("component").alias("other")
+    )
+    minor = placed.where("component != major").withColumnRenamed("node", "a")
+    second = minor.join(other, "col").where("component != other and (a < b or other = major)")
+    second = second.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
     second = second.where(_within(percent)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     second = materialize(second, "pairs")
     have = incidence.select("node")
