@@ -11,7 +11,7 @@ driver never holds the groups: it asks Spark for the largest cut in each of a bo
 bins, searches with what is known, and asks again, finer, only for bins whose inner cuts could
 change an answer. Rows of one hot text are spread over salted cells when slots are numbered.
 
-Cases: a null text is a group of its own, of size 8 a row and crc 0; an empty table gives no rows; with
+Cases: null texts count as empty ones, of size 8 a row and crc 0; an empty table gives no rows; with
 fewer groups than shards the last shards stay empty; repeated rows get a slot each.
 """
 
@@ -34,18 +34,18 @@ SALTS = 64
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    raw = F.col("text").cast("binary")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
     return docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-        F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.md5(raw), F.lit("")).alias("key"),
+        F.crc32(raw).cast("long").alias("text_crc32"),
+        F.md5(raw).alias("key"),
     )
 
 
 def _range(key: Column) -> Column:
     """One of 4096 ranges of md5 keys, in their order."""
-    return F.coalesce(F.conv(F.substring(key, 1, 3), 16, 10).cast("int"), F.lit(-1))
+    return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
 def running(groups: DataFrame) -> DataFrame:

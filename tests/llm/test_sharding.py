@@ -37,7 +37,7 @@ def test_least_capacity(spark, monkeypatch, n, shards, bins):
     assert len(got) == len(docs)
     groups = {}
     for _, t in docs:
-        key = "" if t is None else hashlib.md5(t.encode()).hexdigest()
+        key = hashlib.md5((t or "").encode()).hexdigest()
         groups[key] = groups.get(key, 0) + len((t or "").encode()) + 8
     loads, slots, where = {}, {}, {}
     for r in got:
