@@ -16,14 +16,14 @@ items nothing is hit; equal rows give equal results; further columns are kept.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabstrata.llm.common import bounded_batches
+
 WINDOW = 10
 #: Words in one automaton; it takes about 0.6 kB a word in a Python worker.
 MAX_WORDS = 200_000
@@ -180,7 +180,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
     clash = {"hit_spans", "hit_items", "hit_words"} & set(docs.columns)
     if clash:
         docs = docs.drop(*clash)
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     extra = "hit_spans array<int>, hit_items array<string>, hit_words bigint"
     out = docs.select(
         "*",

@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from tabstrata.llm.common import (
     Words,
+    bounded_batches,
     components,
     mix,
     one,
@@ -87,6 +88,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
                 names=["doc_id", "node", "n_shingles"],
             )
 
+    docs = bounded_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, node bigint, n_shingles bigint")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabstrata.llm.common import slices, text_buffer
+from tabstrata.llm.common import bounded_batches, slices, text_buffer
 from tabstrata.runtime import small_rows
 
 BUCKETS = 1 << 13
@@ -48,7 +48,7 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
 def trigram_counts(column):
     """Blocks of (first row, rows x buckets counts as float32)."""
     data, offsets = text_buffer(column)
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets):
         base = int(offsets[a])
         part = data[base : int(offsets[b])]
         grams = _trigrams(part) if len(part) > 2 else np.zeros(0, np.int64)
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
 
     A text counts by its trigram shares, with the weight of at most 500 trigrams.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = bounded_batches(docs).where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
     def task(batches):
         sums: dict[str, np.ndarray] = {}
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: LanguageModel, least_gap: float = 0.2) -> Da
     """``docs`` plus ``lang_pred``, ``lang_score`` (0 to 1) and ``ambiguous`` (gap to the next language
     below ``least_gap``, or no language at all)."""
     extra = "lang_pred string, lang_score double, ambiguous boolean"
-    docs = docs.drop("lang_pred", "lang_score", "ambiguous")
+    docs = bounded_batches(docs).drop("lang_pred", "lang_score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):

@@ -33,6 +33,7 @@ from tabstrata.llm.common import (
     _P,
     _P_INV,
     Words,
+    bounded_batches,
     mix,
     one,
     packed,
@@ -296,7 +297,7 @@ def scores(
     Scores are log10 probabilities of the whole text, end included. ``kind`` names the column of the
     classes; it is read in training rows only, and its values, at most ``MAX_KINDS``, are model parameters.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     value = F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind else F.lit("")
     found = docs.where(learn).groupBy(value.alias("kind")).agg(F.count("*").alias("n"))
     ends_of = {r["kind"]: r["n"] for r in sorted(small_rows(found, MAX_KINDS, "classes"), key=lambda r: r["kind"])}

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabstrata.llm.common import Words, mix, power_of_two, shingle_hashes, slices, text_buffer
+from tabstrata.llm.common import Words, bounded_batches, mix, power_of_two, shingle_hashes, slices, text_buffer
 
 SHINGLE = 5
 MAX_TEMPLATES = 10_000
@@ -142,7 +142,7 @@ def scan(
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates; scan them in parts")
-    shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates, threshold, collide))
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(TemplateIndex(templates, threshold, collide))
 
     def task(batches):
         index = shared.value

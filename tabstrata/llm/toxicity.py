@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabstrata.llm.common import one
+from tabstrata.llm.common import bounded_batches, one
 from tabstrata.runtime import materialize
 
 #: Labelled rows used for fitting, and terms kept in the lexicon.
@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
 
     ``learn`` is a condition on ``doc_id`` that says which labels may be learned from.
     """
-    docs = docs.drop(*FEATURES, "toxicity")
+    docs = bounded_batches(docs).drop(*FEATURES, "toxicity")
     chosen = materialize(sample(labels, learn, max_rows), "sample")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     texts = materialize(texts.select("text", "toxic", "part"), "labelled")
