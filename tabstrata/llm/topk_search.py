@@ -3,7 +3,8 @@
 A code is cut into segments of up to 16 bits; the index holds every distinct code once per segment.
 For a query all buckets whose segment differs in at most r bits are probed, r = 0, 1, 2, ... Once
 all segments have been searched to radius r, every code at distance below segments * (r + 1) has
-been met; a query stops growing when its k-th verified distance is below that bound.
+been met; a query stops growing when its k-th verified distance is below that bound. Until then its
+k-th distance so far bounds the candidates of the next radius.
 
 Scale: queries and index meet in joins on (segment, value); neither is broadcast. Equal codes are
 one row that keeps its k + 1 least ids, so a group of copies costs one candidate; adaptive execution
@@ -57,7 +58,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
     index = materialize(sizes.select("code", "n", "lead", F.posexplode("code").alias("segment", "value")), "index")
     asked = materialize(queries.where("code is not null").select("id", "code").distinct(), "queries")
 
-    waiting = asked.select("code").distinct()  # the search runs on distinct query codes
+    # the search runs on distinct query codes; bound is the distance of the last row wanted so far
+    waiting = asked.select("code").distinct().withColumn("bound", F.lit(None).cast("int"))
     best = None
     done = []
     for radius in range(SEGMENT + 1):
@@ -66,12 +68,15 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
         near = first_rows(near, ["code"], ["d", "lead"], want).drop("rank")
         near = materialize(near, "best")
         within = F.coalesce(F.sum(F.when(F.col("d") < segments * (radius + 1), F.col("n"))), F.lit(0))
-        covered = near.groupBy("code").agg(within.alias("sure")).where(F.col("sure") >= want).select("code")
+        state = near.groupBy("code").agg(within.alias("sure"), F.sum("n").alias("met_rows"), F.max("d").alias("far"))
+        covered = state.where(F.col("sure") >= want).select("code")
         last = radius == SEGMENT
         done.append(near if last else near.join(covered, "code", "left_semi"))
         if last:
             break
-        waiting = materialize(waiting.join(covered, "code", "left_anti"), "open")
+        bound = F.when(F.col("met_rows") >= want, F.col("far")).alias("bound")
+        waiting = waiting.drop("bound").join(state, "code", "left").where(f"sure is null or sure < {want}")
+        waiting = materialize(waiting.select("code", bound), "open")
         best = near.join(covered, "code", "left_anti")
         if waiting.isEmpty():
             break
@@ -88,20 +93,20 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
 
 def _probe(waiting: DataFrame, index: DataFrame, radius: int, bits: int) -> DataFrame:
     """Pairs (code, met) whose least segment distance is ``radius``, each from one segment only."""
-    probes = waiting.select("code", F.posexplode("code").alias("segment", "value"))
+    probes = waiting.select("code", "bound", F.posexplode("code").alias("segment", "value"))
     flips = [m for m in range(1 << min(SEGMENT, bits)) if m.bit_count() == radius]
     # one literal, folded into an array of integers by the optimiser
     every = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<int>")
     last = (bits - 1) // SEGMENT
     width = F.when(F.col("segment") == last, 1 << (bits - SEGMENT * last)).otherwise(1 << SEGMENT)
-    probes = probes.select("code", "segment", "value", F.explode(every).alias("flip")).where(F.col("flip") < width)
-    probes = probes.select("code", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    probes = probes.select("code", "bound", "segment", "value", F.explode(every).alias("flip")).where(F.col("flip") < width)
+    probes = probes.select("code", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     met = index.withColumnRenamed("code", "met")
     # the planner does not foresee how many rows the flips make, so it must not broadcast them
     pairs = probes.join(met.hint("merge"), ["segment", "value"]).withColumn(
         "apart", F.zip_with("code", "met", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     )
     once = (F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("segment") + 1)
-    return pairs.where(once).select(
-        "code", F.aggregate("apart", F.lit(0), lambda s, x: s + x).alias("d"), "met", "n", "lead"
-    )
+    distance = F.aggregate("apart", F.lit(0), lambda s, x: s + x)
+    near = F.col("bound").isNull() | (distance <= F.col("bound"))
+    return pairs.where(once & near).select("code", distance.alias("d"), "met", "n", "lead")
