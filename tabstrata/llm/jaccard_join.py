@@ -18,6 +18,8 @@ columns are word n-grams. With threshold t, linked sets x and y overlap in at le
    each column; after that only pairs that are not yet in one component are. So near copies of one
    text cost about one pair each, and no link between different components is lost.
 5. Overlaps of these pairs are counted over the whole sets.
+6. The number of links of each document, where it is wanted, takes all pairs inside a component (no link
+   leaves one): its rows are dealt into chunks, and each pair of chunks is multiplied in a task of its own.
 
 Exact up to collisions of 64-bit hashes. Corpus-wide data stays in Spark; block sizes are constant
 as the data grows. Intermediate tables are written to the shared folder.
@@ -55,6 +57,8 @@ from tabstrata.runtime import materialize
 
 #: Cells per block, and rows per group of rows: a few dozen MB in a task.
 BLOCK, GROUP = 1 << 20, 1 << 13
+#: Rows and cells per chunk of a component whose links are counted.
+CHUNK, CHUNK_CELLS = 128, 1 << 19
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -255,27 +259,88 @@ def _within(percent: int):
     return F.expr(f"100 * least(n - r, m - q) >= {percent} * greatest(n + q, m + r)")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, node, representative.
-
-    Two documents link when 100 * overlap >= percent * union of their n-gram sets; component_id is
-    the least doc_id reachable by links. ``node`` names the set of a document (null: empty).
-    """
+def _named(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, node, n_shingles); nodes with their least doc_id, copies and component; whole sets of linked nodes."""
     keyed = materialize(sets(docs, n), "sets")
     nodes = keyed.where("node is not null").groupBy("node", "n_shingles")
     nodes = materialize(nodes.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nodes")
-    edges = materialize(_links(docs, nodes, n, percent), "links")
+    edges, incidence = _links(docs, nodes, n, percent)
+    edges = materialize(edges, "links")
     reached = components(edges)
     named = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return keyed, named, incidence
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, node and, with ``links``, n_links.
+
+    Two documents link when 100 * overlap >= percent * union of their n-gram sets; component_id is
+    the least doc_id reachable by links. ``node`` names the set of a document (null: empty). n_links
+    is the number of other rows that a document links with, copies among them.
+    """
+    keyed, named, incidence = _named(docs, n, percent)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
+    if links:
+        named = materialize(named, "named")
+        counts = link_counts(named, incidence, percent)
+        named = named.join(counts, "node", "left")
+        named = named.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    more = ["n_links"] if links else []
+    named = named.join(least, "component").select("node", "component_id", *more)
     # a node of many copies is a hot key: its side is one row, so adaptive execution can split it
     out = keyed.join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", *more)
+
+
+def _counted(percent: int):
+    """Links by row between two chunks of a component, or inside one."""
+
+    def task(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        chunk = table.column("chunk").to_numpy()
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        cells = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("hashes").chunks for x in c]
+        size = np.array([len(c) for c in cells])
+        left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        found = np.zeros(len(cells), np.int64)
+        if len(left) and len(right):
+            h = np.concatenate([cells[i] for i in right])
+            owner = np.repeat(np.arange(len(right)), size[right])
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            for i in left:
+                first = np.searchsorted(h, cells[i], "left")
+                count = np.searchsorted(h, cells[i], "right") - first
+                at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(right))
+                linked = (100 * both >= percent * (size[i] + size[right] - both)) & (right != i)
+                found[i] += copies[right][linked].sum()
+                if lo != hi:  # inside a chunk each row has its own turn
+                    found[right[linked]] += copies[i]
+        return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(found, pa.int64())})
+
+    return task
+
+
+def link_counts(named: DataFrame, incidence: DataFrame, percent: int) -> DataFrame:
+    """(node, links): rows of other nodes that a node links with, for nodes of components of several."""
+    parts = named.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("cells"))
+    parts = parts.where("rows > 1").select(
+        "component", F.ceil(F.greatest(F.col("rows") / CHUNK, F.col("cells") / CHUNK_CELLS)).cast("int").alias("chunks")
+    )
+    rows = named.select("node", "component", "copies").join(parts, "component").join(incidence, "node")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select(
+        "component", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "copies", "hashes"
+    )
+    found = rows.groupBy("component", "lo", "hi").applyInArrow(_counted(percent), "node bigint, links bigint")
+    return materialize(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Enough verified links (a, b) between nodes to connect what all links connect."""
+def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Enough verified links (a, b) between nodes to connect what all links connect, and the sets compared."""
     sizes = one(nodes.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("cells")))
     blocks = power_of_two((sizes["cells"] or 0) / BLOCK, 8)
     groups = power_of_two(sizes["rows"] / GROUP, 8)
@@ -315,7 +380,8 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame
     have = incidence.select("node")
     missing = _wanted(second, nodes).join(have, "node", "left_anti")
     more = materialize(_incidence(docs, missing, n), "incidence")
-    return links.unionByName(verified(second, incidence.unionByName(more), percent))
+    incidence = incidence.unionByName(more)
+    return links.unionByName(verified(second, incidence, percent)), incidence
 
 
 def _wanted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -77,6 +77,20 @@ def test_lower_threshold_and_larger_shingles(spark):
     assert sorted(map(tuple, got), key=repr) == brute(docs, 5, 80)
 
 
+@pytest.mark.parametrize("chunk", [128, 3])
+def test_links_of_each_document_like_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    docs = corpus(5)
+    df = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in docs], DOCS).repartition(5)
+    got = J.jaccard_components(df, links=True).select("doc_id", "component_id", "n_links").collect()
+    sets = [shingles(t) for _, t in docs]
+    near = lambda x, y: bool(x) and 100 * len(x & y) >= 85 * len(x | y)
+    links = [sum(near(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == sorted(((d, k) for (d, _), k in zip(docs, links)), key=repr)
+    assert max(links) > 3
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted(((d, c) for d, _, c in brute(docs)), key=repr)
+
+
 def test_one_document_of_each_component_stays(spark):
     docs = corpus(4)
     df = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in docs], DOCS)
