@@ -406,12 +406,13 @@ def with_node(docs: DataFrame, n: int) -> DataFrame:
 def deduplicated(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` with one document of each component, the one with the least id; same columns.
 
-    Rows without shingles are no duplicates of anything and stay. Where several rows of a component
-    have its least id, one of them stays.
+    Rows without shingles are no duplicates of anything and stay. A component without ids keeps a row, too.
+    Where several rows of a component have its least id, one of them stays.
     """
-    table = jaccard_components(docs, n, percent).where("node is not null")
-    best = table.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id"), "component_id")
-    best = best.agg(F.min("node").alias("__best")).drop("component_id")
+    _, named, _ = _named(docs, n, percent)
+    # components are told apart by their node: ids may be null, or stand on different texts
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("x")
+    best = named.groupBy("component").agg(first).select(F.col("x.doc_id").alias("__id"), F.col("x.node").alias("__best"))
     best = materialize(best, "kept")
     marked = with_node(docs, n)
     own = marked["doc_id"].eqNullSafe(best["__id"]) & (marked["__node"] == best["__best"])

@@ -101,6 +101,16 @@ def test_one_document_of_each_component_stays(spark):
     assert len(ids) == len(want) and set(ids) == want
 
 
+def test_different_texts_with_null_or_equal_ids_stay(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    texts = [" ".join(f"{w}{k}" for w in words) for k in range(6)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[4])]
+    docs += [(7, texts[5]), (8, texts[5]), (7, texts[5])]
+    df = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in docs], DOCS)
+    got = sorted(((r.text, r.doc_id) for r in J.deduplicated(df).collect()), key=repr)
+    assert got == sorted(zip(texts, [None, None, 7, 7, 9, 7]), key=repr)
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     assert J.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
