@@ -51,7 +51,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD = 200_000
 MAX_KINDS = 64
 BLOCK = 1 << 20
-#: Words longer than this go one by one, and leave the estimation of pieces to the others.
+#: Words longer than this go one by one.
 LONG = 64
 _LENGTHS = mix(np.arange(LONG + 2, dtype=np.uint64) + np.uint64(0xA24BAED4963EE407))
 _MARK = 32  # stands for the word start in front of a word; no word contains it
@@ -175,6 +175,29 @@ class Pieces:
             alpha[j] = top + float(np.log(np.exp(parts - top).sum()))
         return alpha[-1]
 
+    def expected_one(self, word: bytes, sums: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one word of any length."""
+        known, index = self.by_piece(), self.by_index()
+        word = bytes([_MARK]) + word
+        n = len(word)
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0.0
+        for j in range(1, n + 1):
+            starts = [i for i in range(max(0, j - self.longest), j) if word[i:j] in known]
+            if starts:
+                alpha[j] = np.logaddexp.reduce(alpha[starts] + np.array([known[word[i:j]] for i in starts]))
+        for i in range(n - 1, -1, -1):
+            ends = [j for j in range(i + 1, min(i + self.longest, n) + 1) if word[i:j] in known]
+            if ends:
+                paths = beta[ends] + np.array([known[word[i:j]] for j in ends])
+                beta[i] = np.logaddexp.reduce(paths)
+                sums[[index[word[i:j]] for j in ends]] += np.exp(alpha[i] + paths - alpha[n])
+
+    def by_index(self) -> dict[bytes, int]:
+        if not hasattr(self, "_by_index"):
+            self._by_index = {p: i for i, p in enumerate(self.pieces)}
+        return self._by_index
+
     def by_piece(self) -> dict[bytes, float]:
         if not hasattr(self, "_by_piece"):
             self._by_piece = {p: float(x) for p, x in zip(self.pieces, self.logp)}
@@ -260,6 +283,8 @@ def estimate(words: DataFrame, path: str = VOCABULARY, rounds: int = 2) -> Piece
                 data, start, end = _joined(batch.column(0))
                 for _, matrix in by_length(data, start, end):
                     pieces.expected(matrix, np.ones(len(matrix)), sums)
+                for i in np.flatnonzero(end - start > LONG):
+                    pieces.expected_one(data[start[i] : end[i]].tobytes(), sums)
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["piece", "n"])
 

@@ -104,6 +104,24 @@ def test_forward_sums_all_segmentations():
     assert sum(s * len(p) for s, p in zip(sums, names)) == pytest.approx(3)  # a segmentation covers the word
 
 
+def test_long_words_take_part_in_the_estimation(spark):
+    names = [b" a", b" ", b"a", b"b", b"ab", b"ba", b"bab", b" ab"]
+    keys = LM.piece_keys(names)
+    order = np.argsort(keys)
+    pieces = LM.Pieces([names[i] for i in order], keys[order], np.arange(1.0, 9.0))
+    for word in (b"a", b"babba", b"ab" * 50):
+        want, got = np.zeros(8), np.zeros(8)
+        pieces.expected(np.frombuffer(b" " + word, np.uint8)[None, :], np.ones(1), want)
+        pieces.expected_one(word, got)
+        assert got == pytest.approx(want)
+    words = spark.createDataFrame([(bytearray(b"zqzq" * 30),), (bytearray("語".encode() * 40),)], "word binary")
+    none = LM.estimate(words.limit(0), rounds=1)
+    learned = LM.estimate(words, rounds=1)
+    for piece in (b"q", "語".encode()):
+        i = learned.by_index()[piece]
+        assert learned.logp[i] > none.logp[i]
+
+
 def test_scores_like_a_plain_version(spark):
     rows = [(i, "The cat sat " * (i % 5) + f"word{i}", "x") for i in range(60)]
     rows += [(100, None, "x"), (101, "", "x"), (102, "é" * 90 + " a", "x"), (7, rows[7][1], "x"), (7, "unseen", "x"), (None, "cat", "x")]
