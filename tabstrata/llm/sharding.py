@@ -3,7 +3,9 @@
 Documents of equal text are one group and stay together. Groups stand in the order of the md5 of
 their text, which mixes sources over the shards; their running bytes are the possible cuts. The
 least capacity with which a greedy walk fills at most the given number of shards is found by binary
-search, and the walk at that capacity cuts the order.
+search. Under that capacity the order is then cut evenly: a group larger than an even share has a shard
+of its own, the stretches between such groups share the other shards by their bytes, every shard gets a
+group while there are enough, and each cut is the one nearest to an even share that leaves the rest feasible.
 
 Scale: texts are read once and never shuffled; all else works on (id, md5, size, crc) rows on the
 shared folder. Running sums take one window for each of 4096 md5 ranges plus their offsets. The
@@ -17,7 +19,7 @@ fewer groups than shards the last shards stay empty; repeated rows get a slot ea
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,6 +33,8 @@ OVERHEAD = 8
 #: Bins of the first look at the cuts, and of every bin that is looked at again.
 BINS, FINER = 4096, 64
 SALTS = 64
+#: A cut nearest to an even share is sought to this part of the share.
+NEAR = 100
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -113,6 +117,22 @@ class Cuts:
                 break
         return out, unsure
 
+    def learn(self, cut: int) -> None:
+        """Makes a cut known."""
+        i = bisect_left(self.known, cut)
+        above = self.known[i]
+        if above == cut:
+            return
+        low = self.hidden.get(above)
+        if low is not None and low < cut - 1:
+            self.hidden[cut] = low
+        if low is not None:
+            if cut < above - 1:
+                self.hidden[above] = cut
+            else:
+                del self.hidden[above]
+        self.known.insert(i, cut)
+
     def refine(self, tops: set[int]) -> None:
         gaps = []
         for top in sorted(tops):
@@ -120,8 +140,8 @@ class Cuts:
         self._ask(gaps, FINER)
 
 
-def minimax(cuts: Cuts, largest: int, shards: int) -> list[int]:
-    """Ends of the shards under the least capacity that suffices."""
+def minimax(cuts: Cuts, largest: int, shards: int) -> tuple[int, list[int]]:
+    """The least capacity that suffices, and the ends of the shards of the walk at it."""
     total = cuts.total
     while True:
         low, high = max(largest, -(-total // shards)), total
@@ -141,10 +161,65 @@ def minimax(cuts: Cuts, largest: int, shards: int) -> list[int]:
         ends, doubts = cuts.walk(low, shards, hopeful=False)
         unsure |= doubts
         if not unsure:
-            return ends
+            return low, ends
         cuts.refine(unsure)
 
 
+def _hot(large: list[tuple[int, int]], total: int, shards: int) -> list[tuple[int, int]]:
+    """(start, end) of the groups larger than an even share of what the larger ones leave."""
+    out, rest = [], total
+    for size, upto in sorted(large, key=lambda g: (-g[0], g[1])):
+        if size * (shards - len(out)) <= rest or len(out) == shards - 1:
+            break
+        out.append((upto - size, upto))
+        rest -= size
+    return sorted(out)
+
+
+def even(cuts: Cuts, capacity: int, shards: int, hot: list[tuple[int, int]], tail: list[int]) -> list[int]:
+    """Ends of even shards of at most ``capacity`` bytes, none of them empty.
+
+    ``tail`` has the last ends of groups, the last one first. Groups are more than shards.
+    """
+    total = cuts.total
+    for cut in [*tail, *(x for h in hot for x in h if x)]:
+        cuts.learn(cut)
+    while True:
+        # from which end of each shard on the shards after it can hold the rest
+        least = [total]
+        for _ in range(shards):
+            least.append(cuts.known[bisect_left(cuts.known, max(least[-1] - capacity, 0))])
+        at, out, unsure = 0, [], set()
+        for k in range(1, shards + 1):
+            low, high = max(least[shards - k], at + 1), min(at + capacity, tail[shards - k])
+            aim = at + _share(at, total, shards - k + 1, [h for h in hot if h[0] >= at])
+            a, b = bisect_left(cuts.known, low), bisect_right(cuts.known, high)
+            if a == b:  # the next cut is hidden
+                unsure.add(cuts.known[a])
+                break
+            i = bisect_left(cuts.known, aim)
+            if i < len(cuts.known) and (top := cuts.known[i]) in cuts.hidden:
+                if (top - max(cuts.hidden[top], at)) * NEAR > aim - at:
+                    unsure.add(top)
+            at = min(cuts.known[max(a, min(i - 1, b - 1)) : max(a, min(i, b - 1)) + 1], key=lambda e: abs(e - aim))
+            out.append(at)
+        if not unsure:
+            return out
+        cuts.refine(unsure)
+
+
+def _share(at: int, total: int, shards: int, hot: list[tuple[int, int]]) -> int:
+    """Bytes of the next of the shards that are left."""
+    if hot and hot[0][0] == at:
+        return hot[0][1] - at
+    rest, free = total - at - sum(b - a for a, b in hot), max(shards - len(hot), 1)
+    stretch = (hot[0][0] if hot else total) - at
+    parts = min((2 * free * stretch + rest) // (2 * rest), free)
+    if not parts:  # too few for a shard: together with the group after it
+        return hot[0][1] - at
+    return -(-stretch // parts)
+
+
 def shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
     rows = materialize(keyed(docs), "keyed")
@@ -153,7 +228,14 @@ def shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     facts = one(groups.agg(F.max("upto").alias("total"), F.max("bytes").alias("largest")))
     ends = [0]
     if facts["total"]:
-        ends = minimax(Cuts(groups, facts["total"]), facts["largest"], n_shards)
+        cuts = Cuts(groups, facts["total"])
+        capacity, ends = minimax(cuts, facts["largest"], n_shards)
+        tail = [r["upto"] for r in groups.select("upto").orderBy(F.desc("upto")).limit(n_shards + 1).collect()]
+        if len(tail) <= n_shards:
+            ends = tail[::-1]
+        else:
+            large = groups.select("bytes", "upto").orderBy(F.desc("bytes"), "upto").limit(n_shards).collect()
+            ends = even(cuts, capacity, n_shards, _hot([tuple(r) for r in large], facts["total"], n_shards), tail[:n_shards])
     # a group's shard: how many shards end before it
     limits = F.array(*[F.lit(e).cast("long") for e in ends])
     placed = groups.select("key", F.size(F.filter(limits, lambda e: e < F.col("upto"))).alias("shard"))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabstrata.llm import sharding as S
 
@@ -53,5 +54,30 @@ def test_least_capacity(spark, monkeypatch, n, shards, bins):
     assert all(r.law == "bytes" and r.grown_shard is None for r in got)
 
 
+@pytest.mark.parametrize("hot,bins", [([3000], 4096), ([300_000], 8), ([2000, 900], 64), ([], 8)])
+def test_all_shards_are_used_evenly_beside_hot_groups(spark, monkeypatch, hot, bins):
+    monkeypatch.setattr(S, "BINS", bins)
+    monkeypatch.setattr(S, "FINER", 4)
+    docs = [(i, f"text {i:05d}") for i in range(6000)]
+    docs += [(10_000 + i, f"hot copy {k}") for k, n in enumerate(hot) for i in range(n)]
+    df = spark.createDataFrame([(d, t, "x", "y", "z") for d, t in docs], DOCS)
+    loads = {r.shard: r.n for r in S.shards(df).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    groups = {}
+    for _, t in docs:
+        key = hashlib.md5(t.encode()).hexdigest()
+        groups[key] = groups.get(key, 0) + len(t) + 8
+    assert set(loads) == set(range(24)) and max(loads.values()) == best([groups[k] for k in sorted(groups)], 24)
+    # stretches between hot groups have whole numbers of shards
+    assert min(loads.values()) >= 0.6 * 6000 * 18 / (24 - len(hot))
+
+
+def test_few_or_uneven_groups(spark):
+    for n, shards in [(24, 24), (25, 24), (30, 24), (3, 2)]:
+        docs = [(i, f"{i} " * (1 + 40 * (i % 7 == 0)), "x", "y", "z") for i in range(n)]
+        docs += [docs[3]] * 500 if n > 3 else []
+        got = S.shards(spark.createDataFrame(docs, DOCS), shards).collect()
+        assert len(got) == len(docs) and {r.shard for r in got} == set(range(shards))
+
+
 def test_empty_table(spark):
     assert S.shards(spark.createDataFrame([], DOCS)).count() == 0
