@@ -16,6 +16,9 @@ from tabstrata.llm import (
     line_dedup,
     mixing,
     sharding,
+    spelling,
+    token_alignment,
+    token_counts,
     topk_search,
     toxicity,
 )
@@ -223,6 +226,18 @@ def op10_lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2, kind="lang")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), misspelt=97)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(named.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
