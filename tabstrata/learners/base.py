@@ -41,6 +41,16 @@ def require_complete(df: DataFrame, features: list[str], label: str | None = Non
     return np.array([row[f"m{i}"] or 0.0 for i in range(len(features))])
 
 
+def feature_sets(features, models: int) -> list[list[str]]:
+    """The feature columns of each model: the same for all, or one list for each."""
+    features = list(features)
+    if features and not isinstance(features[0], str):
+        if len(features) != models:
+            raise ValueError(f"{len(features)} feature lists for {models} models")
+        return [list(f) for f in features]
+    return [features] * models
+
+
 def partial_sums(
     df: DataFrame, columns: list[str], add: Callable[[pd.DataFrame, np.ndarray], None], length: int
 ) -> np.ndarray:

@@ -175,6 +175,10 @@ class Binner:
         self.codes = {c: CategoryCodes.fit(df, c, self.max_bins - 1) for c in self.categories}
         return self
 
+    def subset(self, numeric: list[str]) -> "Binner":
+        """The same bins for some of the numeric columns."""
+        return Binner(list(numeric), [], self.max_bins, {c: self.cuts[c] for c in numeric}, {})
+
     @property
     def width(self) -> int:
         return len(self.numeric) + len(self.categories)

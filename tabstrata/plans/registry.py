@@ -13,7 +13,8 @@ from tabstrata.learners import boosting as BO
 from tabstrata.learners.calibrated import Calibrated
 from tabstrata.learners.knn import SvdKnn
 from tabstrata.learners.linear import AveragedSGD, ElasticNetLogistic, SquaredHingeSVC
-from tabstrata.learners.mllib import ExtraTrees, Perceptron, RandomForest
+from tabstrata.learners.forests import ExtraTrees, RandomForest
+from tabstrata.learners.mllib import Perceptron
 from tabstrata.learners.moments import MomentLearner
 from tabstrata.plans.pipeline import Pipeline
 from tabstrata.plans.space import Param, choice, integer, log_uniform, uniform
@@ -116,7 +117,6 @@ def _extra_trees(p, k, numeric, categories, cap=None):
 
 
 def _random_forest(p, k, numeric, categories, cap=None):
-    p = {x: v for x, v in p.items() if x != "min_samples_split"}
     n = min(p["n_estimators"], cap) if cap else p["n_estimators"]
     learner = RandomForest(k, **{**p, "n_estimators": n})
     return Pipeline(learner, numeric, categories, _prep(categories, "mean"))
