@@ -21,6 +21,7 @@ empty table gives an empty one; other columns, also those named like results, ar
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabstrata.llm.common import bounded_batches, runs_of
+from tabstrata.llm.common import bounded_batches, runs_of, slices, text_buffer
 from tabstrata.llm.pieces import Pieces, by_bytes
 from tabstrata.llm.token_counts import CALL, Counter, tokenizer_path
 from tabstrata.runtime import materialize
@@ -43,6 +44,9 @@ BROADCAST_PAIRS = 4_000_000
 SALTS = 64
 #: Pieces whose group strings are joined and hashed at a time.
 HASHED = 100_000
+#: Bytes of text aligned together, and characters of pieces that a worker remembers before it starts anew; no
+#: result depends on them.
+TOGETHER, REMEMBERED = 2 << 20, 6 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -110,6 +114,7 @@ class Aligner:
         self.b_size = np.array([len(t) for t in self.b_bytes])
         self.bits = max(len(self.b_bytes) - 1, 1).bit_length()
         self.blank = self.b.tokenizer.piece_to_id("▁")
+        self.forget()
 
     def encoded(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a, b = [], []
@@ -118,44 +123,62 @@ class Aligner:
             b += self.b.tokenizer.encode([t[1:] for t in run], num_threads=1)
         return a, [[self.blank] if t == " " else ids for t, ids in zip(pieces, b)]
 
-    def aligned(self, texts: pa.Array) -> dict[str, pa.Array]:
-        """Results of each text, and its distinct pairs (A id * 2 ** bits + B id) with their numbers of links."""
-        empty = np.asarray(pc.equal(pc.binary_length(texts.fill_null("")), 0))
-        pieces = Pieces(pc.binary_join_element_wise("", texts.fill_null(""), " "))
-        a, b = self.encoded(pieces.distinct)
-        good = np.zeros(len(pieces.distinct), bool)
-        for i, t in enumerate(pieces.distinct):
+    def learn(self, pieces: list[str]) -> None:
+        """Aligns pieces not met before."""
+        a, b = self.encoded(pieces)
+        bad = np.zeros(len(pieces), bool)
+        for i, t in enumerate(pieces):
             raw = t.encode()
-            good[i] = b"".join([self.a_bytes[x] for x in a[i]]) == raw == b"".join([self.b_bytes[x] for x in b[i]])
-            if not good[i]:
+            bad[i] = not b"".join([self.a_bytes[x] for x in a[i]]) == raw == b"".join([self.b_bytes[x] for x in b[i]])
+            if bad[i]:
                 a[i], b[i] = [], []
-        kept = ~empty & (pieces.summed(~good) == 0)
         a_at, b_at = (np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]) for ids in (a, b))
         a_id, b_id = (np.array([x for xs in ids for x in xs], np.int64) for ids in (a, b))
         a_group, b_group, left, right = overlaps(np.cumsum(self.a_size[a_id]), np.cumsum(self.b_size[b_id]))
         links_at = np.searchsorted(left, a_at)
         groups_at = np.append(a_group, a_group[-1] + 1 if len(a_group) else 0)[a_at]
         listed = _group_strings(a_id, b_id, a_group, b_group)
-        strings = [";".join(listed[x:y]) for x, y in zip(groups_at[:-1].tolist(), groups_at[1:].tolist())]
-        out = {
-            name: pa.array(np.where(kept, pieces.summed(np.diff(at)), 0))
-            for name, at in (("n_a", a_at), ("n_b", b_at), ("n_groups", groups_at), ("n_links", links_at))
-        }
-        out["groups_sha256"] = pa.array(_hashes(pieces, strings, kept), pa.string())
-        pairs, times, at = self._pairs(pieces, kept, (a_id[left] << self.bits) + b_id[right], links_at)
+        self.strings += [";".join(listed[x:y]) for x, y in zip(groups_at[:-1].tolist(), groups_at[1:].tolist())]
+        values = np.stack([bad, *(np.diff(at) for at in (a_at, b_at, groups_at, links_at))]).astype(np.int64)
+        self.values = np.concatenate([self.values, values], axis=1)
+        self.links = np.concatenate([self.links, (a_id[left] << self.bits) + b_id[right]])
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.held += sum(map(len, pieces))
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.strings: list[str] = []
+        #: bad (1 if a tokenizer changes the bytes), n_a, n_b, n_groups, n_links of each piece, and their linked pairs
+        self.values, self.links, self.held = np.zeros((5, 0), np.int64), np.zeros(0, np.int64), 0
+
+    def aligned(self, texts: pa.Array) -> dict[str, pa.Array]:
+        """Results of each text, and its distinct pairs (A id * 2 ** bits + B id) with their numbers of links."""
+        empty = np.asarray(pc.equal(pc.binary_length(texts.fill_null("")), 0))
+        pieces = Pieces(pc.binary_join_element_wise("", texts.fill_null(""), " "))
+        if self.held > REMEMBERED:
+            self.forget()
+        new = [t for t in pieces.distinct if t not in self.number]
+        if new:
+            self.learn(new)
+        pieces.codes = np.array([self.number[t] for t in pieces.distinct], np.int64)[pieces.codes]
+        bad, *sums = (pieces.summed(v) for v in self.values)
+        kept = ~empty & (bad == 0)
+        out = {name: pa.array(np.where(kept, v, 0)) for name, v in zip(("n_a", "n_b", "n_groups", "n_links"), sums)}
+        out["groups_sha256"] = pa.array(_hashes(pieces, self.strings, kept), pa.string())
+        pairs, times, at = self._pairs(pieces, kept)
         out["pairs"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(pairs))
         out["times"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(times))
         return out
 
-    def _pairs(self, pieces, kept, links, links_at):
-        """Distinct pairs of each text, sorted, with their numbers; ``links`` are those of the distinct pieces."""
+    def _pairs(self, pieces: Pieces, kept: np.ndarray):
+        """Distinct pairs of each text, sorted, with their numbers, and where those of each text begin."""
         text = np.repeat(np.arange(len(pieces)), np.diff(pieces.at))
-        held = np.sort((text * len(pieces.distinct) + pieces.codes)[kept[text]])
+        held = np.sort((text * len(self.number) + pieces.codes)[kept[text]])
         runs = runs_of(held)
-        text, piece = np.divmod(held[runs[:-1]], max(len(pieces.distinct), 1))
-        size = np.diff(links_at)[piece]
-        index = np.arange(size.sum()) + np.repeat(links_at[:-1][piece] - (np.cumsum(size) - size), size)
-        text, pair, times = np.repeat(text, size), links[index], np.repeat(np.diff(runs), size)
+        text, piece = np.divmod(held[runs[:-1]], max(len(self.number), 1))
+        size, links_at = self.values[4][piece], np.cumsum(self.values[4]) - self.values[4]
+        index = np.arange(size.sum()) + np.repeat(links_at[piece] - (np.cumsum(size) - size), size)
+        text, pair, times = np.repeat(text, size), self.links[index], np.repeat(np.diff(runs), size)
         order = np.lexsort((pair, text))
         text, pair, times = text[order], pair[order], times[order]
         first = np.ones(len(text), bool)
@@ -165,6 +188,12 @@ class Aligner:
         return pair[where].astype(self.pair_type), times.astype(np.int32), np.searchsorted(text[where], np.arange(len(pieces) + 1))
 
 
+@functools.lru_cache(1)
+def aligner_of(a_path: str, b_path: str, narrow: bool) -> Aligner:
+    """The worker's aligner; what it remembers serves its later tasks as well."""
+    return Aligner(a_path, b_path, np.int32 if narrow else np.int64)
+
+
 def _group_strings(a_id, b_id, a_group, b_group) -> list[str]:
     """``a1,a2|b1`` of each group."""
     n = int(a_group[-1]) + 1 if len(a_group) else 0
@@ -204,12 +233,14 @@ def link_table(docs: DataFrame, a: str = A, b: str = B, id_col: str = "doc_id",
 
     def align(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        aligner, n = Aligner(a_path, b_path, np.int32 if narrow else np.int64), TaskContext.get().partitionId() << 40
+        aligner, n = aligner_of(a_path, b_path, narrow), TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = pa.array(np.arange(n, n + batch.num_rows))
-            found = {"row": rows, "id": batch.column(0)} | aligner.aligned(batch.column(1))
-            n += batch.num_rows
-            yield pa.record_batch(list(found.values()), names=list(found))
+            for low, high in slices(text_buffer(batch.column(1))[1], TOGETHER):
+                part = batch.slice(low, high - low)
+                rows = pa.array(np.arange(n, n + part.num_rows))
+                found = {"row": rows, "id": part.column(0)} | aligner.aligned(part.column(1))
+                n += part.num_rows
+                yield pa.record_batch(list(found.values()), names=list(found))
 
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = (

@@ -90,6 +90,16 @@ def test_long_text_and_hashing_in_parts(spark, monkeypatch):
     assert got["n_links"].to_pylist() == [w[3] for w in want]
 
 
+def test_forgetting_changes_nothing(spark, monkeypatch):
+    aligner = T.Aligner(public_tokenizers.path(T.A), public_tokenizers.path(T.B))
+    monkeypatch.setattr(T, "REMEMBERED", 30)
+    import pyarrow as pa
+
+    texts = odd_texts(60, 8)
+    got = [r for i in range(0, 60, 5) for r in aligner.aligned(pa.array(texts[i : i + 5]))["groups_sha256"].to_pylist()]
+    assert got == [w[6] for w in plain(texts)]
+
+
 def test_overlaps_by_hand():
     a_group, b_group, left, right = T.overlaps(np.array([3, 5, 6]), np.array([2, 5, 6]))
     assert a_group.tolist() == b_group.tolist() == [0, 0, 1]
