@@ -13,6 +13,7 @@ an empty table gives an empty one; other columns, also those named like results,
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
@@ -103,6 +104,12 @@ class Counter:
         return np.array([self.known[t] for t in pieces], np.int64)
 
 
+@functools.lru_cache(1)
+def counter_of(path: str) -> Counter:
+    """The worker's counter; what it remembers serves its later tasks as well."""
+    return Counter(path)
+
+
 def marks_in_front(model) -> bool:
     """True when no entry of a sentencepiece vocabulary has the blank mark after another character, and a blank
     is put before each text and none is taken away."""
@@ -119,7 +126,7 @@ def token_counts(
 
     def count(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in batches:
             text = batch.column(1)
             _, offsets = text_buffer(text)
