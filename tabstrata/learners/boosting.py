@@ -139,17 +139,94 @@ class CompactTree:
     def goes_left(self, at, b) -> np.ndarray:
         return (self.bits[at, b >> 3] >> (7 - (b & 7))) & 1 == 1
 
-    def predict(self, bins: np.ndarray) -> np.ndarray:
+    def nodes(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
         at = np.zeros(len(bins), dtype=np.int64)
         rows = np.arange(len(bins))
         while True:
             f = self.feature[at]
             go = f >= 0
             if not go.any():
-                return self.value[at]
+                return at
             left = self.goes_left(at, bins[rows, np.maximum(f, 0)])
             at = np.where(go, self.child[at] + ~left, at)
 
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        return self.value[self.nodes(bins)]
+
+
+class LeafTree:
+    """A tree grown leaf by leaf: the frontier by gain, and splits looked at ahead of their turn.
+
+    Splits do not influence each other, so the children of several leaves may be summed up in one job; which
+    splits belong to the tree is decided by taking, one at a time, the leaf of largest gain. Of splits that
+    were looked at in vain there are at most as many as the tree has in the end.
+    """
+
+    def __init__(self):
+        self.feature, self.left, self.child, self.value = [-1], [None], [0], [0.0]
+        self.heap, self.depth = [0], [0]  # path from the root, which decides equal gains
+        self.sums: dict[int, np.ndarray] = {}  # histograms of leaves
+        self.found: dict[int, tuple] = {}  # (gain, feature, goes left) of nodes that can be split
+        self.looked = 0  # splits whose children have been summed up
+        self.chosen: list[int] = []
+
+    def split(self, n: int, values: tuple[float, float]) -> int:
+        """Makes the children of ``n``; returns the left one, the right one follows it."""
+        _, f, left = self.found[n]
+        at = len(self.feature)
+        self.feature[n], self.left[n], self.child[n] = f, left, at
+        self.feature += [-1, -1]
+        self.left += [None, None]
+        self.child += [0, 0]
+        self.value += list(values)
+        self.heap += [2 * self.heap[n] + 1, 2 * self.heap[n] + 2]
+        self.depth += [self.depth[n] + 1] * 2
+        return at
+
+    def wanted(self, max_leaves: int) -> list[int]:
+        """Leaves whose children are to be summed up next; none when the tree is complete."""
+        self.chosen, frontier = [], {0} & set(self.found)
+        rank = lambda n: (self.found[n][0], -self.heap[n])
+        while frontier and len(self.chosen) < max_leaves - 1:
+            n = max(frontier, key=rank)
+            open_ = self.feature[n] < 0
+            if open_ and len(self.chosen) < max_leaves - 2:
+                break
+            frontier.remove(n)
+            self.chosen.append(n)
+            if not open_:
+                frontier |= {self.child[n], self.child[n] + 1} & set(self.found)
+        else:
+            return []
+        missing = max_leaves - 1 - len(self.chosen)
+        some = max(1, min(missing, 2 * (max_leaves - 1) - self.looked - missing))
+        return sorted((n for n in frontier if self.feature[n] < 0), key=rank, reverse=True)[:some]
+
+    def trimmed(self) -> "CompactTree":
+        return self.compact(range(len(self.feature)))
+
+    def compact(self, chosen=None) -> "CompactTree":
+        """Nodes below the chosen splits only, level by level."""
+        chosen = set(self.chosen if chosen is None else chosen)
+        same = len(chosen) == len(self.feature)
+        order, at = list(range(len(self.feature))) if same else [0], 0
+        while not same and at < len(order):
+            n = order[at]
+            if n in chosen and self.feature[n] >= 0:
+                order += [self.child[n], self.child[n] + 1]
+            at += 1
+        place = {n: i for i, n in enumerate(order)}
+        inner = [n in chosen and self.feature[n] >= 0 for n in order]
+        width = next((len(x) for x in self.left if x is not None), 8)
+        bits = np.array([self.left[n] if k else np.zeros(width, bool) for n, k in zip(order, inner)])
+        return CompactTree(
+            np.array([self.feature[n] if k else -1 for n, k in zip(order, inner)], dtype=np.int32),
+            np.array([place[self.child[n]] if k else 0 for n, k in zip(order, inner)], dtype=np.int32),
+            np.packbits(bits, axis=1),
+            np.array([self.value[n] for n in order]),
+        )
+
 
 @dataclass
 class Binner:
@@ -391,13 +468,16 @@ class HistogramBooster:
         then the trees are grown in groups.
         """
         spec, k, m = self.spec, self.k, len(b.held)
-        trees = [[Tree.empty(spec.max_depth, b.bins) for _ in range(k)] for _ in range(m)]
+        leafwise = spec.max_leaves and not spec.symmetric
+        empty = LeafTree if leafwise else lambda: Tree.empty(spec.max_depth, b.bins)
+        trees = [[empty() for _ in range(k)] for _ in range(m)]
         roots = [(i, c, 0) for i in range(m) for c in range(k)]
-        per_tree = 2 ** max(spec.max_depth - 1, 0) * b.width * b.bins * 3
-        size = max(1, HISTOGRAM_CELLS // per_tree)
+        widest = spec.max_leaves if leafwise else 2 ** max(spec.max_depth - 1, 0)
+        size = max(1, HISTOGRAM_CELLS // (widest * b.width * b.bins * 3))
+        grow = self._grow_leaves if leafwise else self._grow_group
         loss = None
         for at in range(0, len(roots), size):
-            found = self._grow_group(state, b, round_, order, trees, roots[at : at + size], only_loss)
+            found = grow(state, b, round_, order, trees, roots[at : at + size], only_loss)
             loss = found if loss is None else loss
             if only_loss:
                 break
@@ -415,24 +495,72 @@ class HistogramBooster:
         tree.value[2 * n + 1] = self._leaf(h[f][left].sum(axis=0))
         tree.value[2 * n + 2] = self._leaf(h[f][~left].sum(axis=0))
 
+    def _asked(self, state, b: _Booster, round_, trees, asked):
+        """Histograms of the asked nodes, as many to a job as a task can sum side by side, and the first job's losses."""
+        width = max(1, TASK_CELLS // (b.width * b.bins * 3))
+        hist, extra = [], None
+        for at in range(0, len(asked), width):
+            sums, found = self._histograms(state, b, round_, trees, asked[at : at + width])
+            hist += list(sums)
+            extra = found if at == 0 else extra
+        return hist, extra
+
+    def _grow_leaves(self, state, b: _Booster, round_, order, trees, roots, only_loss):
+        """Best-first growth of some trees, several leaves of each to a job."""
+        spec, offered = self.spec, self._features(round_)
+        hist, extra = self._asked(state, b, round_, trees, roots)
+        loss = np.where(extra[:, 1] > 0, extra[:, 0] / np.maximum(extra[:, 1], 1e-300), np.inf)
+        if only_loss:
+            return loss
+
+        def look(i, tree, n, h):
+            tree.sums[n] = h
+            if tree.depth[n] < spec.max_depth:
+                found = self._best_split(h[None], offered, None if order is None else order[i])
+                if found is not None:
+                    tree.found[n] = found
+
+        def values(h, f, left):
+            return self._leaf(h[f][left].sum(axis=0)), self._leaf(h[f][~left].sum(axis=0))
+
+        for (i, c, n), h in zip(roots, hist):
+            trees[i][c].value[n] = self._leaf(h[0].sum(axis=0))
+            look(i, trees[i][c], n, h)
+        while True:
+            asked, again = [], False
+            for i, c, _ in roots:
+                tree = trees[i][c]
+                for n in tree.wanted(spec.max_leaves):
+                    left = tree.split(n, values(tree.sums[n], *tree.found[n][1:]))
+                    again = True
+                    if tree.depth[left] < spec.max_depth:  # else its children are leaves whatever they hold
+                        tree.looked += 1
+                        asked.append((i, c, left, n))
+            if not again:
+                break
+            asked.sort()
+            for (i, c, left, n), h in zip(asked, self._asked(state, b, round_, trees, [a[:3] for a in asked])[0]):
+                tree = trees[i][c]
+                look(i, tree, left + 1, tree.sums.pop(n) - h)
+                look(i, tree, left, h)
+        for i, c, _ in roots:
+            tree = trees[i][c]
+            for n in tree.chosen:
+                if tree.feature[n] < 0:  # the last split needs no look at its children
+                    tree.split(n, values(tree.sums[n], *tree.found[n][1:]))
+            tree.sums = {}
+        return loss
+
     def _grow_group(self, state, b: _Booster, round_, order, trees, open_nodes, only_loss):
         spec, m = self.spec, len(b.held)
-        grown = {(i, c) for i, c, _ in open_nodes}
         offered = self._features(round_)
         parents = None  # histograms of the previous level, keyed by (model, class, node)
-        gains: dict = {}
         loss = np.full(m, np.inf)
         for depth in range(spec.max_depth):
             asked = open_nodes if depth == 0 else [n for n in open_nodes if n[2] % 2 == 1]
             if not asked:
                 break
-            # nodes of one job: as many as a task can sum side by side
-            width = max(1, TASK_CELLS // (b.width * b.bins * 3))
-            hist = []
-            for at in range(0, len(asked), width):
-                sums, found = self._histograms(state, b, round_, trees, asked[at : at + width])
-                hist += list(sums)
-                extra = found if at == 0 else extra
+            hist, extra = self._asked(state, b, round_, trees, asked)
             if depth == 0:
                 loss = np.where(extra[:, 1] > 0, extra[:, 0] / np.maximum(extra[:, 1], 1e-300), np.inf)
                 if only_loss:
@@ -451,14 +579,9 @@ class HistogramBooster:
                 for (i, c, n), h in sorted(level.items(), key=lambda e: e[0]):
                     found = self._best_split(h[None], offered, None if order is None else order[i])
                     if found is not None:
-                        gains[(i, c, n)] = found[0]
                         self._split(trees[i][c], n, h, *found[1:])
                         nxt += [(i, c, 2 * n + 1), (i, c, 2 * n + 2)]
             parents, open_nodes = level, nxt
-        if spec.max_leaves and not spec.symmetric:
-            for i, c in grown:
-                own = {n: v for (a, q, n), v in gains.items() if (a, q) == (i, c)}
-                _keep_best_leaves(trees[i][c], own, spec.max_leaves)
         return loss
 
     def _histograms(self, state, b: _Booster, round_, trees, asked):
@@ -587,18 +710,6 @@ class HistogramBooster:
         return nxt
 
 
-def _keep_best_leaves(tree: Tree, gains: dict[int, float], max_leaves: int) -> None:
-    """Best-first growth: splits do not influence each other, so growing a level at a time and then
-    taking splits by gain from the root gives the same tree as splitting one leaf at a time."""
-    chosen, frontier = set(), {0} if 0 in gains else set()
-    while frontier and len(chosen) < max_leaves - 1:
-        n = max(frontier, key=lambda x: (gains[x], -x))
-        frontier.remove(n)
-        chosen.add(n)
-        frontier |= {x for x in (2 * n + 1, 2 * n + 2) if x in gains}
-    tree.feature[[n for n in range(len(tree.feature)) if n not in chosen]] = -1
-
-
 def _advance(state: DataFrame, b: _Booster, grown) -> DataFrame:
     """Margins after this round's trees; the other columns pass through on the JVM side."""
     @F.pandas_udf(T.BinaryType())

@@ -15,6 +15,7 @@ bootstrap sample counting once.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -82,30 +83,37 @@ def walk(arrays, bins: np.ndarray, at: np.ndarray) -> np.ndarray:
         at = np.where(inner, child[at] + right, at)
 
 
-class ForestModel(Model):
-    """Packed trees over the bins of ``binner``: the mean of the class shares of the leaves a row falls in."""
+@dataclass
+class PackedTree:
+    """A finished tree; feature -1 is a leaf, ``value`` holds the class shares of each node."""
 
-    def __init__(self, binner: Binner, k: int, roots, feature, cut, child, value):
-        self.binner, self.k, self.features = binner, k, binner.inputs
-        self.roots, self.feature, self.cut, self.child, self.value = roots, feature, cut, child, value
+    feature: np.ndarray
+    cut: np.ndarray
+    child: np.ndarray
+    value: np.ndarray
 
     @classmethod
-    def of(cls, binner: Binner, k: int, trees: list[GrowingTree], places: np.ndarray) -> "ForestModel":
+    def of(cls, tree: GrowingTree, places: np.ndarray) -> "PackedTree":
         """``places[f]`` is the position of the state's column f among the model's features."""
-        size = [len(t.feature) for t in trees]
-        roots = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        parts = [t.arrays() for t in trees]
-        feature = np.concatenate([np.where(p[0] >= 0, places[np.maximum(p[0], 0)], -1) for p in parts])
-        child = np.concatenate([p[2] + r for p, r in zip(parts, roots)])
-        value = np.concatenate([np.array(t.value) for t in trees])
-        return cls(binner, k, roots, feature.astype(np.int32), np.concatenate([p[1] for p in parts]), child.astype(np.int64), value)
+        feature, cut, child = tree.arrays()
+        return cls(np.where(feature >= 0, places[np.maximum(feature, 0)], -1).astype(np.int32), cut, child, np.array(tree.value))
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        return self.value[walk((self.feature, self.cut, self.child), bins, np.zeros(len(bins), np.int64))]
+
+
+class ForestModel(Model):
+    """Trees over the bins of ``binner``: the mean of the class shares of the leaves a row falls in."""
+
+    def __init__(self, binner: Binner, k: int, trees: list[PackedTree]):
+        self.binner, self.k, self.trees, self.features = binner, k, trees, binner.inputs
 
     def predict_array(self, x):
         bins = self.binner.pack(*x.T)
-        out, arrays = np.zeros((len(x), self.k)), (self.feature, self.cut, self.child)
-        for r in self.roots:
-            out += self.value[walk(arrays, bins, np.full(len(x), r))]
-        return out / len(self.roots)
+        out = np.zeros((len(x), self.k))
+        for tree in self.trees:
+            out += tree.predict(bins)
+        return out / len(self.trees)
 
 
 class Forest:
@@ -152,7 +160,7 @@ class Forest:
         for i, s in enumerate(sets):
             places = np.zeros(len(columns), np.int64)
             places[own[i]] = np.arange(len(s))
-            out.append(ForestModel.of(binner.subset(s), self.k, trees[i], places))
+            out.append(ForestModel(binner.subset(s), self.k, [PackedTree.of(t, places) for t in trees[i]]))
         return out
 
     # growing ------------------------------------------------------------------------------------

@@ -1,21 +1,13 @@
-"""Learners Spark ships: multinomial logistic regression, forests, perceptron."""
+"""The learner that is Spark's own: multinomial logistic regression."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabstrata.functions.hashing import unit_hash
 from tabstrata.learners.base import LinearModel, require_complete
 from tabstrata.operators.encode import class_weight_table, weight_column
 
@@ -68,153 +60,3 @@ class SparkLogistic:
             coef = np.vstack([coef, np.zeros((self.k - len(coef), coef.shape[1]))])
             b = np.concatenate([b, np.full(self.k - len(b), -1e3)])
         return LinearModel(features, coef, b)
-
-
-class SparkMLModel:
-    """Wraps fitted spark.ml classifiers; probabilities of several are averaged.
-
-    ``cuts[i]`` holds model i's own cut points per feature (extra trees), else features are used
-    as they are.
-    """
-
-    def __init__(self, models, features, k, cuts: list[dict] | None = None):
-        self.models, self.features, self.k, self.cuts = list(models), list(features), k, cuts
-
-    def score(self, df: DataFrame, prefix: str) -> DataFrame:
-        out = df
-        for i, m in enumerate(self.models):
-            source = cut_features(out, self.cuts[i]) if self.cuts else out
-            names = [f"__x{f}" for f in self.features] if self.cuts else self.features
-            vec = VectorAssembler(inputCols=names, outputCol="__features").transform(source)
-            m = m.copy().setFeaturesCol("__features")
-            m.setProbabilityCol(f"__pr{i}").setRawPredictionCol(f"__raw{i}").setPredictionCol(f"__pd{i}")
-            out = m.transform(vec).drop("__features", f"__raw{i}", f"__pd{i}", *(names if self.cuts else []))
-            out = out.withColumn(f"__p{i}", vector_to_array(f"__pr{i}")).drop(f"__pr{i}")
-        n = len(self.models)
-        cols = []
-        for c in range(self.k):
-            parts = [F.coalesce(F.get(f"__p{i}", F.lit(c)), F.lit(0.0)) for i in range(n)]
-            acc = parts[0]
-            for x in parts[1:]:
-                acc = acc + x
-            cols.append((acc / F.lit(float(n))).alias(f"{prefix}_{c}"))
-        return out.select(*df.columns, *cols)
-
-
-def cut_features(df: DataFrame, points: dict[str, list[float]]) -> DataFrame:
-    """``__x<feature>``: how many of the feature's cut points lie at or below its value."""
-    names = list(points)
-    splits = [[float("-inf"), *sorted(set(points[c])), float("inf")] for c in names]
-    return Bucketizer(
-        splitsArray=splits, inputCols=names, outputCols=[f"__x{c}" for c in names], handleInvalid="keep"
-    ).transform(df)
-
-
-class RandomForest:
-    """Bagged trees. ``log_loss`` means entropy; ``balanced_subsample`` means balanced; a minimum
-    split size has no counterpart in Spark's trees."""
-
-    def __init__(
-        self, k, n_estimators=20, max_depth=8, min_samples_leaf=20, max_features="sqrt",
-        criterion="gini", bootstrap=True, class_weight=None, max_bins=64, seed=42,
-    ):
-        self.__dict__.update({n: v for n, v in locals().items() if n != "self"})
-
-    def fit(self, df: DataFrame, features, label) -> SparkMLModel:
-        require_complete(df, features, label, self.k)
-        data = assembled(df, features, label, _weight(df, label, self.class_weight))
-        model = RandomForestClassifier(
-            featuresCol="__features",
-            labelCol="__label",
-            weightCol="__weight",
-            numTrees=self.n_estimators,
-            maxDepth=self.max_depth,
-            minInstancesPerNode=self.min_samples_leaf,
-            featureSubsetStrategy=str(self.max_features),
-            impurity="gini" if self.criterion == "gini" else "entropy",
-            bootstrap=self.bootstrap,
-            maxBins=self.max_bins,
-            seed=self.seed,
-        ).fit(data)
-        return SparkMLModel([model], features, self.k)
-
-
-class ExtraTrees:
-    """Approximates extremely randomised trees (Geurts et al. 2006).
-
-    Every tree sees the features cut at its own random points, drawn between minimum and maximum
-    from a hash of (seed, tree, feature), and all rows. Trees are fitted by concurrent Spark jobs.
-    """
-
-    def __init__(
-        self, k, n_estimators=20, max_depth=8, min_samples_leaf=20, max_features=0.4,
-        criterion="gini", class_weight="balanced", cuts=15, parallelism=4, seed=42,
-    ):
-        self.__dict__.update({n: v for n, v in locals().items() if n != "self"})
-
-    def fit(self, df: DataFrame, features, label) -> SparkMLModel:
-        require_complete(df, features, label, self.k)
-        stats = [F.min(c).alias(f"lo_{c}") for c in features] + [F.max(c).alias(f"hi_{c}") for c in features]
-        row = df.agg(*stats).first()
-        draws = df.sparkSession.range(self.n_estimators).select(
-            "id",
-            *[
-                unit_hash(f"{self.seed}|cut{j}|{c}", "id").alias(f"{c}__{j}")
-                for c in features
-                for j in range(self.cuts)
-            ],
-        )
-        points = {
-            r["id"]: {
-                c: sorted(
-                    row[f"lo_{c}"] + r[f"{c}__{j}"] * (row[f"hi_{c}"] - row[f"lo_{c}"])
-                    for j in range(self.cuts)
-                )
-                for c in features
-            }
-            for r in draws.collect()  # n_estimators rows
-        }
-
-        weight = _weight(df, label, self.class_weight)
-        names = [f"__x{c}" for c in features]
-
-        def one(tree: int):
-            data = cut_features(df.withColumn("__w", weight), points[tree])
-            return RandomForestClassifier(
-                featuresCol="__features",
-                labelCol="__label",
-                weightCol="__weight",
-                numTrees=1,
-                bootstrap=False,
-                featureSubsetStrategy=str(self.max_features),
-                maxDepth=self.max_depth,
-                minInstancesPerNode=self.min_samples_leaf,
-                impurity="gini" if self.criterion == "gini" else "entropy",
-                maxBins=self.cuts + 2,
-                seed=self.seed + tree,
-            ).fit(assembled(data, names, label, F.col("__w")))
-
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            models = list(pool.map(one, range(self.n_estimators)))
-        return SparkMLModel(models, features, self.k, [points[t] for t in range(self.n_estimators)])
-
-
-class Perceptron:
-    """Multilayer perceptron. Deviations: sigmoid hidden units, no L2 penalty, no early stop."""
-
-    def __init__(self, k, hidden=(32,), batch_size=128, tol=1e-4, max_iter=1000, seed=42):
-        self.k, self.hidden, self.batch_size = k, tuple(hidden), batch_size
-        self.tol, self.max_iter, self.seed = tol, max_iter, seed
-
-    def fit(self, df: DataFrame, features, label) -> SparkMLModel:
-        require_complete(df, features, label, self.k)
-        model = MultilayerPerceptronClassifier(
-            featuresCol="__features",
-            labelCol="__label",
-            layers=[len(features), *self.hidden, self.k],
-            blockSize=self.batch_size,
-            tol=self.tol,
-            maxIter=self.max_iter,
-            seed=self.seed,
-        ).fit(assembled(df, features, label))
-        return SparkMLModel([model], features, self.k)

@@ -88,17 +88,17 @@ def _registered(spark, sf, name, params, cap=None, prefix="p", fold="fold"):
 
 @query("m4_extra_trees")
 def m4(spark, sf):
-    p = dict(n_estimators=4, max_depth=6, min_samples_leaf=20, max_features=0.4, criterion="gini")
-    return _registered(spark, sf, "extra_tree", p, 4, "et")
+    p = dict(n_estimators=20, max_depth=8, min_samples_leaf=20, max_features=0.4, criterion="gini")
+    return _registered(spark, sf, "extra_tree", p, None, "et")
 
 
 @query("m5_random_forest")
 def m5(spark, sf):
     p = dict(
-        n_estimators=10, max_depth=8, min_samples_split=2, min_samples_leaf=20, max_features="sqrt",
+        n_estimators=10, max_depth=8, min_samples_split=40, min_samples_leaf=20, max_features="sqrt",
         criterion="log_loss", bootstrap=True, class_weight="balanced",
     )
-    return _registered(spark, sf, "random_forest", p, 10, "rf", fold=None)
+    return _registered(spark, sf, "random_forest", p, None, "rf")
 
 
 @query("m7_logistic_regression")
@@ -128,8 +128,8 @@ def m10(spark, sf):
 
 @query("m11_mlp")
 def m11(spark, sf):
-    p = dict(n_layers=1, hidden_0=16, batch_size=128, tol=1e-4)
-    return _registered(spark, sf, "mlp", p, 20, "mlp")
+    p = dict(n_layers=1, hidden_0=16, activation="relu", alpha=1e-3, learning_rate_init=0.05, tol=1e-3)
+    return _registered(spark, sf, "mlp", p, None, "mlp")
 
 
 @query("m14_svd_knn")

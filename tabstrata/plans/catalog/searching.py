@@ -49,21 +49,29 @@ def _union(parts):
 
 
 # S5, S6 ----------------------------------------------------------------------------------------------
+_STORED = {
+    "ridge": dict(alpha=1.0, fit_intercept=True),
+    "extra_tree": dict(n_estimators=8, max_depth=5, min_samples_leaf=20, max_features=0.4, criterion="gini"),
+    "trunsvd_knn": dict(n_components=3, n_neighbors=5, weights="distance", p=2, metric="minkowski"),
+    "hist_gradient_boosting": dict(learning_rate=0.3, max_depth=3, min_samples_leaf=20, l2_regularization=1.0, max_bins=64),
+}
+
+
 @query(
     "s5_model_round_trip",
-    f"with {FOLD_SQL} select unnest(['lda', 'forest']) as model, 0e0 as max_gap, count(*) as n from f",
+    f"with {FOLD_SQL} select unnest(['lda', {', '.join(map(repr, _STORED))}]) as model, 0e0 as max_gap, count(*) as n from f",
 )
 def s5(spark, sf):
-    """Scores of a model before saving and after loading, and their largest difference."""
+    """Scores of raw rows by whole pipelines, categories included, before saving and after loading: the largest
+    difference. Ridge and nearest neighbours encode and scale, extra trees encode, boosting codes categories."""
     df = training_frame(spark, sf)
     fits = {"lda": MomentLearner("lda", K).fit(df, NUMERIC, LABEL)}
-    fits["forest"] = LEARNERS["random_forest"].build(
-        dict(n_estimators=3, max_depth=4, min_samples_leaf=20), K, NUMERIC, [], 3
-    ).fit(df, LABEL).model
+    for name, params in _STORED.items():
+        fits[name] = LEARNERS[name].build(params, K, NUMERIC, CATEGORIES, 3 if "boosting" in name else None).fit(df, LABEL)
     parts = []
     for name, model in fits.items():
         again = artifacts.load_model(spark, artifacts.save_model(spark, model, scratch_path(spark, name)))
-        both = again.score(model.score(df.select("id", *NUMERIC), "a"), "b")
+        both = again.score(model.score(df.select("id", *NUMERIC, *CATEGORIES), "a"), "b")
         gap = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in range(K)])
         parts.append(both.agg(F.max(gap).alias("max_gap"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("model"), "max_gap", "n"))
     return rounded(_union(parts))
@@ -269,7 +277,7 @@ def t7(spark, sf):
     objective, build = _lda_objective(df)
     study = _lda_study().run(spark, objective, 3)
     fitted = build(study.best_params).fit(df, LABEL)
-    model = artifacts.load_model(spark, artifacts.save_model(spark, fitted.model, scratch_path(spark, "best")))
+    model = artifacts.load_model(spark, artifacts.save_model(spark, fitted, scratch_path(spark, "best")))
     return rounded(model.score(df, "best").select("id", *[f"best_{c}" for c in range(K)]))
 
 
@@ -366,6 +374,34 @@ def k2(spark, sf):
     return rounded(spark.createDataFrame(rows, "model string, first string, second string, n_trials int, best_log_loss double"))
 
 
+_RELOADED = ("random_forest", "ridge", "lda")
+
+
+@query(
+    "k2_layer_reloaded",
+    f"with {FOLD_SQL} select unnest([{', '.join(map(repr, _RELOADED))}]) as model, 'skipped' as state, 0e0 as max_gap, count(*) as n from f",
+)
+def k2_reloaded(spark, sf):
+    """A layer over raw columns with categories, trained once, found again, and scored from its artifacts: the
+    largest difference to the pipelines in memory."""
+    df = training_frame(spark, sf)
+    small = dict(n_estimators=dict(low=4, high=6), max_depth=dict(low=4, high=5))
+    registry = {n: _small(n, **(small if n == "random_forest" else {})) for n in _RELOADED}
+    root = scratch_path(spark, "layer-raw")
+    args = (LABEL, NUMERIC, CATEGORIES, list(registry), root, K)
+    first = ST.train_layer(df, *args, n_trials=1, registry=registry, parallelism=1)
+    second = ST.train_layer(df, *args, n_trials=1, registry=registry)
+    rows = df.select("id", *NUMERIC, *CATEGORIES)
+    parts = []
+    for n in registry:
+        again = artifacts.load_model(spark, second[n]["path"])
+        both = again.score(first[n]["fitted"].score(rows, "a"), "b")
+        gap = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in range(K)])
+        found = both.agg(F.max(gap).alias("max_gap"), F.count(F.lit(1)).alias("n"))
+        parts.append(found.select(F.lit(n).alias("model"), F.lit(second[n]["state"]).alias("state"), "max_gap", "n"))
+    return rounded(_union(parts))
+
+
 @query(
     "k3_oof_layer_table",
     f"with {MODELS_SQL} select id, {RS(*A)}, {RS(*B)} from m",

@@ -47,7 +47,7 @@ class Pipeline:
         if self.prep is None:
             return Fitted(None, self._fit_learner(df, self.numeric, label))
         if self.prep == "mean":
-            enc = MeanTargetEncoder(self.categories).fit(df, label)
+            enc = MeanTargetEncoder(self.categories, blend="sigmoid").fit(df, label)
             ready = enc.transform(df)
             features = self.numeric + [enc.out.format(col=c) for c in self.categories]
             return Fitted(enc, self._fit_cached(ready, features, label))

@@ -14,8 +14,8 @@ from tabstrata.learners.calibrated import Calibrated
 from tabstrata.learners.knn import SvdKnn
 from tabstrata.learners.linear import AveragedSGD, ElasticNetLogistic, SquaredHingeSVC
 from tabstrata.learners.forests import ExtraTrees, RandomForest
-from tabstrata.learners.mllib import Perceptron
 from tabstrata.learners.moments import MomentLearner
+from tabstrata.learners.perceptron import Perceptron
 from tabstrata.plans.pipeline import Pipeline
 from tabstrata.plans.space import Param, choice, integer, log_uniform, uniform
 
@@ -148,7 +148,8 @@ def _linear_svc(p, k, numeric, categories, cap=None):
 
 def _mlp(p, k, numeric, categories, cap=None):
     hidden = tuple(p[f"hidden_{i}"] for i in range(p["n_layers"]))
-    learner = Perceptron(k, hidden, p["batch_size"], p["tol"], cap or 1000)
+    # batch_size is part of the space but has no counterpart: every step sees all rows
+    learner = Perceptron(k, hidden, p["activation"], p["alpha"], p["learning_rate_init"], p["tol"], cap or 1000)
     return Pipeline(learner, numeric, categories, _prep(categories, "compose"))
 
 
@@ -260,6 +261,9 @@ _MLP = (
     integer("n_layers", 1, 2),
     integer("hidden_0", 16, 128, 16),
     integer("hidden_1", 16, 128, 16),
+    choice("activation", "relu", "tanh"),
+    log_uniform("alpha", 1e-4, 0.1),
+    log_uniform("learning_rate_init", 1e-3, 1e-2),
     choice("batch_size", 128, 256, 512),
     log_uniform("tol", 1e-4, 1e-3),
 )
@@ -300,9 +304,17 @@ LEARNERS = {
 LAYER_ONE = ("xgboost", "lightgbm", "catboost")
 LAYER_STACKING = ("xgboost", "catboost", "lightgbm", "sgdclassifier", "logistic_regression")
 
-# fixed boosters for comparing feature sets: 2000 trees, rate 0.03, depth 6 / 31 leaves
+# Fixed boosters for comparing feature sets (fixed values). No depth limit among 31 leaves means at most 30.
 BASELINES = {
-    "xgboost": replace(BO.DEPTHWISE, rounds=2000, learning_rate=0.03, max_depth=6),
-    "lightgbm": replace(BO.LEAFWISE, rounds=2000, learning_rate=0.03, max_leaves=31),
-    "catboost": replace(BO.SYMMETRIC, rounds=2000, learning_rate=0.03, max_depth=6, early_stopping=None),
-}
+    "xgboost": replace(
+        BO.DEPTHWISE, rounds=2000, learning_rate=0.03, max_depth=6, subsample=0.8, colsample=0.8, min_child_weight=3.0,
+        reg_alpha=0.1, reg_lambda=1.0, max_bins=256,
+    ),
+    "lightgbm": replace(
+        BO.LEAFWISE, rounds=2000, learning_rate=0.03, max_leaves=31, max_depth=30, colsample=0.85, subsample=0.8,
+        subsample_every=1, min_child_rows=30.0, reg_alpha=0.1, reg_lambda=1.0, max_bins=255,
+    ),
+    "catboost": replace(
+        BO.SYMMETRIC, rounds=2000, learning_rate=0.03, max_depth=6, reg_lambda=3.0, early_stopping=None, max_bins=254
+    ),
+}

@@ -37,9 +37,10 @@ def test_first_split_tries_every_cut(rows):
         for b, c in enumerate(binner.cuts[COLUMNS[f]])
         if min((x[:, f] <= c).sum(), (x[:, f] > c).sum()) >= 5
     )
-    assert (model.feature[0], model.cut[0]) == (-best[1], -best[2])
-    left = x[:, model.feature[0]] <= binner.cuts[COLUMNS[model.feature[0]]][model.cut[0]]
-    assert np.allclose(model.value[1], np.bincount(y[left], minlength=3) / left.sum())
+    (tree,) = model.trees
+    assert (tree.feature[0], tree.cut[0]) == (-best[1], -best[2])
+    left = x[:, tree.feature[0]] <= binner.cuts[COLUMNS[tree.feature[0]]][tree.cut[0]]
+    assert np.allclose(tree.value[1], np.bincount(y[left], minlength=3) / left.sum())
 
 
 def test_first_split_of_extra_trees_is_the_best_of_the_drawn_cuts(rows):
@@ -60,7 +61,8 @@ def test_first_split_of_extra_trees_is_the_best_of_the_drawn_cuts(rows):
             w = weights[y]
             found.append((gini(y, w) - gini(y[left], w[left]) - gini(y[~left], w[~left]), -f, cut))
         gain, f, cut = max(found)
-        assert model.feature[0] == -f and binner.cuts[COLUMNS[-f]][model.cut[0]] == cut
+        (tree,) = model.trees
+        assert tree.feature[0] == -f and binner.cuts[COLUMNS[-f]][tree.cut[0]] == cut
 
 
 @pytest.mark.parametrize("kind", [FO.RandomForest, FO.ExtraTrees])
@@ -69,29 +71,24 @@ def test_same_forest_after_repartitioning_and_limits(rows, kind):
     params = dict(n_estimators=4, max_depth=6, min_samples_leaf=9, min_samples_split=120, max_features=0.7)
     a = kind(3, **params).fit(df, COLUMNS, "y")
     b = kind(3, **params).fit(df.repartition(1), COLUMNS, "y")
-    for name in ("roots", "feature", "cut", "child", "value"):
-        assert np.array_equal(getattr(a, name), getattr(b, name))
-    assert (a.feature >= 0).sum() > 8
+    for s, t in zip(a.trees, b.trees):
+        assert all(np.array_equal(getattr(s, name), getattr(t, name)) for name in ("feature", "cut", "child", "value"))
+    assert sum((t.feature >= 0).sum() for t in a.trees) > 8
     bins = a.binner.pack(*x.T)
-    for t, root in enumerate(a.roots):
-        h = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64("id")).collect()])
-        w = np.searchsorted(FO.POISSON, FO._mix(h.view(np.uint64), 42 * 31 + 7 * t + 1)) if kind is FO.RandomForest else np.ones(len(x))
-        at = np.full(len(x), root)
-        while True:
-            inner = a.feature[at] >= 0
-            for n in np.unique(at):
-                inside = (at == n) & (w > 0)
-                assert inside.sum() >= 9
-                if a.feature[n] >= 0:
-                    assert inside.sum() >= 120
-            if not inner.any():
-                break
-            one = (a.feature[:], a.cut, a.child)
-            step = np.where(inner, one[2][at] + (bins[np.arange(len(x)), np.maximum(a.feature[at], 0)] > a.cut[at]), at)
-            at = step
-        counts = np.bincount(y[at == at[0]], w[at == at[0]], minlength=3)
-        if kind is FO.RandomForest:
-            assert np.allclose(a.value[at[0]], counts / counts.sum())
+    h = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64("id")).collect()]).view(np.uint64)
+    for t, tree in enumerate(a.trees):
+        w = np.searchsorted(FO.POISSON, FO._mix(h, 42 * 31 + 7 * t + 1)) if kind is FO.RandomForest else np.ones(len(x))
+        inside = {0: np.arange(len(x))[w > 0]}
+        for n in range(len(tree.feature)):
+            rows = inside[n]
+            assert len(rows) >= 9
+            if tree.feature[n] >= 0:
+                assert len(rows) >= 120
+                right = bins[rows, tree.feature[n]] > tree.cut[n]
+                inside[tree.child[n]], inside[tree.child[n] + 1] = rows[~right], rows[right]
+            if kind is FO.RandomForest:
+                counts = np.bincount(y[rows], w[rows], minlength=3)
+                assert np.allclose(tree.value[n], counts / counts.sum())
 
 
 def test_own_fold_never_trains_and_loss_beats_the_prior(rows):
@@ -100,7 +97,8 @@ def test_own_fold_never_trains_and_loss_beats_the_prior(rows):
     models = forest.fit_folds(df, COLUMNS, "y", "fold", 3)
     flipped = df.withColumn("y", F.when(F.col("fold") == 1, 0).otherwise(F.col("y")))
     other = forest.fit_folds(flipped, COLUMNS, "y", "fold", 3)
-    assert np.array_equal(models[1].value, other[1].value) and not np.array_equal(models[0].value, other[0].value)
+    same = [all(np.array_equal(s.value, t.value) for s, t in zip(m.trees, o.trees)) for m, o in zip(models, other)]
+    assert same == [False, True, False, False]
     got = score(df, models, "p", "fold").orderBy("id").toPandas()
     p = got[["p_0", "p_1", "p_2"]].to_numpy()
     assert np.allclose(p.sum(1), 1) and (p.argmax(1) == y).mean() > 0.8
@@ -110,7 +108,7 @@ def test_own_fold_never_trains_and_loss_beats_the_prior(rows):
 def test_two_hundred_trees_plan_and_score(rows):
     df, x, _ = rows
     model = FO.ExtraTrees(3, 200, 3, 20).fit(df, COLUMNS, "y")
-    assert len(model.roots) == 200
+    assert len(model.trees) == 200
     assert model.score(df, "p").agg(F.sum("p_0") + F.sum("p_1") + F.sum("p_2")).first()[0] == pytest.approx(1200)
 
 
@@ -120,9 +118,11 @@ def test_feature_lists_by_model_constant_columns_and_ties(spark, rows):
     sets = [["a", "k"], ["b", "k"], ["c", "k"], ["k", "a"]]
     models = FO.RandomForest(3, 2, 3, 5, 0.5).fit_folds(wide, sets, "y", "fold", 3)
     assert [m.features for m in models] == sets
-    assert all((m.feature[m.feature >= 0] == m.features.index(s)).all() and (m.feature >= 0).any() for m, s in zip(models, "abca"))
+    for m, s in zip(models, "abca"):
+        used = np.concatenate([t.feature[t.feature >= 0] for t in m.trees])
+        assert len(used) and (used == m.features.index(s)).all()
     flat = FO.RandomForest(3, 2, 3).fit(wide, ["k"], "y")
-    assert (flat.feature == -1).all()
+    assert all((t.feature == -1).all() for t in flat.trees)
     same = df.select("y", *[F.lit(0.5).alias(c) for c in COLUMNS])  # no key, equal rows
     assert FO.RandomForest(3, 2, 3).fit(same, COLUMNS, "y").score(same, "p").count() == 1200
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabstrata.learners import mllib
+from tabstrata.learners import forests, mllib, perceptron
 from tabstrata.learners.base import partial_sums, require_complete
 from tabstrata.learners.boosting import DEPTHWISE, HistogramBooster
 from tabstrata.learners.knn import SvdKnn
@@ -20,7 +20,8 @@ LEARNERS = {
     "sgd": lambda: AveragedSGD(2, max_iter=1),
     "logistic": lambda: ElasticNetLogistic(2, max_iter=2),
     "spark_logistic": lambda: mllib.SparkLogistic(2, max_iter=2),
-    "forest": lambda: mllib.RandomForest(2, n_estimators=1),
+    "forest": lambda: forests.RandomForest(2, n_estimators=1),
+    "perceptron": lambda: perceptron.Perceptron(2, (2,), max_iter=1),
     "knn": lambda: SvdKnn(2, n_components=1, n_neighbors=1),
 }
 
