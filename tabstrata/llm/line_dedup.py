@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 A page's lines are its text blocks. Within a site (the host of the url) a line's ratio is the number
-of the site's pages that hold it, divided by all pages of the site; lines above a ratio are
-boilerplate and dropped from every page of that site.
+of the site's pages that hold it, divided by all pages of the site; lines on two pages at least and above
+a ratio are boilerplate and dropped from every page of that site.
 
 Scale: lines travel as (site, page row, 64-bit line hash); counts are combined before the shuffle, so
 a line on every page of a hot site costs one row per task. Only boilerplate lines are joined back
@@ -11,7 +11,8 @@ shuffled once, for the join with the dropped line hashes of each page.
 
 Cases: null or empty html has no lines; a page without a host belongs to no site and loses nothing,
 as do pages of sites with fewer than ``min_pages`` pages; a line repeated in a page counts once and
-is dropped everywhere; repeated rows are pages of their own; further columns are not carried.
+is dropped everywhere; a line on one page only stays, however few pages the site has; tags are known in any
+case of letters; repeated rows are pages of their own; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from tabstrata.runtime import materialize
 
 #: What holds no visible text, and the tags that end a line. Both are also valid in DuckDB's syntax.
-HIDDEN = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BREAKS = (
-    r"</?(?:address|article|aside|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main"
+    r"(?i)</?(?:address|article|aside|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main"
     r"|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[ /][^>]*)?>|\n"
 )
 TAGS = r"<[^>]*>"
@@ -52,7 +53,7 @@ def line_dedup(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 5) ->
     each = cut.where("site != ''").select(
         "site", "row", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")
     )
-    common = each.groupBy("site", "line").agg(F.count("*").alias("n")).where("n > 1 or 1 > " + repr(max_ratio))
+    common = each.groupBy("site", "line").agg(F.count("*").alias("n")).where("n > 1")
     common = common.join(sizes, "site").where(F.col("site_pages") >= min_pages)
     common = common.where(F.col("n") > F.col("site_pages") * F.lit(max_ratio)).select("site", "line")
     common = materialize(common, "boilerplate")

@@ -104,7 +104,7 @@ with cut as (
     select site, line, count(*) as n
     from (select distinct id, site, unnest(lines) as line from cut where site != '') group by site, line
   ) join sites using (site)
-  where site_pages >= 5 and n > site_pages * 0.1 group by site
+  where site_pages >= 5 and n > 1 and n > site_pages * 0.1 group by site
 ), kept as (
   select page_id, site, site_pages, lines,
          list_filter(lines, lambda x: not list_contains(coalesce(dropped, []), x)) as kept

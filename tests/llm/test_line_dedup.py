@@ -36,11 +36,23 @@ def test_like_a_plain_count(spark):
     for row in got:
         site, own = lines[row.page_id]
         counts, n = Counter(x for p in by_site[site] for x in set(p)), len(by_site[site])
-        kept = [x for x in own if not site or n < 5 or counts[x] <= n * 0.1]
+        kept = [x for x in own if not site or n < 5 or counts[x] < 2 or counts[x] <= n * 0.1]
         assert (row.site, row.site_pages, row.n_lines, row.text) == (site, n, len(own), "\n".join(kept))
         assert row.n_dropped == len(own) - len(kept)
     assert any("rare line" in r.text for r in got) and not any("menu" in r.text for r in got if r.site == "site.example")
 
 
+def test_lines_of_their_own_stay_on_small_sites(spark):
+    for n in (5, 9):
+        rows = [(i, f"https://few.example/{i}", page("menu", f"only here {i}"), "a", 1) for i in range(n)]
+        got = L.line_dedup(spark.createDataFrame(rows, PAGES)).collect()
+        assert sorted(r.text for r in got) == [f"only here {i}" for i in range(n)]
+
+
+def test_tags_in_capitals(spark):
+    html = "<P>Upper</P><SCRIPT>var x</SCRIPT><DIV>next</DIV><StYle>a{}</sTYLE>"
+    assert L.line_dedup(spark.createDataFrame([(1, "http://x.y/", html, "a", 1)], PAGES)).first().text == "Upper\nnext"
+
+
 def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], PAGES)).count() == 0
