@@ -11,7 +11,8 @@ executors hold more than that, and documents pass through one automaton after th
 
 Cases: a null or empty text has no words and is never hit; an item without words is ignored;
 repeated items count each by its own id; items with a null id are matched but not listed; without
-items nothing is hit; equal rows give equal results; further columns are kept.
+items nothing is hit; equal rows give equal results; `decontaminate` keeps further columns whatever
+their names, `hits` those that aren't named like its own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tabstrata.llm.common import bounded_batches
 WINDOW = 10
 #: Words in one automaton; it takes about 0.6 kB a word in a Python worker.
 MAX_WORDS = 200_000
+#: Columns that `hits` adds.
+HITS = ("hit_spans", "hit_items", "hit_words")
 
 #: Lower-cases A-Z and turns all bytes that belong to no word into blanks; UTF-8 above 0x7F stays.
 TABLE = bytes(
@@ -176,10 +179,8 @@ def automata(benchmark: DataFrame, window: int, max_words: int):
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` plus ``hit_spans`` (array of [first, end) word positions), ``hit_items`` (sorted item
-    ids as strings) and ``hit_words`` (all words of the text)."""
-    clash = {"hit_spans", "hit_items", "hit_words"} & set(docs.columns)
-    if clash:
-        docs = docs.drop(*clash)
+    ids as strings) and ``hit_words`` (all words of the text), in place of columns of these names."""
+    docs = docs.drop(*HITS)
     spark = bounded_batches(docs).sparkSession
     extra = "hit_spans array<int>, hit_items array<string>, hit_words bigint"
     out = docs.select(
@@ -258,8 +259,9 @@ def decontaminate(
     byte of their last. With ``max_coverage=0`` every contaminated document is dropped. A column
     ``n_chars`` is set to the new length. Other rows stay as they are.
     """
-    found = hits(docs, benchmark, window, max_words)
     names = docs.columns
+    # columns named like those of `hits` are carried under other names; rows are put together by position
+    found = hits(docs.withColumnsRenamed({c: f"__in_{c}" for c in HITS}), benchmark, window, max_words)
 
     def cut(batches):
         for batch in batches:

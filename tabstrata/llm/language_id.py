@@ -183,6 +183,8 @@ def predict(docs: DataFrame, model: LanguageModel, least_gap: float = 0.2) -> Da
 
 def identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
     """``docs`` without the rows of no language: no letters, or flagged with a score below ``least_score``."""
-    found = predict(docs, model)
+    # columns are carried under other names, so that none is taken for a result
+    carried = {c: c if c == "text" else f"__in_{i}" for i, c in enumerate(docs.columns)}
+    found = predict(docs.withColumnsRenamed(carried), model)
     rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("ambiguous") & (F.col("lang_score") < least_score))
-    return found.where(~rejected).select(*docs.columns)
+    return found.where(~rejected).select(*[F.col(a).alias(c) for c, a in carried.items()])

@@ -11,7 +11,8 @@ trees and the calibration then run in the JVM. Without rows of both classes ever
 share of toxic labels (0 without labels).
 
 Cases: null and empty texts have all features 0 and get a score; null labels are not learned from;
-an id labelled twice is learned from twice; repeated rows get equal scores; other columns are kept.
+an id labelled twice is learned from twice; repeated rows get equal scores; other columns
+are kept, but for those named like a feature or ``toxicity``, which give way to the results.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def sample(labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> DataFr
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``docs`` without ``text``, plus the features and ``toxicity`` (0 to 1).
+    """``docs`` without ``text``, plus the features and ``toxicity`` (0 to 1), in place of columns of these names.
 
     ``learn`` is a condition on ``doc_id`` that says which labels may be learned from.
     """

@@ -86,3 +86,15 @@ def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     row = D.report(df, spark.createDataFrame([(9, "one two three four")], ITEMS), window=4).first()
     assert (row.n_words, row.n_hit, row.n_items) == (300_004, 4, 1)
+
+
+def test_columns_named_like_results_come_back_untouched(spark):
+    quoted = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, f"before {quoted} " + "x " * 60 + "after", "own", [7], 5), (2, "clean", "kept", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, hit_words string, hit_spans array<int>, hit_items int")
+    bench = spark.createDataFrame([(1, quoted)], "item_id bigint, text string")
+    got = D.decontaminate(docs, bench)
+    assert got.columns == docs.columns
+    got = {r.doc_id: r for r in got.collect()}
+    assert (got[1].hit_words, got[1].hit_spans, got[1].hit_items) == ("own", [7], 5) and quoted not in got[1].text
+    assert got[2] == docs.where("doc_id = 2").first()

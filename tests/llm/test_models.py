@@ -165,3 +165,11 @@ def test_lm_without_rows(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     row = LM.scores(one, F.lit(False)).first()
     assert (row.n_known, row.train_tokens, row.n_tokens, row.held_out) == (0, 0, 3, True)
+
+
+def test_identified_keeps_columns_named_like_results(spark):
+    rows = [(i, ("der hund und die katze " if i % 2 else "the dog and the cat ") * 8, "de" if i % 2 else "en", "own", 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, ambiguous string, lang_score int")
+    kept = LI.identified(docs, LI.fit(docs, F.lit(True)))
+    assert kept.dtypes == docs.dtypes
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)
