@@ -71,7 +71,8 @@ def s5(spark, sf):
     parts = []
     for name, model in fits.items():
         again = artifacts.load_model(spark, artifacts.save_model(spark, model, scratch_path(spark, name)))
-        both = again.score(model.score(df.select("id", *NUMERIC, *CATEGORIES), "a"), "b")
+        scored = materialize(model.score(df.select("id", *NUMERIC, *CATEGORIES), "a"), "scored")
+        both = again.score(scored, "b")
         gap = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in range(K)])
         parts.append(both.agg(F.max(gap).alias("max_gap"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("model"), "max_gap", "n"))
     return rounded(_union(parts))
@@ -395,7 +396,7 @@ def k2_reloaded(spark, sf):
     parts = []
     for n in registry:
         again = artifacts.load_model(spark, second[n]["path"])
-        both = again.score(first[n]["fitted"].score(rows, "a"), "b")
+        both = again.score(materialize(first[n]["fitted"].score(rows, "a"), "scored"), "b")
         gap = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in range(K)])
         found = both.agg(F.max(gap).alias("max_gap"), F.count(F.lit(1)).alias("n"))
         parts.append(found.select(F.lit(n).alias("model"), F.lit(second[n]["state"]).alias("state"), "max_gap", "n"))
