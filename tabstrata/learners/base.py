@@ -141,7 +141,11 @@ def score(df: DataFrame, models: list[Model], prefix: str, fold: str | None = No
         return pd.Series(list(out))
 
     part = F.col(fold) if fold else F.lit(0)
-    scored = models[0].prepare(df).withColumn("__p", probabilities(part, *[F.col(c) for c in features]))
+    inputs = [F.col(c) for c in features]
+    if fold and any(m.features != features for m in models):  # columns encoded for each model
+        sets = [m.features for m in models]
+        inputs = [F.expr(f"case `{fold}` {' '.join(f'when {j} then `{s[p]}`' for j, s in enumerate(sets))} end") for p in range(len(features))]
+    scored = models[0].prepare(df).withColumn("__p", probabilities(part, *inputs))
     return scored.select(*df.columns, *[F.col("__p")[c].alias(f"{prefix}_{c}") for c in range(k)])
 
 

@@ -123,6 +123,7 @@ class Forest:
     """
 
     random_cuts = False
+    feature_lists = True  # each model may have columns of its own
 
     def __init__(
         self, k, n_estimators=20, max_depth=8, min_samples_leaf=20, max_features="sqrt", criterion="gini",

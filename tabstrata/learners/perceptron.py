@@ -77,6 +77,8 @@ class Perceptron:
     """``fit_folds`` trains the fold models and the full model together. ``features`` may be one list, or one
     list for each model (columns scaled for that model); they should be standardised."""
 
+    feature_lists = True  # each model may have columns of its own
+
     def __init__(
         self, k, hidden=(32,), activation="relu", alpha=1e-4, learning_rate_init=1e-3, tol=1e-4, max_iter=1000,
         early_stopping=True, n_iter_no_change=10, validation_fraction=0.1, seed=42, key="id",

@@ -211,23 +211,20 @@ class MeanTargetEncoder:
         self.columns, self.smoothing, self.blend = list(columns), float(smoothing), blend
         self.min_count, self.out = float(min_count), out
 
+    def blended(self, n: Column, mean: Column, prior: float) -> Column:
+        """Encoding of a category of ``n`` rows with this mean."""
+        if self.blend == "ratio":
+            return (n * mean + F.lit(self.smoothing * prior)) / (n + F.lit(self.smoothing))
+        w = F.lit(1.0) / (F.lit(1.0) + F.exp(-(n - F.lit(self.min_count)) / F.lit(self.smoothing)))
+        return F.when(n == 1, F.lit(prior)).otherwise(F.lit(prior) * (F.lit(1.0) - w) + mean * w)
+
     def fit(self, train: DataFrame, label: str) -> "MeanTargetEncoder":
         prior = train.agg(F.avg(label)).first()[0]
         self.prior_, self.tables_ = float(prior), {}
         for col in self.columns:
             n, mean = F.count(F.lit(1)), F.avg(label)
             stats = train.where(F.col(col).isNotNull()).groupBy(col).agg(n.alias("n"), mean.alias("m"))
-            if self.blend == "ratio":
-                e = (F.col("n") * F.col("m") + F.lit(self.smoothing * self.prior_)) / (
-                    F.col("n") + F.lit(self.smoothing)
-                )
-            else:
-                w = F.lit(1.0) / (
-                    F.lit(1.0) + F.exp(-(F.col("n") - F.lit(self.min_count)) / F.lit(self.smoothing))
-                )
-                e = F.when(F.col("n") == 1, F.lit(self.prior_)).otherwise(
-                    F.lit(self.prior_) * (F.lit(1.0) - w) + F.col("m") * w
-                )
+            e = self.blended(F.col("n"), F.col("m"), self.prior_)
             self.tables_[col] = stats.select(col, e.alias(self.out.format(col=col)))
         return self
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from tabstrata.learners.base import score as score_models
+from tabstrata.operators import fold_prep
 from tabstrata.operators.encode import MeanTargetEncoder
 from tabstrata.operators.folds import hashed_folds
 from tabstrata.operators.scale import ColumnComposer
@@ -35,7 +36,8 @@ class Fitted:
 
 class Pipeline:
     """``prep``: None, "compose" (target-encode, standardise, robust-scale) or "mean" (mean target
-    encoding of the categories). Without ``prep`` a learner that can train all folds at once does."""
+    encoding of the categories). A learner that can train all folds at once does: without ``prep``, or with
+    columns of its own for each fold model if it takes such."""
 
     def __init__(self, learner, numeric, categories=(), prep=None, standard=("alpha", "delta"), key="id", parallel_fits=4):
         self.parallel_fits = parallel_fits
@@ -73,7 +75,21 @@ class Pipeline:
 
     @property
     def parallel_folds(self) -> bool:
-        return self.prep is None and hasattr(self.learner, "fit_folds")
+        ready = self.prep is None or getattr(self.learner, "feature_lists", False)
+        return ready and hasattr(self.learner, "fit_folds")
+
+    def prepared(self, df: DataFrame, label: str, fold: str, k_folds: int) -> tuple[DataFrame, list[list[str]]]:
+        """``df`` plus the preprocessed columns of every fold model, and each model's features."""
+        if self.prep == "mean":
+            enc = MeanTargetEncoder(self.categories, blend="sigmoid")
+            ready, names = fold_prep.mean_encoded(df, enc, label, fold, k_folds)
+            return ready, [self.numeric + n for n in names]
+        rest = [c for c in self.numeric if c not in self.standard]
+        encoder = ColumnComposer(self.categories, self.standard, rest, self.k).encoder
+        inner = hashed_folds(df, self.key, INNER_FOLDS, "inner", "__inner")
+        ready, names = fold_prep.class_encoded(inner, encoder, label, fold, k_folds, "__inner", INNER_FOLDS)
+        ready, more = fold_prep.scaled(ready, self.standard, rest, fold, k_folds)
+        return ready, [a + b for a, b in zip(names, more)]
 
     def fold_models(self, df: DataFrame, label: str, fold: str, k_folds: int):
         """Models leaving out each fold, then the model of all rows, from shared passes."""
@@ -84,8 +100,12 @@ class Pipeline:
     def out_of_fold(self, df: DataFrame, label: str, fold: str, k_folds: int, prefix: str) -> DataFrame:
         """Every row scored by the model that did not train on it."""
         if self.parallel_folds:
-            models = self.fold_models(df, label, fold, k_folds)
             names = [f"{prefix}_{c}" for c in range(self.k)]
+            if self.prep is not None:
+                ready, features = self.prepared(df, label, fold, k_folds)
+                models = self.learner.fit_folds(ready, features, label, fold, k_folds)
+                return score_models(ready, models, prefix, fold).select(*df.columns, *names)
+            models = self.fold_models(df, label, fold, k_folds)
             return score_models(df, models, prefix, fold).select(*df.columns, *names)
         # independent fits: their jobs run side by side, as many as parallel_fits
         with ThreadPoolExecutor(min(k_folds, self.parallel_fits)) as pool:
