@@ -271,6 +271,16 @@ def t6(spark, sf):
     return rounded(study.trials_table(spark).select("trial", "fold", "score", "state"))
 
 
+@query("t6_learning_trials")
+def t6_learning(spark, sf):
+    """Twelve trials of which the last four are suggested by the eight before them, two at a time."""
+    df = training_frame(spark, sf)
+    objective, _ = _lda_objective(df)
+    study = SR.Study("lda", list(LEARNERS["lda"].space), min_trials=99, startup=8)
+    study.run(spark, objective, 12, parallelism=2)
+    return rounded(study.trials_table(spark).select("trial", "fold", "score", "state"))
+
+
 @query("t7_refit_best")
 def t7(spark, sf):
     """Best parameters refitted on all rows, saved, loaded and scored."""

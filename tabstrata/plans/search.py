@@ -1,4 +1,4 @@
-"""Random search over a trials table, with median pruning, failures, parallel trials and refits."""
+"""Search over a trials table, at random or learning from trials, with median pruning, failures, parallel trials and refits."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from tabstrata.operators.class_weights import (
     score_candidates,
 )
 from tabstrata.operators.metrics import log_loss, row_log_loss, running_mean
+from tabstrata.plans import parzen
 from tabstrata.plans.pipeline import Pipeline
 from tabstrata.plans.space import Param, as_params, sample
 
@@ -27,9 +28,19 @@ TRIAL_SCHEMA = (
 
 
 class Study:
-    """Scores per (trial, fold). ``trials_table`` is the record; at most trials x folds rows."""
+    """Scores per (trial, fold). ``trials_table`` is the record; at most trials x folds rows.
 
-    def __init__(self, name: str, space: list[Param], direction="minimize", warmup=2, min_trials=5, seed=42):
+    ``sampler`` is "random", or "tpe": the first ``startup`` trials at random, then those that `parzen` suggests
+    from the completed and pruned trials before them. Trials that run at the same time learn from the same ones.
+    """
+
+    def __init__(
+        self, name: str, space: list[Param], direction="minimize", warmup=2, min_trials=5, seed=42, sampler="tpe",
+        startup=parzen.STARTUP,
+    ):
+        if sampler not in ("tpe", "random"):
+            raise ValueError(f"unknown sampler {sampler!r}")
+        self.sampler, self.startup = sampler, startup
         self.name, self.space, self.direction = name, list(space), direction
         self.warmup, self.min_trials, self.seed = warmup, min_trials, seed
         self.trials: dict[int, dict] = {}
@@ -82,12 +93,13 @@ class Study:
         """``objective(params)`` yields one score per fold. Continues after earlier trials."""
         start = max(self.trials, default=-1) + 1
         rows = sample(spark, self.space, self.name, n_trials, start, self.seed).orderBy("trial").collect()
+        drawn = [(r["trial"], as_params(r, self.space)) for r in rows]
 
-        def one(row):
+        def one(trial, params):
             if parallelism > 1:  # with FAIR scheduling every trial gets its own pool
-                spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{row['trial']}")
-            entry = {"params": as_params(row, self.space), "scores": [], "state": "RUNNING"}
-            self.trials[row["trial"]] = entry
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial}")
+            entry = {"params": params, "scores": [], "state": "RUNNING"}
+            self.trials[trial] = entry
             try:
                 for s in objective(entry["params"]):
                     entry["scores"].append(float(s))
@@ -98,14 +110,30 @@ class Study:
             except catch as e:
                 entry["state"], entry["error"] = "FAIL", str(e)
 
-        if parallelism == 1:
-            for r in rows:
-                one(r)
-        else:  # jobs of different trials share the cluster; spark.scheduler.mode=FAIR evens it out
-            with ThreadPoolExecutor(parallelism) as pool:
-                list(pool.map(one, rows))
+        # jobs of different trials share the cluster; spark.scheduler.mode=FAIR evens it out
+        free = [d for d in drawn if self.sampler == "random" or d[0] < self.startup]
+        with ThreadPoolExecutor(parallelism) as pool:
+            list(pool.map(lambda d: one(*d), free))
+            later = [t for t, _ in drawn[len(free) :]]
+            for at in range(0, len(later), parallelism):
+                known = self.outcomes()
+                some = [(t, self._suggested(t, known, dict(drawn))) for t in later[at : at + parallelism]]
+                list(pool.map(lambda d: one(*d), some))
         return self
 
+    def outcomes(self) -> list[tuple[dict, float]]:
+        """(parameters, value to be small) of the trials that say something; pruned ones are worse than completed ones."""
+        sign, out = 1 if self.direction == "minimize" else -1, []
+        for t, e in sorted(self.trials.items()):
+            if e["state"] == "COMPLETE":
+                out.append((e["params"], sign * self.value(t)))
+            elif e["state"] == "PRUNED":
+                out.append((e["params"], float("inf")))
+        return out
+
+    def _suggested(self, trial: int, known: list, drawn: dict) -> dict:
+        return parzen.suggest(self.space, known, self.name, trial, self.seed) if known else drawn[trial]
+
 
 def _running(scores: list[float]) -> list[float]:
     return [statistics.fmean(scores[: i + 1]) for i in range(len(scores))]
