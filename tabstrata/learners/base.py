@@ -33,12 +33,17 @@ def require_complete(df: DataFrame, features: list[str], label: str | None = Non
         outside = (y < 0) | (y >= k) if k else F.lit(False)
         aggs += [F.count_if(y.isNull() | outside).alias("labels")]
     row = df.agg(*aggs).first()
-    missing = {c: row[f"n{i}"] for i, c in enumerate(features) if row[f"n{i}"]}
+    refuse({c: row[f"n{i}"] for i, c in enumerate(features)}, row["labels"] if label is not None else 0, label)
+    return np.array([row[f"m{i}"] or 0.0 for i in range(len(features))])
+
+
+def refuse(missing: dict[str, int], labels: int, label: str | None) -> None:
+    """ValueError if rows miss a feature or a label."""
+    missing = {c: n for c, n in missing.items() if n}
     if missing:
         raise ValueError(f"null or NaN features (rows): {missing}")
-    if label is not None and row["labels"]:
-        raise ValueError(f"{row['labels']} rows whose {label} is null or no class")
-    return np.array([row[f"m{i}"] or 0.0 for i in range(len(features))])
+    if labels:
+        raise ValueError(f"{labels} rows whose {label} is null or no class")
 
 
 def feature_sets(features, models: int) -> list[list[str]]:

@@ -15,13 +15,17 @@ from tabstrata.learners.base import (
     LinearModel,
     Model,
     partial_sums,
+    refuse,
     require_complete,
     softmax_array,
     softmax_texts,
 )
 from tabstrata.operators.encode import weights_from_counts
+from tabstrata.runtime import small_rows
 
 _EXPRESSION_LIMIT = 8
+#: Features up to which all centred products are aggregates of one scan.
+_ONE_PASS = 4
 
 
 class ClassMoments:
@@ -67,9 +71,14 @@ class ClassMoments:
 def fold_moments(
     df: DataFrame, features: list[str], label: str, k: int, fold: str | None = None, k_folds: int = 1
 ) -> list[ClassMoments]:
-    """Moments of every fold's own rows about the mean of all rows: a scan for the mean, which also
-    refuses missing values (:func:`require_complete`), and one pass for the sums."""
+    """Moments of every fold's own rows about the mean of all rows.
+
+    Few features take one pass, of means, centred products and missing values by (fold, class). More take a scan
+    for the mean, which also refuses missing values (:func:`require_complete`), and a pass for the sums.
+    """
     d = len(features)
+    if d <= _ONE_PASS:
+        return _one_pass_moments(df, features, label, k, fold, k_folds)
     origin = require_complete(df, features, label, k)
     n, s, ss = np.zeros((k_folds, k)), np.zeros((k_folds, k, d)), np.zeros((k_folds, k, d, d))
     if d <= _EXPRESSION_LIMIT:
@@ -107,6 +116,30 @@ def fold_moments(
     return [ClassMoments(n[f], s[f], ss[f], origin) for f in range(k_folds)]
 
 
+def _one_pass_moments(df, features, label, k, fold, k_folds) -> list[ClassMoments]:
+    d = len(features)
+    x = [F.col(f"`{c}`").cast("double") for c in features]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"a{i}") for i, c in enumerate(x)]
+    aggs += [(F.var_pop(x[i]) if i == j else F.covar_pop(x[i], x[j])).alias(f"q{i}_{j}") for i, j in pairs]
+    aggs += [F.count_if(c.isNull() | F.isnan(c)).alias(f"m{i}") for i, c in enumerate(x)]
+    keys = [F.col(fold).alias("__f") if fold else F.lit(0).alias("__f"), F.col(f"`{label}`").alias("__y")]
+    rows = small_rows(df.groupBy(*keys).agg(*aggs), 100_000, "fold and class counts")
+    outside = sum(r["n"] for r in rows if r["__y"] is None or not 0 <= r["__y"] < k)
+    refuse({c: sum(r[f"m{i}"] for r in rows) for i, c in enumerate(features)}, outside, label)
+    n, mean, cov = np.zeros((k_folds, k)), np.zeros((k_folds, k, d)), np.zeros((k_folds, k, d, d))
+    for r in rows:
+        f, c = r["__f"], r["__y"]
+        n[f, c], mean[f, c] = r["n"], [r[f"a{i}"] for i in range(d)]
+        for i, j in pairs:
+            cov[f, c, i, j] = cov[f, c, j, i] = r[f"q{i}_{j}"]
+    origin = (n[..., None] * mean).sum(axis=(0, 1)) / max(n.sum(), 1.0)
+    off = mean - origin
+    s = n[..., None] * off
+    ss = n[..., None, None] * (cov + off[..., :, None] * off[..., None, :])
+    return [ClassMoments(n[f], s[f], ss[f], origin) for f in range(k_folds)]
+
+
 def training_moments(parts: list[ClassMoments]) -> list[ClassMoments]:
     """Per fold the moments of the other folds, then those of all rows."""
     total = parts[0]
