@@ -155,6 +155,26 @@ class CompactTree:
         return self.value[self.nodes(bins)]
 
 
+@dataclass
+class WalkTree:
+    """A growing tree for finding the rows of its leaves: a leaf is its own left child, and all bins go there."""
+
+    feature: np.ndarray
+    column: np.ndarray
+    left: np.ndarray
+    child: np.ndarray
+    depth: int
+
+    def nodes(self, bins: np.ndarray) -> np.ndarray:
+        at, rows, flat = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins)) * bins.shape[1], bins.ravel()
+        if self.left.shape[1] == 1:  # nothing but the root
+            return at
+        width, left = self.left.shape[1], self.left.ravel()
+        for _ in range(self.depth):
+            at = self.child[at] + ~left[at * width + flat[rows + self.column[at]]]
+        return at
+
+
 class LeafTree:
     """A tree grown leaf by leaf: the frontier by gain, and splits looked at ahead of their turn.
 
@@ -201,17 +221,22 @@ class LeafTree:
             return []
         missing = max_leaves - 1 - len(self.chosen)
         some = max(1, min(missing, 2 * (max_leaves - 1) - self.looked - missing))
-        return sorted((n for n in frontier if self.feature[n] < 0), key=rank, reverse=True)[:some]
+        # leaves whose turn may come next, then those below splits that were looked at ahead
+        open_ = sorted((n for n in self.found if self.feature[n] < 0), key=lambda n: (n in frontier, rank(n)), reverse=True)
+        return open_[:some]
 
-    def trimmed(self) -> "CompactTree":
-        return self.compact(range(len(self.feature)))
+    def trimmed(self) -> "WalkTree":
+        leaf = np.array(self.feature) < 0
+        bins = next((len(x) for x in self.left if x is not None), 1)
+        left = np.array([np.ones(bins, bool) if x is None else x for x in self.left])
+        child = np.where(leaf, np.arange(len(leaf)), self.child)
+        return WalkTree(np.array(self.feature), np.where(leaf, 0, self.feature), left, child, max(self.depth))
 
-    def compact(self, chosen=None) -> "CompactTree":
+    def compact(self) -> "CompactTree":
         """Nodes below the chosen splits only, level by level."""
-        chosen = set(self.chosen if chosen is None else chosen)
-        same = len(chosen) == len(self.feature)
-        order, at = list(range(len(self.feature))) if same else [0], 0
-        while not same and at < len(order):
+        chosen = set(self.chosen)
+        order, at = [0], 0
+        while at < len(order):
             n = order[at]
             if n in chosen and self.feature[n] >= 0:
                 order += [self.child[n], self.child[n] + 1]

@@ -102,6 +102,18 @@ class PackedTree:
         return self.value[walk((self.feature, self.cut, self.child), bins, np.zeros(len(bins), np.int64))]
 
 
+def positions(arrays, depth: int, bins: np.ndarray) -> np.ndarray:
+    """The node of each row after ``depth`` steps from the root; a leaf is its own left child, and all bins go there."""
+    feature, cut, child = arrays
+    leaf = feature < 0
+    column, child = np.where(leaf, 0, feature), np.where(leaf, np.arange(len(leaf)), child)
+    edge = np.where(leaf, 255, cut).astype(np.uint8)
+    at, rows, flat = np.zeros(len(bins), np.int64), np.arange(len(bins)) * bins.shape[1], bins.ravel()
+    for _ in range(depth):
+        at = child[at] + (flat[rows + column[at]] > edge[at])
+    return at
+
+
 class ForestModel(Model):
     """Trees over the bins of ``binner``: the mean of the class shares of the leaves a row falls in."""
 
@@ -214,6 +226,7 @@ class Forest:
         jobs = {}
         for pos, (i, t, n, *_) in enumerate(asked):
             jobs.setdefault((i, t), []).append((n, pos))
+        deepest = max(a[3] for a in asked)
         plans = []
         for (i, t), nodes in jobs.items():
             arrays = trees[i][t].arrays()
@@ -234,13 +247,14 @@ class Forest:
                     drawn = {t: np.searchsorted(POISSON, _mix(h, seed * 31 + 7 * t + 1)).astype(float)}
                 w = drawn[t] * mask[:, i] if bootstrap else mask[:, i].astype(float)
                 rows = np.flatnonzero(w)
-                at = slot[walk(arrays, bins[rows], np.zeros(len(rows), np.int64))]
-                rows, at = rows[at >= 0], at[at >= 0]
+                at = slot[positions(arrays, deepest, bins[rows])]
+                inside = at >= 0
+                rows, at = rows[inside], at[inside]
                 if not len(rows):
                     continue
-                n, yr, wr, br = len(columns), y[rows], w[rows], bins[rows]
+                n, yr, wr, flat = len(columns), y[rows], w[rows], bins.ravel()
                 for s in range(tried):
-                    cell = at * nb + br[np.arange(len(rows)), columns[at, s]]
+                    cell = at * nb + flat[rows * width + columns[at, s]]
                     found = np.bincount(cell * k + yr, wr, n * nb * k).reshape(n, nb, k)
                     view[first : first + n, s, :, :k] += found
                     view[first : first + n, s, :, k] += np.bincount(cell, minlength=n * nb).reshape(n, nb)
