@@ -385,7 +385,7 @@ def k2(spark, sf):
     return rounded(spark.createDataFrame(rows, "model string, first string, second string, n_trials int, best_log_loss double"))
 
 
-_RELOADED = ("random_forest", "ridge", "lda")
+_RELOADED = ("random_forest", "lda")
 
 
 @query(
