@@ -12,12 +12,14 @@ an add-one unigram model of whole words (``base``).
 
 Scale: training words are counted in a table on the shared folder, which grows with the corpus;
 rounds sum one number per piece. Words frequent enough that at most ``HEAD`` can be so are broadcast
-with their counts; all other words of the documents meet their counts in blocks of word hashes
-(packed arrays, one row per task and block), which return sums by document. Nothing else
-crosses the driver.
+with their counts. The documents that a task reads together form a packet of a bounded number of (document, word) pairs: each
+other word is sent once a packet to the block of its hash, the block adds the counts of all packets and answers each with
+the counts of its words, and the pairs wait for the answer in the packet. So what is shuffled grows with the pairs
+at a few bytes each, and nothing but word counts is written. Nothing else crosses the driver.
 
 Cases: a null text is empty and scores as the end alone; without training rows the pieces keep their
-prior and all counts are 0; a null class is a class; rows with equal ids are scored one by one; bytes outside the vocabulary
+prior and all counts are 0; a null class is a class; beyond ``MAX_KINDS`` classes the smallest ones, ties by name, share
+the counts of one class; rows with equal ids are scored one by one; bytes outside the vocabulary
 have pieces of their own; words of any length are handled.
 """
 
@@ -44,13 +46,19 @@ from tabstrata.llm.common import (
     text_buffer,
     unpacked,
 )
-from tabstrata.runtime import materialize, small_rows
+from tabstrata.runtime import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words with at least 1 / HEAD of all training tokens are looked up in a broadcast table.
 HEAD = 200_000
+#: Classes with counts of their own; all smaller ones together are the last of them.
 MAX_KINDS = 64
+#: Pairs of a document and a rarer word in one packet, about, and in one block of hashes.
 BLOCK = 1 << 20
+#: Documents in one packet, about.
+PACKET_DOCS = 1 << 15
+#: Partitions of an exchange at most.
+MAX_PARTS = 1 << 14
 #: Words longer than this go one by one.
 LONG = 64
 _LENGTHS = mix(np.arange(LONG + 2, dtype=np.uint64) + np.uint64(0xA24BAED4963EE407))
@@ -305,13 +313,15 @@ class WordModel:
 
     def log_p(self, c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
         """words x classes, from counts of that shape."""
-        out = np.repeat(lattice[:, None], len(self.tokens), axis=1)
-        for k, (tokens, distinct) in enumerate(zip(self.tokens, self.distinct)):
-            if tokens:
-                with np.errstate(divide="ignore"):
-                    own = np.log(np.maximum(c[:, k] - self.discount, 0.0))
-                out[:, k] = np.logaddexp(own, lattice + np.log(self.discount * distinct)) - np.log(tokens)
-        return out
+        return np.stack([self.log_p_of(k, c[:, k], lattice) for k in range(len(self.tokens))], axis=1)
+
+    def log_p_of(self, k: int, c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """Of class ``k`` alone."""
+        if not self.tokens[k]:
+            return lattice
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(c - self.discount, 0.0))
+        return np.logaddexp(own, lattice + np.log(self.discount * self.distinct[k])) - np.log(self.tokens[k])
 
 
 def scores(
@@ -320,17 +330,16 @@ def scores(
     """Per document: doc_id, held_out (not ``learn``), n_tokens, n_known, train_tokens, base_score, score.
 
     Scores are log10 probabilities of the whole text, end included. ``kind`` names the column of the
-    classes; it is read in training rows only, and its values, at most ``MAX_KINDS``, are model parameters.
+    classes; it is read in training rows only, and at most ``MAX_KINDS`` values are model parameters.
     """
     spark = bounded_batches(docs).sparkSession
     value = F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind else F.lit("")
-    found = docs.where(learn).groupBy(value.alias("kind")).agg(F.count("*").alias("n"))
-    ends_of = {r["kind"]: r["n"] for r in sorted(small_rows(found, MAX_KINDS, "classes"), key=lambda r: r["kind"])}
-    kinds, ends_k = list(ends_of) or [""], list(ends_of.values()) or [0]
-    number = F.array_position(F.array(*[F.lit(k) for k in kinds]), value) - 1
+    kinds, ends_k = _classes(docs.where(learn).groupBy(value.alias("kind")).agg(F.count("*").alias("n")))
+    number = F.array_position(F.array(*[F.lit(k) for k in kinds]), value)
+    number = F.when(number > 0, number - 1).otherwise(len(ends_k) - 1)
     docs = docs.select("doc_id", "text", F.when(learn, number).otherwise(-1).cast("int").alias("kind"))
-    words = materialize(count_words(docs.where("kind >= 0"), len(kinds)), "words")
-    counts = [F.col(f"c{k}") for k in range(len(kinds))]
+    words = materialize(count_words(docs.where("kind >= 0"), len(ends_k)), "words")
+    counts = [F.col(f"c{k}") for k in range(len(ends_k))]
     total = sum(counts[1:], counts[0])
     size = one(
         words.agg(
@@ -339,34 +348,31 @@ def scores(
             *[F.count_if(c > 0).alias(f"v{k}") for k, c in enumerate(counts)],
         )
     )
-    tokens_k, ends = [size[f"n{k}"] for k in range(len(kinds))], sum(ends_k)
+    tokens_k, ends = [size[f"n{k}"] for k in range(len(ends_k))], sum(ends_k)
     tokens, distinct = sum(tokens_k) + ends, size["v"] + (1 if ends else 0)
     pieces = estimate(words, path, rounds)
-    model = WordModel(tokens_k, [size[f"v{k}"] for k in range(len(kinds))], size["once"], size["twice"])
+    model = WordModel(tokens_k, [size[f"v{k}"] for k in range(len(ends_k))], size["once"], size["twice"])
     # at most HEAD words can have more than 1 / HEAD of all tokens
     head = words.where(total > max(tokens // HEAD, 1)).toArrow()
     hashes = _hash_column(head.column("word"))
     order = np.argsort(hashes)
-    table = np.stack([head.column(f"c{k}").to_numpy() for k in range(len(kinds))], axis=1)[order]
+    table = np.stack([head.column(f"c{k}").to_numpy() for k in range(len(ends_k))], axis=1)[order]
     shared = spark.sparkContext.broadcast((pieces, model, hashes[order], table))
     blocks = power_of_two(tokens / 3 / BLOCK, 8)
 
-    read = materialize(docs.mapInArrow(_reader(shared, blocks.bit_length() - 1), _READ), "read")
-    sums = read.where("block >= 0").select("block", "hashes", "keys", "counts", "kinds", "lattice")
-    sums = sums.groupBy("block").applyInArrow(_meet(model), "g bigint, keys binary, known binary, base binary, score binary")
-    sums = sums.groupBy("g").applyInArrow(_add(len(kinds)), "key bigint, tail_known bigint, tail_base double, tail array<double>")
-    out = read.where("block < 0").select("doc_id", "key", "kind", "n_tokens", "known", "base", "score")
-    out = out.join(sums, "key", "left")
+    parts = min(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), MAX_PARTS)
+    sent = docs.mapInArrow(_reader(shared, blocks.bit_length() - 1), f"block bigint, {_PACKET}, {_WORDS}")
+    met = sent.repartition(parts, "block").groupBy("block").applyInArrow(_meet(len(ends_k)), f"block bigint, {_PACKET}, answer binary")
+    out = met.repartition(parts, "packet").groupBy("packet").applyInArrow(_add(model), _SUMS)
     floor = float(np.log10(tokens + distinct + 1.0))
-    known = F.col("known") + F.coalesce("tail_known", F.lit(0)) + (1 if ends else 0)
-    base = F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + float(np.log10(ends + 1.0)) - F.col("n_tokens") * floor
+    known = F.col("known") + (1 if ends else 0)
+    base = F.col("base") + float(np.log10(ends + 1.0)) - F.col("n_tokens") * floor
     # for each class: its share of the documents, its words, its end
     by_class = []
     for k, (n, e) in enumerate(zip(tokens_k, ends_k)):
         end = (e + 1.0) / (n + e + 2.0)
-        fixed = float(np.log((e + 0.5) / (ends + 0.5 * len(kinds))) + np.log(end))
-        words_k = F.get("score", F.lit(k)) + F.coalesce(F.get("tail", F.lit(k)), F.lit(0.0))
-        by_class.append(words_k + (F.col("n_tokens") - 1) * float(np.log1p(-end)) + fixed)
+        fixed = float(np.log((e + 0.5) / (ends + 0.5 * len(ends_k))) + np.log(end))
+        by_class.append(F.get("score", F.lit(k)) + (F.col("n_tokens") - 1) * float(np.log1p(-end)) + fixed)
     out = out.withColumn("paths", F.array(*by_class)).withColumn("top", F.array_max("paths"))
     rest = F.aggregate("paths", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     return out.select(
@@ -380,6 +386,19 @@ def scores(
     )
 
 
+def _classes(found: DataFrame) -> tuple[list[str], list[int]]:
+    """Names of the classes with counts of their own, and the training rows of each class.
+
+    There is one more number than names if there are further classes, which share the last one.
+    """
+    size = one(found.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")))
+    own = MAX_KINDS if size["kinds"] <= MAX_KINDS else MAX_KINDS - 1
+    largest = found.orderBy(F.desc("n"), "kind").limit(own).collect()
+    rows = {r["kind"]: r["n"] for r in sorted(largest, key=lambda r: r["kind"])}
+    names, ends = list(rows) or [""], list(rows.values()) or [0]
+    return names, ends if size["kinds"] <= own else [*ends, size["rows"] - sum(ends)]
+
+
 def _hash_column(column) -> np.ndarray:
     """The hashes that ``Words`` gives to these words."""
     raw = column.to_pylist()
@@ -388,42 +407,80 @@ def _hash_column(column) -> np.ndarray:
     return words.hashes()
 
 
-_READ = (
-    "block int, doc_id bigint, key bigint, kind int, n_tokens bigint, known bigint, base double, score array<double>, "
-    "hashes binary, keys binary, counts binary, kinds binary, lattice binary"
+#: One row a packet: its documents, packed by column, and its pairs in the order of the words' hashes.
+_PACKET = (
+    "packet bigint, doc_id array<bigint>, kind binary, n_tokens binary, known binary, base binary, score binary, "
+    "degree binary, owner binary, uses binary, lattice binary"
 )
+#: One row for a packet and a block: the packet's words in it, each with its uses in every class it has there.
+_WORDS = "hashes binary, kinds binary, counts binary"
+_SUMS = "doc_id bigint, kind int, n_tokens bigint, known bigint, base double, score array<double>"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, lowest bytes first, which compress well if most numbers are small."""
+    return packed(np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_planes(value: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(value, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def _reader(shared, bits: int):
-    """Documents with what the task knows of them (block -1), and packets of their rarer words."""
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
-    types += [pa.binary()] * 5
-    names = [c.split()[0] for c in _READ.split(", ")]
+    """Packets (block -1 - packet) with what the task knows of their documents, and their rarer words by block."""
+    columns = ["block", *_names(_PACKET), *_names(_WORDS)]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * (len(columns) - 3)
 
     def rows(n: int, **given):
-        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, k)) for c, k in zip(names, types)], names=names)
+        arrays = [pa.array(given[c], k) if c in given else pa.nulls(n, k) for c, k in zip(columns, types)]
+        return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    # a word is told apart by the upper bits of its hash, which name the block, and six bytes
+    told = np.uint64(((1 << bits) - 1 << 64 - bits | (1 << 48) - 1) & (1 << 64) - 1)
+
+    def send(packet: int, docs: list[tuple], pairs: list[tuple]):
+        ids, *told_of = zip(*docs)
+        kind, n_tokens, known, base, score = (np.concatenate(x) for x in told_of)
+        h, owner, count, lattice = (np.concatenate(x) for x in zip(*pairs))
+        h &= told
+        order = np.argsort(h, kind="stable")
+        h, owner, count = h[order], owner[order], count[order]
+        starts = runs_of(h)
+        yield rows(
+            1, block=[-1 - packet], packet=[packet], doc_id=[[i for part in ids for i in part]], kind=[packed(kind.astype(np.int32))],
+            n_tokens=[packed(n_tokens)], known=[packed(known)], base=[packed(base)], score=[packed(score)],
+            degree=[_planes(np.diff(starts))], owner=[_planes(owner)], uses=[_planes(count)],
+            lattice=[packed(lattice[order][starts[:-1]].astype(np.float32))],
+        )
+        if not len(h):
+            return
+        # uses by (word, class)
+        classes = kind[owner]
+        order = np.lexsort((classes, h))
+        h, classes, count = h[order], classes[order], count[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (classes[1:] != classes[:-1])
+        at = np.flatnonzero(new)
+        h, classes, count = h[at], classes[at].astype(np.int8), np.add.reduceat(count, at)
+        low = h.view(np.uint8).reshape(-1, 8)[:, :6]
+        block = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+        cuts = runs_of(block)
+        parts = list(zip(cuts[:-1], cuts[1:]))
+        yield rows(
+            len(parts), block=block[cuts[:-1]], packet=np.full(len(parts), packet), hashes=[packed(low[x:y]) for x, y in parts],
+            kinds=[packed(classes[x:y]) for x, y in parts], counts=[_planes(count[x:y]) for x, y in parts],
+        )
 
     def task(batches):
         pieces, model, head, head_c = shared.value
-        next_key = TaskContext.get().partitionId() << 40
-        kept: list[tuple] = []
-        total = 0
-
-        def flush():
-            h, key, count, kind, lattice = (np.concatenate(x) for x in zip(*kept))
-            block = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
-            order = np.lexsort((key, block))
-            cuts = runs_of(block[order])
-            parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-            binary = lambda a: pa.array([packed(a[p]) for p in parts], pa.binary())
-            # the block holds the upper bits of a hash
-            low = h.view(np.uint8).reshape(-1, 8)[:, :6]
-            return rows(
-                len(parts), block=pa.array([block[p[0]] for p in parts], pa.int32()), hashes=binary(low),
-                keys=pa.array([_pack_keys(key[p]) for p in parts], pa.binary()),
-                counts=binary(count), kinds=binary(kind), lattice=binary(lattice),
-            )
-
+        packet = TaskContext.get().partitionId() << 32
+        docs: list[tuple] = []
+        pairs: list[tuple] = []
+        n_docs = n_pairs = 0
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             kinds = batch.column(2).to_numpy()
@@ -441,78 +498,48 @@ def _reader(shared, bits: int):
                 own = np.zeros_like(c)
                 own[common] = model.log_p(c[common], log_p[common])
                 score = np.stack([np.bincount(doc, own[inverse, k], n) for k in range(c.shape[1])], axis=1)
-                keys = next_key + np.arange(n)
-                next_key += n
-                yield rows(
-                    n,
-                    block=pa.array(np.full(n, -1, np.int32)),
-                    doc_id=batch.column(0).slice(a, n),
-                    key=pa.array(keys),
-                    kind=pa.array(kinds[a:b], pa.int32()),
-                    n_tokens=pa.array(np.diff(words.at) + 1),
-                    known=pa.array(np.bincount(doc[common[inverse]], minlength=n)),
-                    base=pa.array(np.bincount(doc, base[inverse], n)),
-                    score=_lists(score),
+                known = np.bincount(doc[common[inverse]], minlength=n)
+                docs.append(
+                    (batch.column(0).slice(a, n).to_pylist(), kinds[a:b], np.diff(words.at) + 1, known, np.bincount(doc, base[inverse], n), score)
                 )
                 rare = ~common[inverse]
-                pairs, count = np.unique(doc[rare] * len(h) + inverse[rare], return_counts=True)
-                if len(pairs):
-                    owner, word = pairs // len(h), pairs % len(h)
-                    kind = kinds[a:b][owner].astype(np.int8)
-                    kept.append((h[word], keys[owner], count.astype(np.uint32), kind, log_p[word].astype(np.float32)))
-                    total += len(pairs)
-                if total >= BLOCK:
-                    yield flush()
-                    kept, total = [], 0
-        if total:
-            yield flush()
+                found, count = np.unique(doc[rare] * len(h) + inverse[rare], return_counts=True)
+                owner, word = (found // len(h), found % len(h)) if len(found) else (found, found)
+                pairs.append((h[word] if len(found) else h[:0], owner + n_docs, count, log_p[word] if len(found) else log_p[:0]))
+                n_docs, n_pairs = n_docs + n, n_pairs + len(found)
+                if n_pairs >= BLOCK or n_docs >= PACKET_DOCS:
+                    yield from send(packet, docs, pairs)
+                    packet, docs, pairs, n_docs, n_pairs = packet + 1, [], [], 0, 0
+        if docs:
+            yield from send(packet, docs, pairs)
 
     return task
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as the first one and steps, which compress to little."""
-    return packed(keys[:1]) + packed(np.diff(keys).astype(np.uint32))
-
-
-def _unpack_keys(column) -> np.ndarray:
-    out = []
-    for value in column.to_pylist():
-        steps = np.frombuffer(value, np.uint32, offset=8).astype(np.int64)
-        out.append(np.concatenate([[0], np.cumsum(steps)]) + np.frombuffer(value, np.int64, 1))
-    return np.concatenate(out)
-
-
-def _meet(model: WordModel):
-    """One block of words: counts over the training rows, summed by document."""
+def _meet(classes: int):
+    """One block of words: counts over the training rows of all packets, sent back to each packet. A packet's own row passes."""
+    columns = _names(_PACKET)
 
     def task(table: pa.Table) -> pa.Table:
-        raw = unpacked(table.column("hashes"), np.uint8).reshape(-1, 6)
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, :6] = raw
-        h, key = h.view(np.uint64).ravel(), _unpack_keys(table.column("keys"))
-        count, kind = unpacked(table.column("counts"), np.uint32), unpacked(table.column("kinds"), np.int8)
-        lattice = unpacked(table.column("lattice"), np.float32).astype(np.float64)
-        order = np.argsort(h, kind="stable")
-        starts = runs_of(h[order])
-        count, kind = count[order].astype(np.int64), kind[order]
-        classes = len(model.tokens)
-        c = np.stack([np.add.reduceat(np.where(kind == k, count, 0), starts[:-1]) for k in range(classes)], axis=1)
-        lattice = lattice[order][starts[:-1]]
-        log_p, all_c = model.log_p(c, lattice), c.sum(axis=1)
-        word = np.repeat(np.arange(len(c)), np.diff(starts))
-        key = key[order]
-        ids, at = np.unique(key, return_inverse=True)
-        known = np.bincount(at, np.where(all_c[word] > 0, count, 0), len(ids)).astype(np.int64)
-        base = np.bincount(at, count * np.log10(all_c + 1.0)[word], len(ids))
-        score = np.stack([np.bincount(at, count * log_p[word, k], len(ids)) for k in range(classes)], axis=1)
-        group = (ids >> 40) * 64 + (ids >> 12) % 64  # documents that were read together
-        order = np.argsort(group, kind="stable")
-        cuts = runs_of(group[order])
-        parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-        binary = lambda a: pa.array([packed(a[p]) for p in parts], pa.binary())
-        sums = {"keys": binary(ids), "known": binary(known), "base": binary(base), "score": binary(score)}
-        return pa.table({"g": pa.array([int(group[p[0]]) for p in parts], pa.int64())} | sums)
+        blocks = table.column("block")
+        if blocks[0].as_py() < 0:
+            return table.select(["block", *columns]).append_column("answer", pa.nulls(len(table), pa.binary()))
+        lengths = [len(k) for k in table.column("kinds").to_pylist()]
+        kind = unpacked(table.column("kinds"), np.int8)
+        count = np.concatenate([_from_planes(v) for v in table.column("counts").to_pylist()])
+        h = np.zeros((len(kind), 8), np.uint8)
+        h[:, :6] = unpacked(table.column("hashes"), np.uint8).reshape(-1, 6)
+        h = h.view(np.uint64).ravel()
+        ids, word = np.unique(h, return_inverse=True)
+        c = np.stack([np.bincount(word[kind == k], count[kind == k], len(ids)) for k in range(classes)]).astype(np.uint32)
+        answers = []
+        for b, n in zip(np.cumsum(lengths), lengths):
+            asked = word[b - n : b]
+            asked = asked[runs_of(asked)[:-1]]  # a word of several classes is asked for once
+            answers.append(_planes(c[:, asked].ravel()))
+        given = {"block": blocks, "packet": table.column("packet"), "answer": pa.array(answers, pa.binary())}
+        names = ["block", *columns, "answer"]
+        return pa.table([given.get(n, table.column(n) if n in table.column_names else None) for n in names], names=names)
 
     return task
 
@@ -523,20 +550,37 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
 
 
-def _add(classes: int):
-    """Sums of all blocks for the documents of a group."""
+def _add(model: WordModel):
+    """The documents of a packet with the sums over all their words."""
+    classes = len(model.tokens)
 
     def task(table: pa.Table) -> pa.Table:
-        key, known = unpacked(table.column("keys"), np.int64), unpacked(table.column("known"), np.int64)
-        base, score = unpacked(table.column("base"), np.float64), unpacked(table.column("score"), np.float64)
-        ids, at = np.unique(key, return_inverse=True)
-        score = score.reshape(len(key), classes)
+        own, answers = None, []
+        for block, row in zip(table.column("block").to_pylist(), range(len(table))):
+            if block < 0:
+                own = {c: table.column(c)[row].as_py() for c in _names(_PACKET)}
+            else:
+                answers.append((block, _from_planes(table.column("answer")[row].as_py()).reshape(classes, -1)))
+        c = [x for _, x in sorted(answers, key=lambda x: x[0])]
+        c = np.concatenate(c, axis=1) if c else np.zeros((classes, 0), np.uint32)
+        column = lambda name, kind: np.frombuffer(own[name], kind)
+        degree, owner, uses = (_from_planes(own[x]).astype(np.int64) for x in ("degree", "owner", "uses"))
+        lattice = column("lattice", np.float32).astype(np.float64)
+        n = len(own["doc_id"])
+        score = column("score", np.float64).reshape(n, classes).copy()
+        all_c = c.sum(axis=0, dtype=np.int64)
+        known = np.bincount(owner, np.repeat(all_c > 0, degree) * uses, n).astype(np.int64)
+        base = np.bincount(owner, np.repeat(np.log10(all_c + 1.0), degree) * uses, n)
+        for k in range(classes):
+            score[:, k] += np.bincount(owner, np.repeat(model.log_p_of(k, c[k].astype(np.float64), lattice), degree) * uses, n)
         return pa.table(
             {
-                "key": ids,
-                "tail_known": np.bincount(at, known, len(ids)).astype(np.int64),
-                "tail_base": np.bincount(at, base, len(ids)),
-                "tail": _lists(np.stack([np.bincount(at, score[:, k], len(ids)) for k in range(classes)], axis=1)),
+                "doc_id": pa.array(own["doc_id"], pa.int64()),
+                "kind": column("kind", np.int32),
+                "n_tokens": column("n_tokens", np.int64),
+                "known": column("known", np.int64) + known,
+                "base": column("base", np.float64) + base,
+                "score": _lists(score),
             }
         )
 

@@ -173,3 +173,65 @@ def test_identified_keeps_columns_named_like_results(spark):
     kept = LI.identified(docs, LI.fit(docs, F.lit(True)))
     assert kept.dtypes == docs.dtypes
     assert sorted(map(tuple, kept.collect())) == sorted(rows)
+
+
+def plain_scores(rows, pieces, held):
+    """Log10 probabilities of the texts in ``rows`` (id, text, class), word by word and class by class."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    classes = sorted({k or "" for d, _, k in rows if not held[d]})
+    counts = {k: {} for k in classes}
+    docs = dict.fromkeys(classes, 0)
+    for d, t, k in rows:
+        if not held[d]:
+            docs[k or ""] += 1
+            for w in words(t):
+                counts[k or ""][w] = counts[k or ""].get(w, 0) + 1
+    total = {}
+    for own in counts.values():
+        for w, c in own.items():
+            total[w] = total.get(w, 0) + c
+    once, twice = (sum(c == x for c in total.values()) for x in (1, 2))
+    less = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+    out = []
+    for d, t, _ in rows:
+        paths = []
+        for k in classes:
+            n = sum(counts[k].values())
+            end = (docs[k] + 1) / (n + docs[k] + 2)
+            x = math.log((docs[k] + 0.5) / (sum(docs.values()) + 0.5 * len(classes))) + math.log(end)
+            for w in words(t):
+                lattice = math.exp(pieces.forward_one(w.encode()))
+                p = (max(counts[k].get(w, 0) - less, 0) + less * len(counts[k]) * lattice) / n if n else lattice
+                x += math.log(p) + math.log(1 - end)
+            paths.append(x)
+        top = max(paths)
+        out.append((str(d), round((top + math.log(sum(math.exp(x - top) for x in paths))) / math.log(10), 4)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("head,block,docs", [(200_000, 1 << 20, 1 << 15), (20, 40, 1 << 15), (20, 1 << 20, 7)])
+def test_delivered_scores_are_those_of_a_plain_version(spark, monkeypatch, head, block, docs):
+    rows = [(i, "the cat sat " * (i % 5) + f"word{i % 23} x{i}", ("a", "b", None)[i % 3]) for i in range(90)]
+    rows += [(100, None, "a"), (101, "", "c"), (102, "unseen cat", "zz"), (7, rows[7][1], "a"), (103, "the only " * 40, "d")]
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    learn = Q.crc_mod(F.col("doc_id"), 7) != 2
+    words = LM.count_words(df.where(learn).select("text"))
+    pieces = LM.estimate(words, rounds=1)
+    monkeypatch.setattr(LM, "HEAD", head)
+    monkeypatch.setattr(LM, "BLOCK", block)
+    monkeypatch.setattr(LM, "PACKET_DOCS", docs)
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in LM.scores(df, learn, kind="lang", rounds=1).collect())
+    want = plain_scores(rows, pieces, held)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-4)
+
+
+def test_further_classes_share_one(spark):
+    rows = [(i, f"word{i % 9} tail{i}", f"k{i % 70:02d}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    pooled = [(d, t, "~" if int(k[1:]) >= 63 else k) for d, t, k in rows]  # ten classes have a row more and come first
+    pieces = LM.estimate(LM.count_words(df.select("text")), rounds=0)
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in LM.scores(df, F.lit(True), kind="lang", rounds=0).collect())
+    want = plain_scores(pooled, pieces, dict.fromkeys(range(150), False))
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-4)
