@@ -159,11 +159,18 @@ def sample(labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> DataFr
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``docs`` without ``text``, plus the features and ``toxicity`` (0 to 1), in place of columns of these names.
+    """``docs`` without ``text``, plus ``toxicity`` (0 to 1), in place of a column of this name, and the struct ``features``,
+    unless ``docs`` has a column of that name; all other columns come back untouched, whatever their names.
 
     ``learn`` is a condition on ``doc_id`` that says which labels may be learned from.
     """
-    docs = bounded_batches(docs).drop(*FEATURES, "toxicity")
+    docs = bounded_batches(docs).drop("toxicity")
+    kept = [c for c in docs.columns if c != "text"]
+    back = [F.col(f"__in_{i}").alias(c) for i, c in enumerate(kept)]
+    if "features" not in kept:
+        back.append(F.struct(*FEATURES).alias("features"))
+    # columns are carried under other names, so that none is taken for a feature
+    carried = docs.select("text", *[F.col(c).alias(f"__in_{i}") for i, c in enumerate(kept)])
     chosen = materialize(sample(labels, learn, max_rows), "sample")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     texts = materialize(texts.select("text", "toxic", "part"), "labelled")
@@ -171,9 +178,9 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
         F.count_if((F.col("part") == p) & (F.col("toxic") == y)).alias(f"n{p}{y}") for p in (0, 1, 2) for y in (0, 1)
     ]))
     lexicon = learn_lexicon(texts.where("part = 0"))
-    scored = dense(docs, lexicon)
+    scored = dense(carried, lexicon)
     if min(size[k] for k in size if k != "share") == 0:
-        return scored.withColumn("toxicity", F.lit(float(size["share"] or 0.0)))
+        return scored.select(*back, F.lit(float(size["share"] or 0.0)).alias("toxicity"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
     train = materialize(dense(texts.where("part > 0"), lexicon), "features")
     train = vectors.transform(train).withColumn("toxic", F.col("toxic").cast("double"))
@@ -186,4 +193,4 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
     held = trees.transform(train.where("part = 2")).select(margin.alias("__margin"), "toxic")
     curve = IsotonicRegression(featuresCol="__margin", labelCol="toxic", predictionCol="toxicity").fit(held)
     out = trees.transform(vectors.transform(scored)).withColumn("__margin", margin)
-    return curve.transform(out).drop("__features", "__raw", "__p", "__y", "__margin")
+    return curve.transform(out).select(*back, "toxicity")

@@ -235,3 +235,13 @@ def test_further_classes_share_one(spark):
     got = sorted((str(r.doc_id), round(r.score, 4)) for r in LM.scores(df, F.lit(True), kind="lang", rounds=0).collect())
     want = plain_scores(pooled, pieces, dict.fromkeys(range(150), False))
     assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-4)
+
+
+def test_toxicity_keeps_columns_named_like_features(spark):
+    docs = [(i, "you idiot" if i % 2 else "a fine day", f"l{i}", i) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, length string, hits int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    for known in (labels, labels.limit(0)):
+        got = TX.score(df, known, F.lit(True))
+        assert got.columns == ["doc_id", "length", "hits", "features", "toxicity"]
+        assert {(r.doc_id, r.length, r.hits) for r in got.collect()} == {(i, f"l{i}", i) for i in range(60)}
