@@ -146,7 +146,8 @@ from documents d left join sizes using (doc_id) left join reached on origin = d.
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = materialize(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    sized = materialize(sized, "sizes")
     mixed = mixing.copies(sized, mixing.plan(sized))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -95,3 +95,28 @@ def test_rows_of_the_mix(spark):
 def test_words_are_counted(spark):
     df = spark.createDataFrame([(None,), ("",), (" a\tb\x0bc d ",)], "text string")
     assert [r[0] for r in df.select(M.n_words(df.text)).collect()] == [0, 0, 3]
+
+
+def test_equal_and_null_ids_are_drawn_one_by_one(spark):
+    """Sources whose ids are all null or equal reach their targets to half of a document, too."""
+    rows = [(None, "a", f"w{i} x y z", i) for i in range(100)] + [(None, "c", "same text of five", 0)] * 60
+    rows += [(7, "b", " ".join(["v"] * (1 + i % 4)), i) for i in range(90)] + [(i, "d", "q " * (i % 7), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, nr int").repartition(5)
+    total = {}
+    for _, s, t, _ in rows:
+        total[s] = total.get(s, 0) + len(t.split())
+    target = plain_targets(total)
+    out = [r for r in M.mixed(df).collect()]
+    for s in total:
+        taken = sum(len(r.text.split()) for r in out if r.source == s)
+        assert abs(taken - target[s]) <= 3.5, (s, taken, target[s])
+    again = M.mixed(df.repartition(2)).collect()
+    key = lambda r: (r.source, str(r.doc_id), r.text)
+    assert sorted(map(key, again)) == sorted(map(key, out))
+    copies = {}
+    for r in out:
+        copies[r.source, r.nr] = copies.get((r.source, r.nr), 0) + 1
+    # no row of a source stands there two times more often than another
+    for s in ("a", "b"):
+        found = [copies.get((s, i), 0) for i in range(100 if s == "a" else 90)]
+        assert max(found) - min(found) <= 1
