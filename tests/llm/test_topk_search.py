@@ -50,3 +50,27 @@ def test_sign_codes(spark):
     df = spark.createDataFrame([([1.0, -1.0, 0.0, None],), (None,)], "v array<double>")
     got = [r[0] for r in df.select(K.sign_code(df.v, 18)).collect()]
     assert got == [[0b101, 0], None]
+
+
+def test_ids_on_many_codes_keep_their_neighbours(spark):
+    """More codes of the query's own id nearby than neighbours are wanted: others still fill all places."""
+    rng = random.Random(3)
+    near = lambda base, n: [base[0] ^ sum(1 << b for b in rng.sample(range(16), n)), *base[1:]]
+    base = [rng.getrandbits(16) for _ in range(4)]
+    rows = [(20, near(base, i % 3)) for i in range(25)] + [(i, near(base, 3 + i % 4)) for i in range(100, 114)]
+    shared = near(base, 1)
+    rows += [(20, shared), (5, shared), (200, shared), (40, base), (60, base), (60, [0, 0, 0, 0])]
+    df = spark.createDataFrame(rows, CODES)
+    queries = [r for r in rows if r[0] % 20 == 0]
+    got = K.top_k(df, spark.createDataFrame(queries, CODES), 10, 64).collect()
+    for q in (20, 40, 60):
+        own = sorted((r.rank, r.distance, r.neighbour_id) for r in got if r.query_id == q)
+        assert [r for r, _, _ in own] == list(range(1, 11)) and all(i != q for _, _, i in own)
+    best = brute(rows, [r for r in queries if r[0] == 40], 10)
+    assert sorted(tuple(r) for r in got if r.query_id == 40) == best
+    # all pairs of a query's codes with others' codes, nearest first
+    all_pairs = sorted(
+        (sum((x ^ y).bit_count() for x, y in zip(c, d)), i)
+        for c in {tuple(c) for j, c in queries if j == 20} for i, d in {(i, tuple(d)) for i, d in rows} if i != 20
+    )
+    assert [(r.distance, r.neighbour_id) for r in sorted((r for r in got if r.query_id == 20), key=lambda r: r.rank)] == all_pairs[:10]
