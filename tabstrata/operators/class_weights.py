@@ -1,40 +1,33 @@
 """Per-class probability weights that maximise balanced accuracy.
 
-Scaling all weights leaves the argmax unchanged, so only the K-1 ratios to class 0 are searched:
-a log-spaced grid of positive candidates is scored for all folds in one pass, then finer grids are
-laid around each fold's best. A row is paired with the candidates of a fixed, small list and
-folded into confusion counts map-side; nothing per row leaves its task. The training counts of a
-fold are the totals minus the fold's own.
+Scaling all weights leaves the argmax unchanged, so only the K-1 ratios to class 0 are searched: a log-spaced grid of positive
+candidates is scored for all folds in one pass, then finer grids are laid around each fold's best. Whole grids are scored from
+counts of cells (:mod:`tabstrata.operators.weight_cells`); lists of other candidates by pairing each row with every candidate,
+folded into confusion counts map-side. The training counts of a fold are the totals minus the fold's own.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabstrata.functions import proba as P
 from tabstrata.operators.folds import plain_folds
 from tabstrata.operators.metrics import balanced_accuracy, confusion
-
-MAX_CANDIDATES = 2_000
+from tabstrata.operators.weight_cells import grid_scores, grid_size, grid_weights
 
 
 def log_grid(k: int, half: int = 4, unit: float = 1.0, center: list[float] | None = None) -> list[list[float]]:
-    """Weight vectors (w_0 = center_0) with ratios 2**(unit * e), e in -half..half, all classes.
+    """Weight vectors (w_0 = center_0) with ratios 2**(unit * e), e in -half..half, for all classes."""
+    centers = [center or [1.0] * k]
+    return [grid_weights(i, centers, half, unit) for i in range(grid_size(k, half))]
 
-    With too many classes for a full grid, one class at a time is varied.
-    """
+
+def axis_grid(k: int, half: int = 4, unit: float = 1.0, center: list[float] | None = None) -> list[list[float]]:
+    """The center and the vectors that vary one class of it by 2**(unit * e), e in -half..half."""
     center = center or [1.0] * k
-    steps = [2.0 ** (unit * e) for e in range(-half, half + 1)]
-    if len(steps) ** (k - 1) <= MAX_CANDIDATES:
-        combos = product(steps, repeat=k - 1)
-        return [[center[0]] + [c * s for c, s in zip(center[1:], combo)] for combo in combos]
-    out = [list(center)]
-    for j in range(1, k):
-        out += [[c * (s if i == j else 1.0) for i, c in enumerate(center)] for s in steps if s != 1.0]
-    return out
+    steps = [2.0 ** (unit * e) for e in range(-half, half + 1) if e]
+    return [list(center)] + [[c * s if i == j else c for i, c in enumerate(center)] for j in range(1, k) for s in steps]
 
 
 def candidate_array(candidates: list[list[float]]) -> Column:
@@ -107,55 +100,57 @@ def fit_class_weights(
     mode: str = "train",
     seed=42,
     refinements: int = 2,
-    merge_equal: bool = False,
+    grid: str = "full",
 ) -> ClassWeights:
-    """Mean over folds of the best weights of each fold; ``k_folds <= 1`` fits once on all rows."""
+    """Mean over folds of the best weights of each fold; ``k_folds <= 1`` fits once on all rows.
+
+    Every fold chooses among the candidates around the best of all folds. ``grid`` "full" varies all classes together (up to six
+    classes, ValueError beyond), "axis" one class at a time, repeated by the refinements; the caller chooses.
+    """
     if mode not in ("train", "valid"):
         raise ValueError("mode is 'train' or 'valid'")
+    if grid not in ("full", "axis"):
+        raise ValueError("grid is 'full' or 'axis'")
     k = len(ps)
     single = not k_folds or k_folds <= 1
     if single:
         data, k_folds, mode = df.select(label, *ps).withColumn("__f", F.lit(0)), 1, "valid"
     else:
         data = plain_folds(df.select(key, label, *ps), key, k_folds, seed, "__f")
-    if merge_equal:
-        data = data.groupBy("__f", label, *ps).agg(F.count(F.lit(1)).alias("__m"))
     data = data.persist()
     try:
-        candidates, unit = log_grid(k), 1.0
+        centers, half, unit = [[1.0] * k], 4, 1.0
         for step in range(refinements + 1):
-            best = _best(data, label, ps, candidates, k_folds, mode, merge_equal)
-            chosen = [candidates[best[j]] for j in range(k_folds)]
-            if step == refinements:
-                break
-            unit /= 4.0
-            candidates = []
-            for c in chosen:
-                candidates += [w for w in log_grid(k, 3, unit, c) if w not in candidates]
+            if step:
+                centers = [c for i, c in enumerate(chosen) if c not in chosen[:i]]
+                half, unit = 3, unit / 4.0
+            if grid == "full":
+                scores = grid_scores(data, label, ps, "__f", k_folds, mode, half, unit, centers)
+                weights = lambda i: grid_weights(i, centers, half, unit)
+            else:
+                listed = [w for c in centers for w in axis_grid(k, half, unit, c)]
+                counts = score_candidates(data, label, ps, listed, ["__f"])
+                scores = candidate_scores(counts, "__f", k_folds, mode)
+                weights = listed.__getitem__
+            best = {r["outer_fold"]: r["cand"] for r in best_per_fold(scores).collect()}  # k_folds rows
+            if len(best) < k_folds:
+                raise ValueError("a fold without rows has no best weights")
+            chosen = [weights(best[j]) for j in range(k_folds)]
     finally:
         data.unpersist()
     mean = [sum(w[i] for w in chosen) / k_folds for i in range(k)]
     return ClassWeights(mean, chosen)
 
 
-def _best(data, label, ps, candidates, k_folds, mode, merged) -> dict[int, int]:
-    if merged:
-        spread = data.withColumn("__c", F.explode(candidate_array(candidates)))
-        pred = P.argmax(P.weighted(ps, [F.col(f"__c.w{i}") for i in range(len(ps))]))
-        counts = spread.groupBy("__f", F.col("__c.cand").alias("cand"), F.col(label).alias("y"), pred.alias("pred"))
-        counts = counts.agg(F.sum("__m").alias("n"))
-    else:
-        counts = score_candidates(data, label, ps, candidates, ["__f"])
-    best = best_per_fold(candidate_scores(counts, "__f", k_folds, mode))
-    return {r["outer_fold"]: r["cand"] for r in best.collect()}  # k_folds rows
-
-
 __all__ = [
     "ClassWeights",
+    "axis_grid",
     "best_per_fold",
     "candidate_scores",
     "confusion",
     "fit_class_weights",
+    "grid_scores",
+    "grid_weights",
     "log_grid",
     "score_candidates",
 ]

@@ -417,8 +417,7 @@ _BEST_SQL = (
 )
 def c10(spark, sf):
     df = category_models(spark, sf)
-    counts = CW.score_candidates(df, "class_encoded", B, _GRID, ["fold"], merge_equal=True)
-    best = CW.best_per_fold(CW.candidate_scores(counts, "fold", 5, "train"))
+    best = CW.best_per_fold(CW.grid_scores(df, "class_encoded", B, "fold", 5, "train"))
     w = F.element_at(CW.candidate_array(_GRID), F.col("cand") + 1)
     return rounded(
         best.select("outer_fold", "cand", *[w[f"w{i}"].alias(f"w{i}") for i in range(K)], "balanced_accuracy")
@@ -428,7 +427,7 @@ def c10(spark, sf):
 @query("c10_class_weight_fit")
 def c10_fit(spark, sf):
     df = category_models(spark, sf)
-    fit = CW.fit_class_weights(df, "class_encoded", B, merge_equal=True)
+    fit = CW.fit_class_weights(df, "class_encoded", B)
     scored = ME.balanced_accuracy(ME.confusion(df, "class_encoded", fit.predict(B)))
     plain = ME.balanced_accuracy(ME.confusion(df, "class_encoded", P.argmax(B)), out="unweighted")
     one = scored.withColumn("unweighted", plain.scalar())
@@ -571,21 +570,18 @@ _AVG = [f"((a_{c} + b_{c}) / 2e0)" for c in range(K)]
     f"""with {MODELS_SQL.replace(', m as (', ', m0 as (')}, m as (select id, fold, y, {', '.join(f'{a} as s_{c}' for c, a in enumerate(_AVG))} from m0),
       {_CAND_SQL}, {_score_sql(['s_0', 's_1', 's_2'], 'v.fold = k.fold')},
       a as (select cand, avg(balanced_accuracy) as balanced_accuracy from s group by 1)
-      select a.cand, {RS('w0', 'w1', 'w2')}, {R('balanced_accuracy', 'balanced_accuracy')} from a join c on c.cand = a.cand
-      order by round(balanced_accuracy, 9) desc, a.cand limit 10""",
+      select a.cand, {RS('w0', 'w1', 'w2')}, {R('balanced_accuracy', 'balanced_accuracy')} from a join c on c.cand = a.cand""",
 )
 def slice0(spark, sf):
-    """Ten best class-weight candidates for the averaged out-of-fold probabilities of two models."""
+    """All class-weight candidates of the grid for the averaged out-of-fold probabilities of two models."""
     layer = category_models(spark, sf)
     mean = layer.select(
         "id", "fold", "class_encoded", *[((F.col(a) + F.col(b)) / 2.0).alias(f"s_{c}") for c, (a, b) in enumerate(zip(A, B))]
     )
-    counts = CW.score_candidates(mean, "class_encoded", ["s_0", "s_1", "s_2"], _GRID, ["fold"], merge_equal=True)
-    per_fold = CW.candidate_scores(counts, "fold", 5, "valid")
+    per_fold = CW.grid_scores(mean, "class_encoded", ["s_0", "s_1", "s_2"], "fold", 5, "valid")
     scores = per_fold.groupBy("cand").agg(F.avg("balanced_accuracy").alias("balanced_accuracy"))
     w = F.element_at(CW.candidate_array(_GRID), F.col("cand") + 1)
-    top = scores.orderBy(F.round("balanced_accuracy", 9).desc(), "cand").limit(10)
-    return rounded(top.select("cand", *[w[f"w{i}"].alias(f"w{i}") for i in range(K)], "balanced_accuracy"))
+    return rounded(scores.select("cand", *[w[f"w{i}"].alias(f"w{i}") for i in range(K)], "balanced_accuracy"))
 
 
 __all__ = ["CLASSES", "QUERIES", "ORACLE", "category_models", "MODELS_SQL", "unit_hash"]

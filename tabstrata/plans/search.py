@@ -10,12 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabstrata.functions import proba as P
-from tabstrata.operators.class_weights import (
-    best_per_fold,
-    candidate_scores,
-    log_grid,
-    score_candidates,
-)
+from tabstrata.operators.class_weights import best_per_fold, grid_scores, grid_weights
 from tabstrata.operators.metrics import log_loss, row_log_loss, running_mean
 from tabstrata.plans import parzen
 from tabstrata.plans.pipeline import Pipeline
@@ -177,16 +172,14 @@ def joint_objective(df: DataFrame, label: str, fold: str, k_folds: int, build, w
 
 def weight_scan(scored: DataFrame, label: str, ps: list[str], fold: str, k_folds: int) -> tuple[list[float], float]:
     """Best class weights for given out-of-fold probabilities: many weight vectors from one fit."""
-    grid = log_grid(len(ps))
-    counts = score_candidates(scored, label, ps, grid, [fold])
-    per_fold = candidate_scores(counts, fold, k_folds, "valid")
+    per_fold = grid_scores(scored, label, ps, fold, k_folds, "valid")
     top = (
         per_fold.groupBy("cand")
         .agg(F.avg("balanced_accuracy").alias("v"))
         .orderBy(F.round("v", 9).desc(), "cand")
         .first()
     )
-    return grid[top["cand"]], top["v"]
+    return grid_weights(top["cand"], [[1.0] * len(ps)], 4, 1.0), top["v"]
 
 
 # the same rules on stored tables ------------------------------------------------------------------

@@ -16,7 +16,7 @@ from tabstrata.learners.moments import MomentLearner
 from tabstrata.operators import encode as EN
 from tabstrata.operators import metrics as ME
 from tabstrata.operators import scale as SC
-from tabstrata.operators.class_weights import fit_class_weights, log_grid
+from tabstrata.operators.class_weights import axis_grid, fit_class_weights, log_grid
 from tabstrata.plans.pipeline import Pipeline
 from tabstrata.sources import artifacts
 from tabstrata.sources.tables import CATEGORIES, NUMERIC
@@ -319,4 +319,4 @@ def test_class_weights_beat_plain_argmax(spark):
 
 def test_log_grid_sizes():
     assert len(log_grid(3)) == 81 and log_grid(3)[40] == [1.0, 1.0, 1.0]
-    assert len(log_grid(8)) == 1 + 7 * 8
+    assert len(log_grid(5)) == 9**4 and len(axis_grid(8)) == 1 + 7 * 8
