@@ -12,7 +12,10 @@ from tabstrata.learners.base import LinearModel, partial_sums, require_complete,
 from tabstrata.learners.mllib import SparkLogistic
 from tabstrata.learners.moments import fold_moments, training_moments
 from tabstrata.operators.encode import weights_from_counts
-from tabstrata.runtime import small_rows
+from tabstrata.runtime import Steps, small_rows
+
+
+_STRIP = 256  # numbers of a vector that are added up in one group
 
 
 def _held_out(fold, k_folds):
@@ -99,10 +102,14 @@ class SquaredHingeSVC:
 class AveragedSGD:
     """Stochastic gradient descent on K one-vs-rest problems, for all models at once.
 
-    Every partition runs mini-batch steps from the common coefficients, and the coefficients are
-    averaged over partitions, weighted by rows, after each epoch (Zinkevich et al. 2010). Row order
-    inside a partition does not matter to the averaged result beyond noise. Losses: log_loss,
-    modified_huber, hinge, perceptron. Rates: optimal, adaptive, constant, invscaling.
+    Rows are dealt to shards by a hash of their content; each shard is one ordered pass of mini-batch steps from the common
+    coefficients, and the coefficients are averaged over shards, weighted by rows, in the order of the shards, after each epoch
+    (Zinkevich et al. 2010). Shards, their order and the sums depend on the rows only, so the result is the same, bit by bit,
+    however the table is partitioned. Losses: log_loss, modified_huber, hinge, perceptron. Rates: optimal, adaptive, constant,
+    invscaling.
+
+    Scale: there is a shard for every ``shard_rows`` rows, eight at least; rows are shuffled once, equal ones as one row with a
+    count, which is spread over the shards. A task streams its shards and returns one vector for each.
     """
 
     def __init__(
@@ -122,7 +129,8 @@ class AveragedSGD:
         max_iter=1000,
         n_iter_no_change=5,
         batch=32,
-        key="id",
+        shard_rows=50_000,
+        seed=42,
     ):
         self.__dict__.update({n: v for n, v in locals().items() if n != "self"})
 
@@ -156,59 +164,116 @@ class AveragedSGD:
     def fit_folds(self, df: DataFrame, features, label, fold, k_folds) -> list[LinearModel]:
         k, d = self.k, len(features)
         held = _held_out(fold, k_folds)
-        n_models, size = len(held), (d + 1) * k * len(held)
+        n_models = len(held)
         moments = training_moments(fold_moments(df, features, label, k, fold, k_folds))
         weights = _class_weights(moments, k, self.class_weight)
-        columns = [*features, label] + ([fold] if fold else [])
         l1 = {"l1": 1.0, "l2": 0.0}.get(self.penalty, self.l1_ratio)
+        n_rows = int(moments[-1].n.sum())
+        if not n_rows:
+            raise ValueError("no rows to learn from")
+        steps = Steps(df.sparkSession, "rows")
+        shards = self._deal(df, features, label, fold, max(8, -(-n_rows // self.shard_rows)), steps).persist()
         spec = self
 
         def epoch(coef: np.ndarray, t0: float, scale: np.ndarray) -> np.ndarray:
-            """Row-weighted sum over partitions of (coefficients, average), plus loss, rows, steps."""
+            """Row-weighted sum over shards of (coefficients, average), plus loss, rows, steps."""
+
+            class Pass:
+                """One pass over a shard; rows wait until they fill a mini-batch."""
+
+                def __init__(self, shard: int):
+                    self.shard, self.w, self.loss = shard, coef.copy(), np.zeros(n_models)
+                    self.mean, self.count, self.steps = np.zeros_like(coef), 0, 0
+                    self.rest = np.zeros((0, d + 3))
+
+                def add(self, rows: np.ndarray) -> None:
+                    rows = np.concatenate([self.rest, rows])
+                    full = len(rows) - len(rows) % spec.batch
+                    for a in range(0, full, spec.batch):
+                        self.step(rows[a : a + spec.batch])
+                    self.rest = rows[full:]
+
+                def step(self, rows: np.ndarray) -> None:
+                    x = rows[:, : d + 1].copy()
+                    y, f = rows[:, d + 1].astype(int), rows[:, d + 2]
+                    w = self.w
+                    mask = training_rows(f if fold else None, len(y), held)
+                    sign = np.where(y[:, None] == np.arange(k)[None, :], 1.0, -1.0)
+                    margin = np.einsum("nd,mkd->nmk", x, w) * sign[:, None, :]
+                    value, slope = spec._slope(margin)
+                    cost = mask * weights[:, y].T
+                    self.loss += (cost[:, :, None] * value).sum(axis=(0, 2))
+                    pull = cost[:, :, None] * slope * sign[:, None, :]
+                    grad = np.einsum("nmk,nd->mkd", pull, x) / len(y)
+                    # a mini-batch step replaces len(y) single ones; a longer stride, bounded
+                    eta = np.minimum(spec._eta(t0 + self.steps + 1.0, scale) * min(len(y), 8), 1.0)
+                    w[:, :, :-1] *= np.maximum(0.0, 1.0 - eta * spec.alpha * (1.0 - l1))
+                    w += eta * grad
+                    if l1:
+                        cut = eta * spec.alpha * l1
+                        body = w[:, :, :-1]
+                        w[:, :, :-1] = np.sign(body) * np.maximum(np.abs(body) - cut, 0.0)
+                    self.steps += len(y)
+                    self.count += 1
+                    self.mean += (w - self.mean) / self.count
+
+                def close(self) -> pa.RecordBatch:
+                    if len(self.rest):
+                        self.step(self.rest)
+                    n = self.steps
+                    flat = np.concatenate([self.w.ravel() * n, self.mean.ravel() * n, self.loss, [n, n]])
+                    strips = [flat[a : a + _STRIP] for a in range(0, len(flat), _STRIP)]
+                    shard = pa.array(np.full(len(strips), self.shard, dtype=np.int64))
+                    at = pa.array(np.arange(len(strips)))
+                    return pa.RecordBatch.from_arrays([shard, at, pa.array(strips, pa.list_(pa.float64()))], names=["shard", "strip", "v"])
 
             def run(batches):
-                w, total, steps, loss = coef.copy(), 0, 0, np.zeros(n_models)
-                mean, count = np.zeros_like(w), 0
+                current = None
                 for batch in batches:
-                    pdf = batch.to_pandas()
-                    x_all = np.column_stack(
-                        [pdf[features].to_numpy(dtype=np.float64), np.ones(len(pdf))]
-                    )
-                    y_all = pdf[label].to_numpy()
-                    f_all = pdf[fold].to_numpy() if fold else None
-                    for a in range(0, len(y_all), spec.batch):
-                        x, y = x_all[a : a + spec.batch], y_all[a : a + spec.batch]
-                        f = f_all[a : a + spec.batch] if fold else None
-                        mask = training_rows(f, len(y), held)
-                        sign = np.where(y[:, None] == np.arange(k)[None, :], 1.0, -1.0)
-                        margin = np.einsum("nd,mkd->nmk", x, w) * sign[:, None, :]
-                        value, slope = spec._slope(margin)
-                        cost = mask * weights[:, y].T
-                        loss += (cost[:, :, None] * value).sum(axis=(0, 2))
-                        pull = cost[:, :, None] * slope * sign[:, None, :]
-                        grad = np.einsum("nmk,nd->mkd", pull, x) / max(len(y), 1)
-                        # a mini-batch step replaces len(y) single ones; a longer stride, bounded
-                        eta = np.minimum(spec._eta(t0 + steps + 1.0, scale) * min(len(y), 8), 1.0)
-                        w[:, :, :-1] *= np.maximum(0.0, 1.0 - eta * spec.alpha * (1.0 - l1))
-                        w += eta * grad
-                        if l1:
-                            cut = eta * spec.alpha * l1
-                            body = w[:, :, :-1]
-                            w[:, :, :-1] = np.sign(body) * np.maximum(np.abs(body) - cut, 0.0)
-                        steps += len(y)
-                        count += 1
-                        mean += (w - mean) / count
-                    total += len(y_all)
-                if total:
-                    flat = np.concatenate([w.ravel() * total, mean.ravel() * total, loss, [total, steps]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["pos", "v"])
-
-            parts = df.select(*columns).mapInArrow(run, "pos long, v double")
-            sums = parts.groupBy("pos").agg(F.sum("v").alias("v")).toArrow()
-            out = np.zeros(2 * size + n_models + 2)
-            out[sums.column("pos").to_numpy()] = sums.column("v").to_numpy()
-            return out
-
+                    shard, times = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, batch.num_columns)]
+                    rows = np.column_stack([*columns[:d], np.ones(len(shard)), *columns[d:]])
+                    for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                        if not len(part):
+                            continue
+                        if current is None or current.shard != shard[part[0]]:
+                            if current is not None:
+                                yield current.close()
+                            current = Pass(int(shard[part[0]]))
+                        current.add(rows[np.repeat(part, times[part])])
+                if current is not None:
+                    yield current.close()
+
+            def total(pdf: pd.DataFrame) -> pd.DataFrame:
+                stacked = np.stack(pdf.sort_values("shard")["v"].to_list())
+                return pd.DataFrame({"strip": pdf["strip"].iloc[:1], "v": [np.cumsum(stacked, axis=0)[-1]]})
+
+            parts = shards.mapInArrow(run, "shard long, strip long, v array<double>")
+            sums = parts.groupBy("strip").applyInPandas(total, "strip long, v array<double>").toPandas()
+            return np.concatenate(sums.sort_values("strip")["v"].to_list())
+
+        try:
+            return self._epochs(epoch, n_models, k, d, features)
+        finally:
+            shards.unpersist()
+            steps.close()
+
+    def _deal(self, df, features, label, fold, n_shards: int, steps: Steps) -> DataFrame:
+        """(shard, times, features..., label, fold), each shard whole and in order inside one partition."""
+        x = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+        rest = [F.col(f"`{label}`").cast("double").alias("y"), (F.col(f"`{fold}`") if fold else F.lit(-2)).cast("double").alias("f")]
+        names = [f"x{i}" for i in range(len(features))] + ["y", "f"]
+        # equal rows are counted before they are shuffled; the i-th share of a row goes to the i-th shard from its own
+        rows = df.select(*x, *rest).groupBy(*names).agg(F.count("*").alias("n"))
+        share = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(n_shards).cast("long")) - 1))
+        rows = steps.write(rows.withColumn("h", F.xxhash64(F.lit(self.seed), *names))).withColumn("i", share)
+        times = F.expr(f"n div {n_shards} + int(i < n % {n_shards})").cast("long")
+        shard = F.expr(f"pmod(pmod(h, {n_shards}) + i, {n_shards})")
+        rows = rows.select(shard.alias("shard"), times.alias("times"), *names, F.xxhash64("h", "i").alias("order"))
+        return rows.repartition("shard").sortWithinPartitions("shard", "order", *names).drop("order")
+
+    def _epochs(self, epoch, n_models: int, k: int, d: int, features) -> list[LinearModel]:
+        size = (d + 1) * k * n_models
         shape = (n_models, k, d + 1)
         w, seen, scale = np.zeros(shape), 0.0, np.ones(n_models)
         average, averaged = np.zeros(shape), 0
