@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabstrata.operators.encode import TargetEncoder
 from tabstrata.operators.quantiles import EXACT_LIMIT, quantiles
+from tabstrata.operators.wide_svd import leading_vectors, projected
 
 
 class StandardScaler:
@@ -111,11 +112,14 @@ def gram_entries(df: DataFrame, columns: list[str]) -> DataFrame:
 class TruncatedSVD:
     """Projection on the leading right singular vectors of the uncentred matrix.
 
-    The d x d Gram matrix is one Spark aggregate; its eigenvectors are found on the driver (d is
-    the number of columns), and projecting rows is a column expression. Signs are fixed so that
-    the largest loading of each component is positive.
+    For few columns the d x d Gram matrix is one Spark aggregate, its eigenvectors are found on the driver, and projecting rows
+    is a column expression. Beyond ``GRAM_COLUMNS`` the vectors come from passes over the table
+    (:mod:`tabstrata.operators.wide_svd`); both ways agree to rounding. Signs are fixed so that the largest loading of each
+    component is positive.
     """
 
+    GRAM_COLUMNS = 40
+
     def __init__(self, columns, n_components: int, out="svd_{i}"):
         self.columns, self.n, self.out = list(columns), min(n_components, len(columns)), out
 
@@ -125,17 +129,22 @@ class TruncatedSVD:
 
     def fit(self, df: DataFrame) -> "TruncatedSVD":
         d = len(self.columns)
-        gram = np.zeros((d, d))
-        for r in gram_entries(df, self.columns).collect():  # d(d+1)/2 rows
-            gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["value"]
-        values, vectors = np.linalg.eigh(gram)
-        order = np.argsort(values)[::-1][: self.n]
-        v = vectors[:, order]
+        if d > self.GRAM_COLUMNS:
+            v, singular = leading_vectors(df, self.columns, self.n)
+        else:
+            gram = np.zeros((d, d))
+            for r in gram_entries(df, self.columns).collect():  # d(d+1)/2 rows
+                gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["value"]
+            values, vectors = np.linalg.eigh(gram)
+            order = np.argsort(values)[::-1][: self.n]
+            v, singular = vectors[:, order], np.sqrt(np.maximum(values[order], 0.0))
         v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-        self.components_, self.singular_values_ = v.T, np.sqrt(np.maximum(values[order], 0.0))
+        self.components_, self.singular_values_ = v.T, singular
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if len(self.columns) > self.GRAM_COLUMNS:
+            return projected(df, self.columns, self.components_.T, self.names)
         exprs = []
         for name, row in zip(self.names, self.components_):
             acc = F.col(self.columns[0]) * F.lit(float(row[0]))

@@ -231,6 +231,33 @@ def x9(spark, sf):
     return rounded(svd.transform(df).select("id", *svd.names), 4)
 
 
+@query(
+    "x9_svd_two_columns",
+    f"""with {OBS_SQL}, s as (select sum(u * u) as a, sum(u * redshift) as b, sum(redshift * redshift) as c from obs),
+      l as (select *, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as top,
+                      (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as low from s),
+      w as (select top, low, b / sqrt(b * b + (top - a) * (top - a)) as x, (top - a) / sqrt(b * b + (top - a) * (top - a)) as y from l),
+      v as (select *, case when abs(x) >= abs(y) then sign(x) else sign(y) end as s1, case when abs(y) >= abs(x) then sign(-y) else sign(x) end as s2 from w)
+      select id, {R('s1 * (u * x + redshift * y)', 'svd_0', 4)}, {R('s2 * (redshift * x - u * y)', 'svd_1', 4)},
+             {R('sqrt(top)', 'singular_0', 4)}, {R('sqrt(low)', 'singular_1', 4)} from obs, v""",
+)
+def x9_two(spark, sf):
+    """Both components of two columns, whose vectors have a closed form."""
+    df = observations(spark, sf).select("id", "u", "redshift").persist()
+    svd = SC.TruncatedSVD(["u", "redshift"], 2).fit(df)
+    values = [F.lit(float(s)).alias(f"singular_{i}") for i, s in enumerate(svd.singular_values_)]
+    return rounded(svd.transform(df).select("id", *svd.names, *values), 4)
+
+
+@query("x9_wide_svd")
+def x9_wide(spark, sf):
+    """Three components of the embeddings' elements, found without their Gram matrix."""
+    elements = [F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)]
+    df = table(spark, sf, "embeddings").where(F.size("embedding") >= 64).select("vec_id", *elements).persist()
+    svd = SC.TruncatedSVD([f"e{i}" for i in range(64)], 3).fit(df)
+    return rounded(svd.transform(df).select("vec_id", *svd.names), 4)
+
+
 @query(
     "x10_class_weights",
     f"""with d as (select doc_id, quality from labels where quality is not null),
