@@ -76,14 +76,11 @@ def m15(spark, sf):
     return rounded(mean_scores(df, LABEL, {"raw": (NUMERIC, CATEGORIES)}, K, k_folds=3, cap=2))
 
 
-# learners from the registry, fitted on all rows -----------------------------------------------------
-def _registered(spark, sf, name, params, cap=None, prefix="p", fold="fold"):
-    """Out of fold; with ``fold=None`` one fit scores the rows it was made from."""
+# learners from the registry, out of fold -------------------------------------------------------------
+def _registered(spark, sf, name, params, cap=None, prefix="p"):
     df = training_frame(spark, sf)
     pipe = LEARNERS[name].build(params, K, NUMERIC, CATEGORIES, cap)
-    if fold is None:
-        return _probabilities(pipe.fit(df, LABEL).score(df, prefix), prefix)
-    return _probabilities(pipe.out_of_fold(df, LABEL, fold, 5, prefix), prefix, fold)
+    return _probabilities(pipe.out_of_fold(df, LABEL, "fold", 5, prefix), prefix, "fold")
 
 
 @query("m4_extra_trees")
@@ -103,7 +100,7 @@ def m5(spark, sf):
 
 @query("m7_logistic_regression")
 def m7(spark, sf):
-    return _registered(spark, sf, "logistic_regression", dict(C=1.0, l1_ratio=0.5), 20, "lg", fold=None)
+    return _registered(spark, sf, "logistic_regression", dict(C=1.0, l1_ratio=0.5), None, "lg")
 
 
 @query("m8_ridge_isotonic")
@@ -123,7 +120,7 @@ def m9(spark, sf):
 
 @query("m10_linear_svc")
 def m10(spark, sf):
-    return _registered(spark, sf, "linear_svc", dict(penalty="l2", C=0.1, tol=1e-3), 8, "svc")
+    return _registered(spark, sf, "linear_svc", dict(penalty="l2", C=0.1, tol=1e-3), None, "svc")
 
 
 @query("m11_mlp")

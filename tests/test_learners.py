@@ -119,6 +119,32 @@ def test_squared_hinge_reaches_its_optimum(train):
         assert np.abs(grad).max() < 0.005 * np.abs(start).max()
 
 
+@pytest.mark.parametrize("penalty", ["l1", "l2"])
+def test_svc_reaches_the_minimum_with_every_solver(train, monkeypatch, penalty):
+    """Optimality conditions of all models of a cross-validation; first-order steps end at the same coefficients."""
+    C, k_folds = 0.01, 5
+    svc = SquaredHingeSVC(3, penalty, C=C, tol=1e-9, max_iter=60, class_weight=None)
+    models = svc.fit_folds(train, NUMERIC, "class_encoded", "fold", k_folds)
+    _, fold, y, x = arrays(train)
+    a = np.column_stack([x, np.ones(len(x))])
+    for j, m in enumerate(models):
+        use = fold != j if j < k_folds else np.ones(len(y), dtype=bool)
+        for c in range(3):
+            t = np.where(y[use] == c, 1.0, -1.0)
+            w = np.append(m.coef[c], m.intercept[c])
+            slope = -2 * C * (a[use] * (t * np.maximum(0, 1 - t * (a[use] @ w)))[:, None]).sum(axis=0)
+            if penalty == "l2":
+                assert np.abs(slope + w).max() < 1e-6
+            else:
+                zero = w == 0
+                assert np.abs(slope + np.sign(w))[~zero].max(initial=0.0) < 1e-6 and (np.abs(slope)[zero] <= 1 + 1e-6).all()
+    monkeypatch.setattr(SquaredHingeSVC, "WIDE", 0)
+    slow = SquaredHingeSVC(3, penalty, C=0.001, tol=1e-6, max_iter=60, class_weight=None).fit(train, NUMERIC, "class_encoded")
+    monkeypatch.setattr(SquaredHingeSVC, "WIDE", 200)
+    fast = SquaredHingeSVC(3, penalty, C=0.001, tol=1e-9, class_weight=None).fit(train, NUMERIC, "class_encoded")
+    assert np.abs(slow.coef - fast.coef).max() < 0.02 * np.abs(fast.coef).max()
+
+
 def test_l1_penalty_zeroes_coefficients(train):
     fit = SquaredHingeSVC(3, "l1", C=0.002, max_iter=30).fit(train, NUMERIC, "class_encoded")
     assert (fit.coef == 0).mean() > 0.3
