@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabstrata.runtime import Steps
+from tabstrata.runtime import Steps, bounded_batches  # noqa: F401
 
 #: Bytes of text that a task turns into numpy arrays at a time; a longer text is a slice of its own.
 SLICE = 512 << 10
-#: Bytes in one Arrow batch of texts; Spark's own bound counts rows, however long they are.
-BATCH = 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -26,14 +24,6 @@ _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def bounded_batches(docs: DataFrame) -> DataFrame:
-    """``docs``; from now on Arrow batches of its session are bounded by bytes, unless a bound is set."""
-    conf, key, unset = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH + 1)
-    if conf.get(key, unset) == unset:
-        conf.set(key, str(BATCH))
-    return docs
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit integers, so that any slice of them can serve as a hash."""
     x = x ^ (x >> np.uint64(30))

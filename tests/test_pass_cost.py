@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabstrata.learners.base import BLOCK_STRIPS, STRIP, partial_sums
+from tabstrata.functions.hashing import unit_hash
+from tabstrata.learners import boosting as BO
+from tabstrata.learners.base import BLOCK_STRIPS, ROWS, STRIP, blocks, partial_sums, rows_of
 from tabstrata.plans.fixtures import training_frame
 from tabstrata.runtime import ROWS_PER_TASK, fewer_tasks
 
@@ -37,3 +39,60 @@ def test_sums_over_blocks_keep_their_bits(spark, length):
     np.testing.assert_allclose(first, expected, rtol=1e-12)
     for _ in range(3):
         assert partial_sums(df, ["id", "x"], add, length).tobytes() == first.tobytes()
+
+
+def test_blocks_hold_all_rows(spark):
+    df = spark.range(0, 25_000, 1, 3).withColumn("x", F.col("id") * 0.5)
+    packed = blocks(df, ["x", "id"])
+    assert packed.columns == [ROWS] and packed.count() < 10
+    seen = [b for batch in packed.toArrow().to_batches() for b in rows_of(batch)]
+    assert sorted(np.concatenate([b.column(1).to_numpy() for b in seen])) == list(range(25_000))
+
+    def add(pdf, acc):
+        acc[0] += len(pdf)
+        acc[1] += pdf["x"].sum()
+
+    for frame in (df, packed):
+        assert partial_sums(frame, ["x"], add, 2).tolist() == [25_000, 0.5 * 25_000 * 24_999 / 2]
+
+
+@pytest.mark.parametrize("spec", [BO.DEPTHWISE, BO.LEAFWISE, BO.SYMMETRIC], ids=["depth", "leaf", "symmetric"])
+def test_boosting_passes_move_blocks_and_deal_rows_to_their_nodes(spark, monkeypatch, spec):
+    n = 20_000
+    df = spark.range(0, n, 1, 4).select(
+        "id", *[unit_hash(f"f{i}", "id").alias(f"f{i}") for i in range(3)], (F.col("id") % 3).cast("int").alias("y")
+    ).persist()
+    df = df.withColumn("f0", F.col("f0") + 0.3 * F.col("y")).withColumn("fold", (F.col("id") % 2).cast("int"))
+    handed, sums = [], []
+    real = BO.partial_sums
+
+    def counted(frame, *args):
+        handed.append(frame.count())
+        return real(frame, *args)
+
+    histograms = BO.HistogramBooster._histograms
+
+    def kept(self, state, b, round_, trees, asked):
+        out = histograms(self, state, b, round_, trees, asked)
+        sums.append((list(asked), out[0]))
+        return out
+
+    monkeypatch.setattr(BO, "partial_sums", counted)
+    monkeypatch.setattr(BO.HistogramBooster, "_histograms", kept)
+    small = BO.replace(spec, rounds=2, max_depth=3, max_leaves=5 if spec.max_leaves else None, early_stopping=None)
+    models = BO.HistogramBooster(3, small, ["f0", "f1", "f2"]).fit_folds(df, "y", "fold", 2)
+    assert handed and max(handed) <= 4 * 2  # blocks, of some thousand rows each
+    # every feature's bins hold each row of a node once, and a root holds the rows its model trains on
+    for asked, h in sums:
+        rows = h[..., 2].sum(axis=2)
+        assert (rows == rows[:, :1]).all()
+        for (i, _, node), r in zip(asked, rows):
+            assert r[0] == (n if i == 2 else n / 2) if node == 0 else 0 <= r[0] < n  # symmetric splits may leave a node empty
+    # leaves reached by splits are those reached row by row
+    x = np.random.default_rng(5).random((2_000, 3))
+    bins = models[-1].binner.pack(*x.T)
+    for tree in [t for m in models for per in m.trees for t in per]:
+        route, found = tree.route(), np.full(len(x), -1)
+        for leaf, rows in zip(route.wanted, route.rows(list(np.ascontiguousarray(bins.T)), np.arange(len(x)))):
+            found[rows] = leaf
+        assert (found == tree.nodes(bins)).all()
