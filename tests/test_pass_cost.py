@@ -106,3 +106,13 @@ def test_logistic_passes_move_blocks(spark, monkeypatch):
     monkeypatch.setattr(LI, "partial_sums", lambda frame, *a: handed.append(frame.count()) or real(frame, *a))
     LI.ElasticNetLogistic(2).fit(df, ["a"], "y")
     assert handed and max(handed) <= 2
+
+
+def test_linear_svc_passes_move_blocks(spark, monkeypatch):
+    from tabstrata.learners import linear as LI
+
+    df = spark.range(0, 5_000, 1, 2).select(unit_hash("a", "id").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    handed, real = [], LI.partial_sums
+    monkeypatch.setattr(LI, "partial_sums", lambda frame, *a: handed.append(frame.count()) or real(frame, *a))
+    LI.SquaredHingeSVC(2).fit(df, ["a"], "y")
+    assert handed and max(handed) <= 2
