@@ -116,3 +116,32 @@ def test_linear_svc_passes_move_blocks(spark, monkeypatch):
     monkeypatch.setattr(LI, "partial_sums", lambda frame, *a: handed.append(frame.count()) or real(frame, *a))
     LI.SquaredHingeSVC(2).fit(df, ["a"], "y")
     assert handed and max(handed) <= 2
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_forest_passes_move_large_blocks(spark, monkeypatch, bootstrap):
+    from tabstrata.learners import forests as FO
+
+    n = 30_000
+    df = spark.range(0, n, 1, 2).select("id", *[unit_hash(f"f{i}", "id").alias(f"f{i}") for i in range(3)], (F.col("id") % 3).cast("int").alias("y"))
+    df = df.withColumn("f0", F.col("f0") + 0.3 * F.col("y")).withColumn("fold", (F.col("id") % 2).cast("int"))
+    handed, sums, real = [], [], FO.partial_sums
+    monkeypatch.setattr(FO, "partial_sums", lambda frame, *a: handed.append(frame.count()) or real(frame, *a))
+    histograms = FO.Forest._histograms
+
+    def kept(self, state, held, trees, asked, *args):
+        out = histograms(self, state, held, trees, asked, *args)
+        sums.append((list(asked), out))
+        return out
+
+    monkeypatch.setattr(FO.Forest, "_histograms", kept)
+    FO.Forest(3, 3, 3, 20, 2, bootstrap=bootstrap).fit_folds(df, ["f0", "f1", "f2"], "y", "fold", 2)
+    assert handed and max(handed) <= 2  # a block for each partition
+    for asked, h in sums:
+        rows, drawn = h[..., -1].sum(2), h[..., :-1].sum((2, 3))
+        assert (rows == rows[:, :1]).all() and (drawn == drawn[:, :1]).all()
+        for (i, _, node, *_), r, w in zip(asked, rows[:, 0], drawn[:, 0]):
+            if not bootstrap:
+                assert r == w and (node or r == (n if i == 2 else n / 2))
+            elif not node:
+                assert abs(r / w - 0.632) < 0.02
