@@ -66,3 +66,48 @@ def test_out_of_fold_in_shared_passes(rows, name, params, monkeypatch):
     again = pipe.out_of_fold(flipped, "y", "fold", 3, "p").orderBy("id").toPandas()
     same = np.isclose(got["p_0"], again["p_0"], atol=1e-9)
     assert same[got.fold == 1].all() and not same.all()  # own labels never move an own row
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 1 << 8])
+def test_quantiles_outside_each_fold_are_exact(spark, monkeypatch, cells):
+    from tabstrata.operators import quantiles as QU
+
+    monkeypatch.setattr(QU, "PASS_CELLS", cells)  # few cells: fewer bits to a pass
+    rng = np.random.default_rng(8)
+    odd = [0.0, -0.0, 1e-300, -1e300, 5e-324, -5e-324, 7.0, 7.0, 7.0]
+    data = [(float(a), float(int(b)), i % 3, None) for i, (a, b) in enumerate(rng.normal(size=(500, 2)) * [1e-3, 4])]
+    data += [(x, None, i % 3, None) for i, x in enumerate(odd)]
+    df = spark.createDataFrame(data, "x double, n double, fold int, none double").repartition(3)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = QU.fold_quantiles(df, ["x", "n", "none"], probs, "fold", 3)
+    for j in range(4):
+        want = QU.quantiles(df.where(F.col("fold") != j), ["x", "n"], probs)[()]
+        assert got[j] == want | {"none": None}
+
+
+def test_scaled_columns_are_read_once_for_all_models(rows, monkeypatch):
+    from tabstrata.learners import perceptron as PE
+    from tabstrata.learners.base import rows_of
+
+    ready, names = FP.scaled(rows, ["a"], ["b"], "fold", 3)
+    learner, blocks, real = PE.Perceptron(3, (4,), max_iter=5), [], PE.partial_sums
+
+    def seen(frame, *args):
+        blocks.extend(b for batch in frame.toArrow().to_batches() for b in rows_of(batch))
+        return real(frame, *args)
+
+    monkeypatch.setattr(PE, "partial_sums", seen)
+    got = learner.fit_folds(ready, names, "y", "fold", 3)
+    assert {b.num_columns for b in blocks} == {2 + 3}  # eight scaled columns have two sources
+    want = learner.fit_folds(ready.select("*"), [[str.__str__(n) for n in part] for part in names], "y", "fold", 3)
+    assert {b.num_columns for b in blocks} == {2 + 3, 8 + 3}
+    for g, w in zip(got, want):
+        assert np.array_equal(g.flat, w.flat)
+
+
+def test_compact_numbers_keep_their_bits():
+    from tabstrata.learners.base import compact, numbers
+
+    for x in (np.random.default_rng(1).normal(size=1000), np.arange(1000.0) % 9, np.array([np.nan, 1.0, np.nan, -np.inf])):
+        assert np.array_equal(numbers(compact(x)), x, equal_nan=True)
+    assert compact(np.arange(1000.0) % 9).nbytes < 2000
