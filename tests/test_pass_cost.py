@@ -145,3 +145,18 @@ def test_forest_passes_move_large_blocks(spark, monkeypatch, bootstrap):
                 assert r == w and (node or r == (n if i == 2 else n / 2))
             elif not node:
                 assert abs(r / w - 0.632) < 0.02
+
+
+def test_leaves_of_a_tree_of_bins():
+    from tabstrata.learners.base import leaves
+
+    rng, feature, child = np.random.default_rng(3), np.array([1, 0, -1, -1, -1]), np.array([1, 3, 0, 0, 0])
+    right, bins = rng.random((5, 256)) < 0.5, rng.integers(0, 256, (500, 2)).astype(np.uint8)
+    want = []
+    for row in bins:
+        n = 0
+        while feature[n] >= 0:
+            n = child[n] + right[n, row[feature[n]]]
+        want.append(n)
+    assert leaves(feature, child, right, bins).tolist() == want
+    assert leaves(np.array([-1]), np.array([0]), right[:1], bins).tolist() == [0] * 500
