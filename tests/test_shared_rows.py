@@ -9,7 +9,7 @@ from tabstrata.plans.pipeline import Pipeline
 from tabstrata.plans.registry import LEARNERS
 from tabstrata.sources.tables import CATEGORIES, NUMERIC
 
-PARAMS = {"logistic_regression": dict(C=1.0, l1_ratio=0.5)}
+PARAMS = {"logistic_regression": dict(C=1.0, l1_ratio=0.5), "linear_svc": dict(penalty="l2", C=0.1, tol=1e-3)}
 
 
 @pytest.mark.parametrize("name", list(PARAMS))
@@ -44,3 +44,12 @@ def test_rows_of_no_part_count_nowhere(spark):
         rows.close()
     with pytest.raises(ValueError, match="null or NaN"):
         BA.ModelRows(df.withColumn("a", F.when(F.col("a") > 3, F.col("a"))), [["a"]], "y", 2, [])
+
+
+def test_fits_run_side_by_side_on_few_rows_only(spark):
+    from tabstrata.runtime import ROWS_AT_ONCE, side_by_side
+
+    cores = spark.sparkContext.defaultParallelism
+    assert side_by_side(spark.range(0), 4) == side_by_side(spark.range(1000), 4) == 4
+    assert side_by_side(spark.range(cores * ROWS_AT_ONCE // 2), 4) == 2
+    assert side_by_side(spark.range(3 * cores * ROWS_AT_ONCE), 4) == 1
